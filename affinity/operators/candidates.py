@@ -109,11 +109,14 @@ def _bounded_rows(df: DataFrame, limit: int) -> bool:
     return len(df.limit(limit + 1).take(limit + 1)) <= limit
 
 
-def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params: Params = Params()) -> DataFrame:
+def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params: Params = Params(),
+                    left_rows: int | None = None, any_white: bool = True) -> DataFrame:
     """(left row, item) pairs satisfying ``predicate``.
 
     ``left`` carries the request filter columns (item_type, white_list, ...);
-    ``items`` comes from ``item_side``.
+    ``items`` comes from ``item_side``. ``left_rows`` is a known upper bound
+    of ``left``'s row count; without it the count is probed (one small job).
+    ``any_white=False`` (known: no white lists) drops the by-id path.
     """
     listed = left.filter(F.col("white_list").isNotNull())
     open_ = left.filter(F.col("white_list").isNull())
@@ -122,7 +125,9 @@ def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params
              .join(items, F.col("_wid") == F.col("i_item_id"), "inner")
              .filter(predicate).drop("_wid"))
 
-    if _bounded_rows(open_, params.broadcast_rows):
+    small = left_rows <= params.broadcast_rows if left_rows is not None else \
+        _bounded_rows(open_, params.broadcast_rows)
+    if small:
         by_type = items.join(F.broadcast(open_), (F.col("i_item_type") == F.col("item_type")) & predicate, "inner")
     else:
         n = params.salt_buckets
@@ -131,6 +136,8 @@ def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params
         by_type = (salted_items.join(fanned, (F.col("i_item_type") == F.col("item_type")) &
                                      (F.col("_isalt") == F.col("_rsalt")) & predicate, "inner")
                    .drop("_isalt", "_rsalt"))
+    if not any_white:
+        return by_type.select(*by_id.columns)
     return by_id.unionByName(by_type.select(*by_id.columns))
 
 

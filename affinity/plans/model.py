@@ -17,6 +17,7 @@ from affinity.config import Params
 from affinity.operators import events as ev
 from affinity.operators import overlap as ov
 from affinity.operators import weights as wt
+from affinity.session import stage
 
 
 @dataclass
@@ -117,3 +118,14 @@ def load(spark: SparkSession, path: str) -> Model:
     t = {n: spark.read.parquet(f"{path}/{n}") for n in ("user_factors", "item_model", "overlap", "owners")}
     items = t["item_model"].select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
     return Model(t["user_factors"], t["item_model"], t["overlap"], t["owners"], items)
+
+
+def materialize(model: Model) -> Model:
+    """Cut lineage: the model tables written under ``spark.checkpoint.dir``
+    (what a serving job would read back from storage)."""
+    uf = stage(model.user_factors, "user_factors")
+    im = stage(model.item_model, "item_model")
+    overlap = stage(model.overlap, "overlap")
+    owners = stage(model.owners, "owners")
+    items = im.select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
+    return Model(uf, im, overlap, owners, items)

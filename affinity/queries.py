@@ -9,7 +9,6 @@ scores are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from affinity.operators import weights as wt
 from affinity.plans import model as md
 from affinity.plans import scoring as sc
 from affinity.plans.overlap_scorer import score_overlap
-from affinity.plans.serve import blend, engine_scorers, nested_results
+from affinity.plans.serve import engine_scorers, nested_results, serve
 from affinity.sources.fixtures import Tables, load
 
 P = Params()
@@ -48,7 +47,7 @@ def _stats(t: Tables):
 
 def _given_model(t: Tables) -> md.Model:
     """The model with the given vectors (embeddings) instead of ALS factors."""
-    return md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors)
+    return md.materialize(md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -246,63 +245,57 @@ def q_profile(spark, sf_dir):
     return ev.profile({"users": t.users, "items": t.items, **typed})
 
 
-def _scoring_inputs(t: Tables):
-    m = _given_model(t)
-    reqs = cd.prepare_requests(t.requests)
-    unavailable = ev.unavailable_items(t.constraint_log)
-    items = sc.available_items(m.item_model, unavailable)
-    seen = ev.seen_items(t.log.join(reqs.select("user_id").distinct(), "user_id", "left_semi"), P)
-    black = cd.full_black_rows(reqs, seen)
-    return m, reqs, items, black, unavailable
+def _factor_batch(t: Tables, m: md.Model) -> sc.RequestBatch:
+    return sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, P)
+
+
+def _items(t: Tables, m: md.Model) -> DataFrame:
+    return sc.available_items(m.item_model, ev.unavailable_items(t.constraint_log))
 
 
 @register("route")
 def q_route(spark, sf_dir):
     t = load(spark, sf_dir)
-    m, reqs, items, black, _ = _scoring_inputs(t)
-    r = sc.route(reqs, m.user_factors, sc.recent_query_vectors(reqs, t.log, m.item_model, P))
-    return r.select("request_id", "route")
+    m = _given_model(t)
+    return _factor_batch(t, m).reqs.select("request_id", "route")
 
 
 @register("popular_topn")
 def q_popular(spark, sf_dir):
     t = load(spark, sf_dir)
-    m, reqs, items, black, _ = _scoring_inputs(t)
-    return _ranked(sc.score_popular(reqs, items, black, P))
+    m = _given_model(t)
+    return _ranked(sc.score_popular(_factor_batch(t, m), _items(t, m), P))
 
 
 @register("known_user_topn")
 def q_known(spark, sf_dir):
     t = load(spark, sf_dir)
-    m, reqs, items, black, _ = _scoring_inputs(t)
-    r = reqs.join(m.user_factors.select("user_id", F.col("features").alias("uvec")), "user_id", "inner")
-    return _ranked(sc.score_vectors(r, items, black, "uvec", False, P))
+    m = _given_model(t)
+    return _ranked(sc.score_vectors(_factor_batch(t, m), _items(t, m), "uvec", False, P))
 
 
 @register("similar_topn")
 def q_similar(spark, sf_dir):
     t = load(spark, sf_dir)
-    m, reqs, items, black, _ = _scoring_inputs(t)
-    qv = sc.recent_query_vectors(reqs, t.log, m.item_model, P)
-    r = reqs.join(qv, "user_id", "inner")
-    return _ranked(sc.score_vectors(r, items, black, "qvec", True, P))
+    m = _given_model(t)
+    return _ranked(sc.score_vectors(_factor_batch(t, m), _items(t, m), "qvec", True, P))
 
 
 @register("recommend_factor")
 def q_recommend(spark, sf_dir):
     t = load(spark, sf_dir)
     m = _given_model(t)
-    return _ranked(sc.recommend(t.requests, m.user_factors, m.item_model, t.log,
-                                ev.unavailable_items(t.constraint_log), P))
+    return _ranked(sc.recommend_batch(_factor_batch(t, m), m.item_model, ev.unavailable_items(t.constraint_log), P))
+
+
+def _blended(t: Tables, m: md.Model) -> DataFrame:
+    return serve(t.requests, engine_scorers(m, t.log, ev.unavailable_items(t.constraint_log), P))
 
 
 @register("recommend_blended")
 def q_blended(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
-    scorers = engine_scorers(m, t.log, ev.unavailable_items(t.constraint_log), P)
-    reqs = t.requests
-    return _ranked(blend(reqs, [s(reqs) for s in scorers.values()]))
+    return _ranked(_blended(t, _given_model(t)))
 
 
 # ---- rows-only: ALS and nested results -----------------------------------
@@ -310,9 +303,7 @@ def q_blended(spark, sf_dir):
 @register("result_nested")
 def q_result_nested(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
-    scorers = engine_scorers(m, t.log, ev.unavailable_items(t.constraint_log), P)
-    return nested_results(blend(t.requests, [s(t.requests) for s in scorers.values()]))
+    return nested_results(_blended(t, _given_model(t)))
 
 
 def _als(t: Tables):
@@ -335,6 +326,4 @@ def q_als_items(spark, sf_dir):
 @register("als_recommend")
 def q_als_recommend(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = md.train(_data(t), P)
-    scorers = engine_scorers(m, t.log, ev.unavailable_items(t.constraint_log), P)
-    return _ranked(blend(t.requests, [s(t.requests) for s in scorers.values()]))
+    return _ranked(_blended(t, md.materialize(md.train(_data(t), P))))

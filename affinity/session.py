@@ -68,3 +68,18 @@ def _active_conf(key: str):
     if active is None:
         return None
     return active.sparkContext.getConf().get(key, None)
+
+
+def stage(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the frame once (a reliable
+    RDD checkpoint recomputes it for the write) and the files survive
+    executor loss. Use for small-to-medium tables read many times.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -35,9 +35,9 @@ from affinity.operators import events as ev
 from affinity.operators import weights as wt
 from affinity.queries import register
 from affinity.session import checkpoint_dir
-from affinity.sources.fixtures import events_to_log, load
+from affinity.sources.fixtures import TABLE_SCHEMAS, events_to_log, load
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+EVENT_SCHEMA = TABLE_SCHEMAS["events"]
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
