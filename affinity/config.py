@@ -90,6 +90,8 @@ class Params:
     broadcast_rows: int = 200_000
     # salt buckets for hot join keys (item_type, popular cosmetics)
     salt_buckets: int = 16
+    # a join key with more rows than this on the big side is salted
+    hot_key_rows: int = 200_000
     extra: dict = field(default_factory=dict)
 
     def similar_for(self, item_type: str | None = None) -> tuple[str, ...]:

@@ -5,9 +5,9 @@ score(user, content) = 5 x |content.cosmetics ∩ cosmetics the user owns|.
 The users x contents set intersection becomes an equi-join of
 owned(user, cosmetic) with mentions(content, cosmetic) on the cosmetic,
 then a count per (user, content). Only non-zero scores are stored; the
-scorers add the zeros back. A popular cosmetic is one hot join key, so the
-owner side is salted over ``salt_buckets`` and the (smaller) mention side
-replicated per salt -- every bucket of a hot key becomes its own task.
+scorers add the zeros back. A popular cosmetic is one hot join key: keys
+with more than ``hot_key_rows`` owners are salted over ``salt_buckets``
+(their mention rows replicated per salt), every other key joins plainly.
 """
 
 from __future__ import annotations
@@ -38,16 +38,27 @@ def owned(own_events: DataFrame) -> DataFrame:
     return own_events.select("user_id", F.col("item_id").alias("cosmetic_id")).distinct()
 
 
-def salted_equi_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, buckets: int) -> DataFrame:
-    """Equi-join on ``key`` whose hot keys are spread over ``buckets`` tasks.
+def salted_equi_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, buckets: int,
+                     hot_rows: int, max_hot_keys: int = 10_000) -> DataFrame:
+    """Equi-join on ``key`` that splits hot keys over ``buckets`` tasks.
 
-    ``big`` rows get salt = hash(salt_by) mod buckets; ``small`` rows are
-    replicated once per salt value. With buckets <= 1 this is a plain join.
+    A key is hot when ``big`` holds more than ``hot_rows`` rows of it. Only
+    hot keys are salted: their ``big`` rows get salt = hash(salt_by) mod
+    buckets and their ``small`` rows are replicated once per salt; all other
+    keys join as usual (salt 0, no copies). The hot-key list is at most
+    ``max_hot_keys`` of the heaviest keys, so broadcasting it is bounded.
     """
     if buckets <= 1:
         return big.join(small, key)
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(buckets)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    heavy = (big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+             .orderBy(F.col("_n").desc()).limit(max_hot_keys).select(key, F.lit(True).alias("_hot")))
+    hot = F.broadcast(heavy)
+    b = (big.join(hot, key, "left")
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(buckets))).otherwise(F.lit(0)))
+         .drop("_hot"))
+    fan = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))) \
+        .otherwise(F.array(F.lit(0).cast("long")))
+    s = small.join(hot, key, "left").withColumn("_salt", F.explode(fan)).drop("_hot")
     return b.join(s, [key, "_salt"]).drop("_salt")
 
 
@@ -60,7 +71,8 @@ def overlap_scores(own_events: DataFrame, items: DataFrame, params: Params = Par
     own = owned(own_events)
     if users is not None:
         own = own.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pairs = salted_equi_join(own, content_mentions(items), "cosmetic_id", "user_id", params.salt_buckets)
+    pairs = salted_equi_join(own, content_mentions(items), "cosmetic_id", "user_id", params.salt_buckets,
+                             params.hot_key_rows)
     return (pairs.groupBy("user_id", "content_id")
             .agg((F.count(F.lit(1)) * F.lit(params.overlap_weight)).alias("score")))
 
