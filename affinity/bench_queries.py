@@ -121,11 +121,19 @@ def blended_all_users(spark, sf_dir):
     return serve(reqs, engine_scorers(m, log, unavailable, P), checkpoint=False)
 
 
+def train_model(spark, sf_dir):
+    """Train (given vectors) + stage the model tables and the event log, once per session."""
+    m = model(spark, sf_dir)
+    stored_log(spark, sf_dir)
+    return m.item_model
+
+
 HEADLINE = {
     "affinity_total": affinity_total,
     "popularity_total": popularity_total,
     "overlap_score": overlap_score,
     "als_fit": als_fit,
+    "train_model": train_model,
     "popular_all_users": popular_all_users,
     "known_all_users": known_all_users,
     "similar_all_users": similar_all_users,

@@ -79,6 +79,7 @@ class Params:
     reg: float = ALS_LAMBDA
     alpha: float = ALS_ALPHA
     seed: int | None = ALS_SEED
+    als_blocks: int | None = None     # None: the cluster's default parallelism
 
     # the overlap scorer honours only the request's own black list (literal);
     # True applies seen + unavailable items to it too

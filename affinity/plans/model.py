@@ -69,9 +69,13 @@ def als_factors(affinity: DataFrame, params: Params = Params()) -> tuple[DataFra
     iidx = id_dictionary(affinity, "item_id", "iidx")
     ratings = (affinity.join(uidx, "user_id").join(iidx, "item_id")
                .select("uidx", "iidx", F.col("rating").cast("float").alias("rating")))
+    # one factor block per task slot of the cluster (Spark's fixed default of 10 starves
+    # a large cluster); lineage is cut every 10 iterations into spark.checkpoint.dir
+    blocks = params.als_blocks or max(affinity.sparkSession.sparkContext.defaultParallelism, 1)
     als = ALS(rank=params.rank, maxIter=params.iterations, regParam=params.reg, alpha=params.alpha,
               implicitPrefs=True, userCol="uidx", itemCol="iidx", ratingCol="rating",
-              nonnegative=False, checkpointInterval=5, intermediateStorageLevel="MEMORY_AND_DISK",
+              numUserBlocks=blocks, numItemBlocks=blocks,
+              nonnegative=False, checkpointInterval=10, intermediateStorageLevel="MEMORY_AND_DISK",
               finalStorageLevel="MEMORY_AND_DISK")
     if params.seed is not None:
         als = als.setSeed(int(params.seed))
