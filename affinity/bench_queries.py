@@ -89,10 +89,23 @@ def _serving(spark, sf_dir):
     return t, m, reqs, log, unavailable
 
 
-def _factor(spark, sf_dir, route=None):
-    t, m, reqs, log, unavailable = _serving(spark, sf_dir)
-    batch = sc.factor_batch(reqs, m.user_factors, m.item_model, log, P)
-    return batch, sc.available_items(m.item_model, unavailable)
+_BATCHES: dict = {}
+
+
+def prepare_requests(spark, sf_dir):
+    """One request per user, prepared once for all factor scorers: black lists, route,
+    query vectors, bounds (what ``recommend`` does before scoring)."""
+    key = (id(spark), sf_dir)
+    if key not in _BATCHES:
+        t, m, reqs, log, unavailable = _serving(spark, sf_dir)
+        batch = sc.factor_batch(reqs, m.user_factors, m.item_model, log, P)
+        _BATCHES[key] = (batch, sc.available_items(m.item_model, unavailable))
+    return _BATCHES[key][0].reqs
+
+
+def _factor(spark, sf_dir):
+    prepare_requests(spark, sf_dir)
+    return _BATCHES[(id(spark), sf_dir)]
 
 
 def popular_all_users(spark, sf_dir):
@@ -134,6 +147,7 @@ HEADLINE = {
     "overlap_score": overlap_score,
     "als_fit": als_fit,
     "train_model": train_model,
+    "prepare_requests": prepare_requests,
     "popular_all_users": popular_all_users,
     "known_all_users": known_all_users,
     "similar_all_users": similar_all_users,

@@ -390,6 +390,18 @@ UNION ALL SELECT 'play', count(*) FROM tlog WHERE event = 'play'""",
   ) GROUP BY request_id, item_id"""),
 }
 
+# sources: what is read back equals what was written
+BODIES["events_json_source"] = """
+SELECT event_id, event, user_id, target_type, item_id, rating, epoch_us(ts) AS ts_us FROM log"""
+BODIES["property_events_json_source"] = BODIES["property_fold"]
+BODIES["requests_json_source"] = """
+SELECT request_id, user_id, num, item_type, search, result_type, cosmetic, brand,
+       array_to_string(list_sort(categories), '|') AS categories_text,
+       array_to_string(list_sort(white_list), '|') AS white_text,
+       array_to_string(list_sort(black_list), '|') AS black_text
+FROM requests"""
+BODIES["model_tables_roundtrip"] = BODIES["item_model"]
+
 # the streaming operators end in the same state as their batch twins
 BODIES["live_seen"] = BODIES["seen_items"]
 BODIES["live_recent"] = BODIES["recent_items"]

@@ -65,8 +65,11 @@ def als_factors(affinity: DataFrame, params: Params = Params()) -> tuple[DataFra
     """M1: implicit ALS over (user_id, item_id, rating); factors as array<double>."""
     from pyspark.ml.recommendation import ALS
 
-    uidx = id_dictionary(affinity, "user_id", "uidx")
-    iidx = id_dictionary(affinity, "item_id", "iidx")
+    # the affinity table feeds two dictionaries, their range sampling and the fit:
+    # write it once under the checkpoint folder instead of recomputing it from the log
+    affinity = stage(affinity.select("user_id", "item_id", "rating"), "affinity")
+    uidx = stage(id_dictionary(affinity, "user_id", "uidx"), "user_index")
+    iidx = stage(id_dictionary(affinity, "item_id", "iidx"), "item_index")
     ratings = (affinity.join(uidx, "user_id").join(iidx, "item_id")
                .select("uidx", "iidx", F.col("rating").cast("float").alias("rating")))
     # one factor block per task slot of the cluster (Spark's fixed default of 10 starves

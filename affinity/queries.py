@@ -23,6 +23,8 @@ from affinity.plans import model as md
 from affinity.plans import scoring as sc
 from affinity.plans.overlap_scorer import score_overlap
 from affinity.plans.serve import engine_scorers, nested_results, serve
+from affinity.session import checkpoint_dir
+from affinity.sources import events as src
 from affinity.sources.fixtures import Tables, load
 
 P = Params()
@@ -327,3 +329,56 @@ def q_als_items(spark, sf_dir):
 def q_als_recommend(spark, sf_dir):
     t = load(spark, sf_dir)
     return _ranked(_blended(t, md.materialize(md.train(_data(t), P))))
+
+
+# ---- sources and sinks: JSON events, JSON requests, model tables ----------
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("events_json_source")
+def q_events_json(spark, sf_dir):
+    """The interaction log written as JSON event documents, read back and normalised."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "events")
+    src.write_events_json(src.log_to_json_events(t.log), path)
+    log, _ = src.normalize(src.read_events_json(spark, path))
+    return log.select("event_id", "event", "user_id", "target_type", "item_id", "rating",
+                      F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@register("property_events_json_source")
+def q_property_json(spark, sf_dir):
+    """S8 + A1: property events as JSON documents, read back, folded."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "props")
+    src.write_events_json(src.property_log_to_json_events(t.property_log), path)
+    _, props = src.normalize(src.read_events_json(spark, path))
+    f = en.property_fold(props, "user")
+    return f.select("entity_id", F.col("properties")["a"].alias("prop_a"), F.col("properties")["b"].alias("prop_b"))
+
+
+@register("requests_json_source")
+def q_requests_json(spark, sf_dir):
+    """The request table as JSON objects with the query API's field names, read back."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "requests")
+    src.requests_to_json(t.requests).write.mode("overwrite").json(path)
+    r = src.read_requests_json(spark, path)
+    text = lambda c: F.array_join(F.array_sort(c), "|")
+    return r.select("request_id", "user_id", "num", "item_type", "search", "result_type", "cosmetic", "brand",
+                    text("categories").alias("categories_text"), text("white_list").alias("white_text"),
+                    text("black_list").alias("black_text"))
+
+
+@register("model_tables_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Model tables saved as Parquet and loaded back."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "model")
+    md.save(md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors), path)
+    m = md.load(spark, path)
+    return m.item_model.select("item_id", "item_type", F.col("features").isNotNull().alias("has_features"),
+                               "popularity")
