@@ -93,6 +93,10 @@ class Params:
     salt_buckets: int = 16
     # a join key with more rows than this on the big side is salted
     hot_key_rows: int = 200_000
+    # factor scoring: "blocks" (matrix blocks, default) or "pairs" (one row per pair, for tests)
+    scoring: str = "blocks"
+    block_requests: int = 1024
+    block_items: int = 8192
     extra: dict = field(default_factory=dict)
 
     def similar_for(self, item_type: str | None = None) -> tuple[str, ...]:

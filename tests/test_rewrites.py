@@ -68,3 +68,13 @@ def test_collapsed_similar_equals_cosine_sum(spark):
     fast = (qv.crossJoin(vecs.select(F.col("item_id").alias("p_id"), F.col("features").alias("p")))
             .select("user_id", "p_id", dot(F.col("qvec"), unit(F.col("p"))).alias("s")))
     assert rows(plain, ["user_id", "p_id", "s"]) == rows(fast, ["user_id", "p_id", "s"])
+
+
+def test_block_scoring_equals_pairs(spark):
+    a = _scores(spark, Params(scoring="pairs"))
+    b = _scores(spark, Params(scoring="blocks", block_requests=2, block_items=16))
+    cols = ["request_id", "item_id", "score", "rank"]
+    for k in ("known", "similar"):
+        ra, rb = rows(a[k], cols), rows(b[k], cols)
+        assert ra == rb, k
+        assert len(ra) > 0, k
