@@ -81,6 +81,10 @@ class Params:
     seed: int | None = ALS_SEED
     als_blocks: int | None = None     # None: the cluster's default parallelism
 
+    # Optional score adjustments, {'popular' | 'known' | 'similar': Column -> Column},
+    # applied before the positive-score filter and the top-N
+    score_hooks: dict | None = None
+
     # the overlap scorer honours only the request's own black list (literal);
     # True applies seen + unavailable items to it too
     blacklist_all_scorers: bool = False

@@ -55,3 +55,11 @@ def test_unavailable_latest_set_replaces(spark):
     assert sorted(r.item_id for r in ev.unavailable_items(plog(spark, rows)).collect()) == ["3", "4", "5"]
     rows.append(("constraint", "unavailableItems", "$set", {"items": "[]"}, 3))
     assert ev.unavailable_items(plog(spark, rows)).collect() == []
+
+
+def test_duplicate_item_ids_are_rejected(spark):
+    import pytest
+    from tests.helpers import items
+    its = items(spark, [("x", "content", None, None, None), ("x", "cosmetic", None, None, None)])
+    with pytest.raises(ValueError):
+        en.require_unique_items(its)
