@@ -99,8 +99,9 @@ class Params:
     hot_key_rows: int = 200_000
     # factor scoring: "blocks" (matrix blocks, default) or "pairs" (one row per pair, for tests)
     scoring: str = "blocks"
-    block_requests: int = 1024
-    block_items: int = 8192
+    # per cell of the blocked scorer: shuffle copies are R x (C / block_items) + C x (R / block_requests)
+    block_requests: int = 65_536
+    block_items: int = 1_000_000
     extra: dict = field(default_factory=dict)
 
     def similar_for(self, item_type: str | None = None) -> tuple[str, ...]:
