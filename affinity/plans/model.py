@@ -127,12 +127,10 @@ def load(spark: SparkSession, path: str) -> Model:
     return Model(t["user_factors"], t["item_model"], t["overlap"], t["owners"], items)
 
 
-def materialize(model: Model) -> Model:
-    """Cut lineage: the model tables written under ``spark.checkpoint.dir``
-    (what a serving job would read back from storage)."""
-    uf = stage(model.user_factors, "user_factors")
-    im = stage(model.item_model, "item_model")
-    overlap = stage(model.overlap, "overlap")
-    owners = stage(model.owners, "owners")
-    items = im.select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
-    return Model(uf, im, overlap, owners, items)
+def materialize(model: Model, tables=("user_factors", "item_model", "overlap", "owners")) -> Model:
+    """Cut lineage: the named model tables written under ``spark.checkpoint.dir``
+    (what a serving job would read back from storage); the others stay lazy."""
+    t = {n: (stage(getattr(model, n), n) if n in tables else getattr(model, n))
+         for n in ("user_factors", "item_model", "overlap", "owners")}
+    items = t["item_model"].select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
+    return Model(t["user_factors"], t["item_model"], t["overlap"], t["owners"], items)

@@ -47,9 +47,13 @@ def _stats(t: Tables):
     return wt.pair_stats(md.valid_training_log(_data(t), P), P)
 
 
-def _given_model(t: Tables) -> md.Model:
-    """The model with the given vectors (embeddings) instead of ALS factors."""
-    return md.materialize(md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors))
+def _given_model(t: Tables, tables=("user_factors", "item_model", "overlap", "owners")) -> md.Model:
+    """The model with the given vectors (embeddings) instead of ALS factors;
+    ``tables`` are staged, the rest stay lazy."""
+    return md.materialize(md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors), tables)
+
+
+FACTOR_TABLES = ("user_factors", "item_model")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -229,7 +233,7 @@ def q_overlap_scorer(spark, sf_dir):
 
 @register("item_model")
 def q_item_model(spark, sf_dir):
-    m = _given_model(load(spark, sf_dir))
+    m = _given_model(load(spark, sf_dir), ("item_model",))
     return m.item_model.select("item_id", "item_type", F.col("features").isNotNull().alias("has_features"),
                                "popularity")
 
@@ -258,35 +262,35 @@ def _items(t: Tables, m: md.Model) -> DataFrame:
 @register("route")
 def q_route(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
+    m = _given_model(t, FACTOR_TABLES)
     return _factor_batch(t, m).reqs.select("request_id", "route")
 
 
 @register("popular_topn")
 def q_popular(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
+    m = _given_model(t, FACTOR_TABLES)
     return _ranked(sc.score_popular(_factor_batch(t, m), _items(t, m), P))
 
 
 @register("known_user_topn")
 def q_known(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
+    m = _given_model(t, FACTOR_TABLES)
     return _ranked(sc.score_vectors(_factor_batch(t, m), _items(t, m), "uvec", False, P))
 
 
 @register("similar_topn")
 def q_similar(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
+    m = _given_model(t, FACTOR_TABLES)
     return _ranked(sc.score_vectors(_factor_batch(t, m), _items(t, m), "qvec", True, P))
 
 
 @register("recommend_factor")
 def q_recommend(spark, sf_dir):
     t = load(spark, sf_dir)
-    m = _given_model(t)
+    m = _given_model(t, FACTOR_TABLES)
     return _ranked(sc.recommend_batch(_factor_batch(t, m), m.item_model, ev.unavailable_items(t.constraint_log), P))
 
 
