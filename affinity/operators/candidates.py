@@ -105,8 +105,8 @@ def overlap_predicate() -> Column:
 # ---- the pair join -------------------------------------------------------
 
 def _bounded_rows(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit + 1)."""
-    return len(df.limit(limit + 1).take(limit + 1)) <= limit
+    """True when ``df`` has at most ``limit`` rows (counted on the executors, stops at limit + 1)."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params: Params = Params(),

@@ -132,9 +132,15 @@ def recent_items(log: DataFrame, params: Params = Params(), users: DataFrame | N
 
 
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per training table, one job over a tagged union."""
-    parts = [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()]
+    """Row count and two sample keys (smallest and largest) per training table,
+    one partially aggregated job over a tagged union."""
+    def key(df: DataFrame):
+        cols = [c for c in ("user_id", "item_id") if c in df.columns]
+        return F.concat_ws("|", *cols)
+
+    parts = [df.select(F.lit(name).alias("table_name"), key(df).alias("k")) for name, df in tables.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return u.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"),
+                                       F.max("k").alias("last_key"))

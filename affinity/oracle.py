@@ -368,13 +368,18 @@ SELECT item_id, item_type, f IS NOT NULL AS has_features, popularity FROM item_m
 SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS uidx
 FROM (SELECT DISTINCT user_id FROM a_total)""",
     "profile": """
-SELECT 'users' AS table_name, count(*) AS n_rows FROM users
-UNION ALL SELECT 'items', count(*) FROM items
-UNION ALL SELECT 'view', count(*) FROM tlog WHERE event = 'view'
-UNION ALL SELECT 'own', count(*) FROM tlog WHERE event = 'own'
-UNION ALL SELECT 'scrap', count(*) FROM tlog WHERE event IN ('scrap', 'cancel_scrap')
-UNION ALL SELECT 'rate', count(*) FROM tlog WHERE event = 'rate'
-UNION ALL SELECT 'play', count(*) FROM tlog WHERE event = 'play'""",
+SELECT 'users' AS table_name, count(*) AS n_rows, min(user_id) AS first_key, max(user_id) AS last_key FROM users
+UNION ALL SELECT 'items', count(*), min(item_id), max(item_id) FROM items
+UNION ALL SELECT 'view', count(*), min(user_id || '|' || item_id), max(user_id || '|' || item_id)
+  FROM tlog WHERE event = 'view'
+UNION ALL SELECT 'own', count(*), min(user_id || '|' || item_id), max(user_id || '|' || item_id)
+  FROM tlog WHERE event = 'own'
+UNION ALL SELECT 'scrap', count(*), min(user_id || '|' || item_id), max(user_id || '|' || item_id)
+  FROM tlog WHERE event IN ('scrap', 'cancel_scrap')
+UNION ALL SELECT 'rate', count(*), min(user_id || '|' || item_id), max(user_id || '|' || item_id)
+  FROM tlog WHERE event = 'rate'
+UNION ALL SELECT 'play', count(*), min(user_id || '|' || item_id), max(user_id || '|' || item_id)
+  FROM tlog WHERE event = 'play'""",
     "route": "SELECT request_id, route FROM routes",
     "popular_topn": _top("SELECT * FROM pop_scored"),
     "known_user_topn": _top("SELECT * FROM known_scored WHERE score > 0"),
