@@ -4,7 +4,7 @@ Training side: affinity and popularity over the interaction log plus the
 bulk log (lineitem x orders), the overlap model, one ALS fit. Serving side:
 one plain request per registered user through each factor scorer, the
 overlap scorer and the blend. The model is trained once per session and
-checkpointed, as a serving job would read it from storage.
+staged under spark.checkpoint.dir, as a serving job would read it from storage.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.config import Params
-from affinity.operators import candidates as cd
 from affinity.operators import events as ev
 from affinity.operators import overlap as ov
 from affinity.operators import weights as wt
@@ -37,7 +36,7 @@ def _data(t) -> md.TrainingData:
 
 
 def model(spark: SparkSession, sf_dir: str) -> md.Model:
-    """Given-vector model over log + bulk log, checkpointed once per (session, sf)."""
+    """Given-vector model over log + bulk log, staged once per (session, sf)."""
     key = (id(spark), sf_dir)
     if key not in _MODELS:
         t = load(spark, sf_dir)

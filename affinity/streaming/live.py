@@ -23,7 +23,6 @@ its own version from the previous one, so replays are idempotent.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
