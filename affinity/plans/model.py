@@ -97,8 +97,15 @@ def build_item_model(items: DataFrame, item_factors: DataFrame, popularity: Data
 
 
 def train(data: TrainingData, params: Params = Params(), user_factors: DataFrame | None = None,
-          item_factors: DataFrame | None = None) -> Model:
-    """E-A: the whole training run. Given factor tables skip ALS (tests, oracles)."""
+          item_factors: DataFrame | None = None, stage_items: bool = True) -> Model:
+    """E-A: the whole training run. Given factor tables skip ALS (tests, oracles).
+
+    The item table feeds the validity filter, the content-mention index and
+    the item model; it is staged once (``stage_items``) instead of being
+    rebuilt for each.
+    """
+    if stage_items:
+        data = TrainingData(data.users, stage(data.items, "items"), data.log, data.prop_log)
     ev.require_nonempty(data.users, "users")
     ev.require_nonempty(data.items, "items")
     valid = valid_training_log(data, params)
