@@ -115,11 +115,15 @@ def train(data: TrainingData, params: Params = Params(), user_factors: DataFrame
     if user_factors is None or item_factors is None:
         ev.require_nonempty(affinity, "affinity")
         user_factors, item_factors = als_factors(affinity, params)
+    # distinct owned (user, cosmetic) pairs feed both the overlap and the owner list:
+    # one pass over the log's own events, staged
     own = valid.filter(F.col("event") == "own")
-    overlap = ov.overlap_scores(own, data.items, params)
+    owned = stage(ov.owned(own), "owned") if stage_items else ov.owned(own)
+    own_rows = owned.select("user_id", F.col("cosmetic_id").alias("item_id"))
+    overlap = ov.overlap_scores(own_rows, data.items, params)
     return Model(user_factors=user_factors,
                  item_model=build_item_model(data.items, item_factors, popularity),
-                 overlap=overlap, owners=ov.owners(own), items=data.items)
+                 overlap=overlap, owners=ov.owners(own_rows), items=data.items)
 
 
 def save(model: Model, path: str) -> None:
