@@ -21,7 +21,7 @@ from affinity.plans import model as md
 from affinity.plans import scoring as sc
 from affinity.plans.overlap_scorer import score_overlap
 from affinity.plans.serve import engine_scorers, serve
-from affinity.session import stage
+from affinity.session import stage, store_bucketed
 from affinity.sources.fixtures import load
 
 P = Params()
@@ -37,10 +37,13 @@ _LOGS: dict = {}
 
 def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interaction log as training and serving jobs find it: a stored event
-    table (the adapter's log ∪ bulk log, staged once per session)."""
+    table (the adapter's log ∪ bulk log, written once per session, bucketed by user)."""
     key = (id(spark), sf_dir)
     if key not in _LOGS:
-        _LOGS[key] = stage(_log_with_bulk(load(spark, sf_dir)), "event_log")
+        # bucketed by user: per-user aggregations, windows and joins read it without a shuffle
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _LOGS[key] = store_bucketed(_log_with_bulk(load(spark, sf_dir)), "event_log", "user_id", buckets,
+                                    sort_by=("user_id", "ts"))
     return _LOGS[key]
 
 

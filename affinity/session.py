@@ -83,3 +83,22 @@ def stage(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def store_bucketed(df, name: str, by: str, buckets: int, sort_by: tuple[str, ...] = ()):
+    """Write ``df`` as a table bucketed by ``by`` under the shared checkpoint folder.
+
+    Readers that group, window or join on ``by`` (or on keys that include it)
+    find the rows already hash-partitioned and skip the shuffle; the table has
+    ``buckets`` parallel splits whatever the layout of its inputs.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{table}"
+    writer = df.write.bucketBy(buckets, by)
+    if sort_by:
+        writer = writer.sortBy(*sort_by)
+    writer.option("path", path).saveAsTable(table)
+    return spark.table(table)
