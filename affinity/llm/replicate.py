@@ -66,7 +66,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"),
         lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, F.col(id_col), i))))
-    drawn = drawn.withColumn("_count", count).filter("_count > 0")
-    copies = drawn.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
+    copies = drawn.select(*columns, F.posexplode(F.array_repeat(F.lit(True), count.cast("int"))).alias(copy_col, "_copy"))
+    copies = copies.withColumn(copy_col, F.col(copy_col).cast("long"))
     return (copies.withColumn(place_col, unit_hash(seed + "/place", F.col(id_col), F.col(copy_col)))
             .select(*columns, copy_col, place_col).orderBy(place_col, id_col, copy_col))

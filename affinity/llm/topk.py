@@ -62,7 +62,7 @@ def max_score(postings, low, high, ids, query, own, k: int, step: int = 1024):
 
 def _pack(df: DataFrame, block: str, dims: int) -> DataFrame:
     """One row per block: ids and the vectors (padded with zeros to ``dims``) as packed 64-bit integers."""
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         ids = table.column("_id").to_numpy().astype(np.int64)
         order = np.argsort(ids)
         rows = table.column("_v").to_pylist()
