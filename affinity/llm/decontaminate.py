@@ -65,7 +65,8 @@ def with_minima(df: DataFrame, grams: str, out: str, w: int) -> DataFrame:
 def _winnowed(df: DataFrame, hashes: str, k: int, w: int, keep: list[str]) -> DataFrame:
     """One row per window of w k-grams: ``keep``, _g (all k-gram hashes), _m (all minima), _i, _f (this window's)."""
     df = with_minima(with_grams(df, hashes, "_g", k), "_g", "_m", w)
-    return df.select(*keep, "_g", "_m", F.posexplode("_m").alias("_i", "_f"))
+    # the outer form: no filter on the array's size is derived and pushed through the projections that build it
+    return df.select(*keep, "_g", "_m", F.posexplode_outer("_m").alias("_i", "_f")).filter("_f IS NOT NULL")
 
 
 def _placed(df: DataFrame, keep: list[str], w: int) -> DataFrame:
@@ -152,7 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         blocks = -(-short.count() // block_rows)
         for b in range(blocks):
             for n in lengths:
-                doc = with_grams(hashed, "_h", "_g", n).select(*key, F.posexplode("_g").alias("_from", "_f"))
+                doc = with_grams(hashed, "_h", "_g", n).select(*key, F.posexplode_outer("_g").alias("_from", "_f"))
                 found.append(doc.join(F.broadcast(in_block(one_gram(n), b, blocks)), "_f")
                              .select(*key, "_text", "_from", (F.col("_from") + n).alias("_to")))
     out = read.select(*key, F.size("_w").cast("long").alias("n_words"))

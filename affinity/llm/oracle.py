@@ -13,7 +13,7 @@ parts AS (SELECT source, greatest(ceil(rate / 16.0), 1)::INT AS parts, rate FROM
 terms AS (SELECT source, parts, rate / parts AS mean, 0 AS i, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS c FROM parts
   UNION ALL SELECT source, parts, mean, i + 1, p * mean / (i + 1), c + p * mean / (i + 1) FROM terms WHERE i < 95),
 tables AS (SELECT source, any_value(parts) AS parts, list(c ORDER BY i) AS cs FROM terms GROUP BY source),
-drawn AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), i -> len(list_filter(cs, c -> c <=
+drawn AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cs, lambda c: c <=
     {_MD5_UNIT.format(text="'mix|' || d.doc_id || '|' || i")}))))::BIGINT AS times
   FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
 copies AS (SELECT * EXCLUDE (times), unnest(range(0, times)) AS copy_no FROM drawn WHERE times > 0)
@@ -40,10 +40,10 @@ WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABC
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 ig AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
-    i -> array_to_string(w[i:i + 9], ' '))) AS g FROM iw WHERE len(w) > 0),
+    lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM iw WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM ig),
 dg AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2),
-    i -> array_to_string(w[i:i + n - 1], ' '))) AS g FROM dw, sizes WHERE len(w) >= n),
+    lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM dw, sizes WHERE len(w) >= n),
 m AS (SELECT doc_id, i, dg.n, item_id FROM dg JOIN ig ON dg.g = ig.g AND dg.n = ig.n),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
@@ -54,9 +54,9 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 ORACLE["op10_maxscore"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
