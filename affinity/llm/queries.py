@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.llm import decontaminate as dc
+from affinity.llm import near_dup as nd
+from affinity.llm import quality as qu
 from affinity.llm import replicate as rp
 from affinity.llm import secrets as sec
 from affinity.llm import topk
@@ -32,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    """Documents whose labels are never used for fitting."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+@register("op1_nbsvm")
+def nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = qu.train_quality(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = qu.score_quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register("op3_poisson_mix")
 def poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at equal weight, the mix as large as the input."""
@@ -56,6 +71,11 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+@register("op9_weighted_minhash")
+def weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nd.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op10_maxscore")
 def maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

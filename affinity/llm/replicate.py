@@ -46,7 +46,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, total: float = 1.0,
               seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy_no",
-              place_col: str = "place") -> DataFrame:
+              place_col: str = "place", partitions: int | None = None) -> DataFrame:
     """The documents' columns, each row once per drawn copy, with ``copy_no`` (from 0) and ``place``, in order of place.
 
     ``total`` is the size of the mix in units of the input. A source without a
@@ -68,5 +68,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
         lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, F.col(id_col), i))))
     copies = drawn.select(*columns, F.posexplode(F.array_repeat(F.lit(True), count.cast("int"))).alias(copy_col, "_copy"))
     copies = copies.withColumn(copy_col, F.col(copy_col).cast("long"))
-    return (copies.withColumn(place_col, unit_hash(seed + "/place", F.col(id_col), F.col(copy_col)))
-            .select(*columns, copy_col, place_col).orderBy(place_col, id_col, copy_col))
+    # places are uniform, so equal slices of [0, 1) are even partitions and no sampling pass has to find their bounds
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = copies.withColumn(place_col, unit_hash(seed + "/place", F.col(id_col), F.col(copy_col)))
+    return (placed.select(*columns, copy_col, place_col)
+            .repartitionById(n, F.floor(F.col(place_col) * n).cast("int")).sortWithinPartitions(place_col, id_col, copy_col))

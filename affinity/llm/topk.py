@@ -98,8 +98,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     block = lambda count: F.pmod(F.xxhash64("_id"), F.lit(count))
     packed = _pack(rows.withColumn("_shard", block(shards)), "_shard", dims)
     queries = _pack(rows.filter("_q").withColumn("_block", block(blocks)), "_block", dims)
-    cells = (packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-             .join(queries.select("_block", F.col("_ids").alias("_qids"), F.col("_vs").alias("_qvs")), "_block"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
+    cells = (packed.withColumn("_block", every(blocks))
+             .join(queries.select("_block", F.col("_ids").alias("_qids"), F.col("_vs").alias("_qvs"), every(shards).alias("_shard")),
+                   ["_shard", "_block"]))
 
     def score(batches):
         for batch in batches:
