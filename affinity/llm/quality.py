@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from affinity.llm.common import BYTE_CODE, concat_texts, mix, span_hashes, split_words, text_slices
 
@@ -168,5 +169,4 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
             got = own.scores(part.column(part.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, score_col])
 
-    schema = docs.schema.add(score_col, "double")
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
