@@ -12,6 +12,7 @@ from affinity.llm import near_dup as nd
 from affinity.llm import quality as qu
 from affinity.llm import replicate as rp
 from affinity.llm import secrets as sec
+from affinity.llm import substring_dedup as sd
 from affinity.llm import topk
 from affinity.llm import urls
 
@@ -58,6 +59,11 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@register("op5_recompression")
+def recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sd.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @register("op7_winnowing")
 def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
