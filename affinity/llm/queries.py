@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.llm import decontaminate as dc
+from affinity.llm import lm_score as lm
 from affinity.llm import near_dup as nd
 from affinity.llm import quality as qu
 from affinity.llm import replicate as rp
@@ -64,6 +65,11 @@ def recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sd.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@register("op6_stupid_backoff")
+def stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op7_winnowing")
 def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

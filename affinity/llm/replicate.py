@@ -12,11 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.session import stage
+
 #: A Poisson of a larger mean is the sum of independent ones of at most this mean, each with a seed of its own.
 MEAN_STEP = 16.0
 #: Terms of the inverted distribution: P(X > 95) for mean 16 is below 2**-64 ... the hash has 52 bits.
 TERMS = 96
 
+#: The table of sources (under 1 KB a row) is broadcast up to this many rows, else joined by shuffle.
+BROADCAST_SOURCES = 10_000
+
 
 def unit_hash(seed: str, *parts: Column) -> Column:
     """A number in [0, 1) from 52 bits of a hash of seed and parts (also expressible in other SQL engines)."""
@@ -57,10 +62,11 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     a fair sample. An empty table gives an empty result.
     """
     rates = source_rates(docs.select(source_col), weights or {}, default_weight, total, source_col)
-    # one small row per source; the table is only as large as the list of sources and joins without a hint
     parts = F.greatest(F.ceil(F.col("rate") / MEAN_STEP), F.lit(1)).cast("int")
-    tables = (rates.withColumn("_parts", parts)
-              .select("_source", "_parts", poisson_table(F.col("rate") / F.col("_parts")).alias("_table")))
+    tables = stage(rates.withColumn("_parts", parts)
+              .select("_source", "_parts", poisson_table(F.col("rate") / F.col("_parts")).alias("_table")), "rates")
+    if tables.count() <= BROADCAST_SOURCES:
+        tables = F.broadcast(tables)
     columns = docs.columns
     drawn = docs.join(tables, docs[source_col].eqNullSafe(tables["_source"]))
     count = F.aggregate(
