@@ -14,6 +14,7 @@ from affinity.llm import quality as qu
 from affinity.llm import replicate as rp
 from affinity.llm import secrets as sec
 from affinity.llm import substring_dedup as sd
+from affinity.llm import token_file as tf
 from affinity.llm import topk
 from affinity.llm import urls
 
@@ -49,6 +50,16 @@ def nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op2_context_mixing")
+def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tf.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @register("op3_poisson_mix")
 def poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at equal weight, the mix as large as the input."""
