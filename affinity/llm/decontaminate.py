@@ -173,3 +173,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
             .select(F.col("d._id").alias(id_col), "d.n_words", hit.alias("hit"),
                     F.aggregate(hit, F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]).alias("n_hit"),
                     F.coalesce("r.items", F.array().cast("array<string>")).alias("items")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents without a hit, columns as given; where rows share an id, a hit in one drops them all."""
+    hit = (decontaminate(docs, items, id_col=id_col, text_col=text_col, **settings).filter("n_hit > 0")
+           .select(F.col(id_col).alias("_hit_id")).distinct())
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
