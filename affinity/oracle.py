@@ -9,7 +9,7 @@ per-pair cosine sums where Spark collapses vectors. Lambdas are DuckDB's
 
 from __future__ import annotations
 
-from affinity.sources.fixtures import CONSTRAINT_SETS, REQUEST_CASES
+from affinity.sources.fixtures import CONSTRAINT_CYCLE, CONSTRAINT_SETS, REQUEST_CASES
 
 
 def _sql_str(v):
@@ -43,7 +43,7 @@ def _constraint_values() -> str:
 # ---- common CTEs: the fixture adapter and the engine's derived tables ------
 BASE_CTES = r"""
 users AS (
-  SELECT concat('u', c_custkey) AS user_id FROM customer WHERE c_custkey % 10 <> 9
+  SELECT concat('u', c_custkey) AS user_id FROM customer
 ), part_names AS (
   SELECT p_partkey, concat(p_name, ' ', p_partkey) AS item_id FROM part
 ), cosmetics AS (
@@ -52,7 +52,7 @@ users AS (
               ELSE [p.p_type, CASE WHEN p.p_size >= 25 THEN 'large size' ELSE 'small size' END] END AS categories,
          CASE WHEN p.p_partkey % 11 = 0 THEN NULL ELSE p.p_brand END AS brand,
          CAST(NULL AS VARCHAR[]) AS cosmetics, CAST(NULL AS VARCHAR) AS upload_date
-  FROM part p JOIN part_names n USING (p_partkey) WHERE p.p_partkey % 25 <> 24
+  FROM part p JOIN part_names n USING (p_partkey)
 ), contents AS (
   SELECT concat('content ', o.o_orderkey) AS item_id, 'content' AS item_type,
          CAST(NULL AS VARCHAR[]) AS categories, CAST(NULL AS VARCHAR) AS brand,
@@ -151,8 +151,10 @@ users AS (
   SELECT a.entity_id, max(CASE WHEN k.key = 'a' THEN k.value END) AS prop_a,
          max(CASE WHEN k.key = 'b' THEN k.value END) AS prop_b
   FROM p_alive a LEFT JOIN p_kept k ON a.entity_id = k.entity_id GROUP BY a.entity_id
-), constraint_spec(event_id, ts, p_partkey) AS (
+), constraint_rule(event_id, ts, rest) AS (
   VALUES __CONSTRAINTS__
+), constraint_spec AS (
+  SELECT event_id, ts, p_partkey FROM constraint_rule JOIN part ON p_partkey % __CYCLE__ = rest
 ), constraint_sets AS (
   SELECT s.event_id, s.ts, list(n.item_id) AS items
   FROM constraint_spec s JOIN part_names n USING (p_partkey) GROUP BY s.event_id, s.ts
@@ -169,16 +171,18 @@ users AS (
       AND target_type IN ('content', 'cosmetic', 'item')) WHERE rn <= 10
 ), vecs AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings
+), vec_keys AS (
+  SELECT 'i' AS kind, n.item_id AS id, p_partkey AS k FROM part_names n WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT 'i', concat('content ', o_orderkey), o_orderkey FROM orders WHERE o_orderkey % 7 <> 0
+  UNION ALL SELECT 'u', concat('u', c_custkey), c_custkey FROM customer WHERE c_custkey % 3 <> 0
+), given AS (
+  SELECT kind, id, CASE WHEN (k // (n * len(f))) % 2 = 1 THEN list_transform(t, lambda x: -x) ELSE t END AS f FROM (
+    SELECT kind, id, k, n, f, list_concat(f[(k // n) % len(f) + 1:], f[:(k // n) % len(f)]) AS t
+    FROM vec_keys, (SELECT count(*) AS n FROM embeddings), vecs WHERE vec_id = k % n)
 ), item_vecs AS (
-  SELECT n.item_id, v.f FROM vecs v JOIN part_names n ON v.vec_id = n.p_partkey
-  WHERE v.vec_id < 100 AND n.item_id IN (SELECT item_id FROM items)
-  UNION ALL
-  SELECT concat('content ', vec_id - 400) AS item_id, f FROM vecs
-  WHERE vec_id BETWEEN 400 AND 499 AND concat('content ', vec_id - 400) IN (SELECT item_id FROM items)
+  SELECT id AS item_id, f FROM given WHERE kind = 'i'
 ), user_vecs AS (
-  SELECT concat('u', vec_id - 100) AS user_id, f FROM vecs
-  WHERE vec_id BETWEEN 100 AND 399 AND (vec_id - 100) % 3 <> 0
-    AND concat('u', vec_id - 100) IN (SELECT user_id FROM users)
+  SELECT id AS user_id, f FROM given WHERE kind = 'u'
 ), item_model AS (
   SELECT i.*, v.f, coalesce(p.popularity, 0.0::DOUBLE) AS popularity
   FROM items i LEFT JOIN item_vecs v ON i.item_id = v.item_id LEFT JOIN popularity p ON i.item_id = p.item_id
@@ -327,13 +331,18 @@ SELECT CASE WHEN event = 'cancel_scrap' THEN 'scrap' ELSE event END AS kind, use
        CASE WHEN event IN ('scrap', 'cancel_scrap') THEN event = 'scrap' END AS scrap
 FROM tlog""",
     "property_fold": "SELECT entity_id, prop_a, prop_b FROM folded_users",
-    "valid_events": "SELECT event, user_id, item_id, event_id FROM vlog",
+    "valid_events": """
+SELECT event, user_id, item_id, event_id FROM tlog
+WHERE user_id IN (SELECT user_id FROM users) AND item_id IN (SELECT item_id FROM items)
+  AND user_id NOT IN (SELECT concat('u', c_custkey) FROM customer WHERE c_custkey % 10 = 9)
+  AND item_id NOT IN (SELECT item_id FROM part_names WHERE p_partkey % 25 = 24)""",
     "orphan_events": """
-SELECT event_id, event, user_id, item_id,
-       CASE WHEN user_id NOT IN (SELECT user_id FROM users) AND item_id NOT IN (SELECT item_id FROM items) THEN 'user,item'
-            WHEN user_id NOT IN (SELECT user_id FROM users) THEN 'user' ELSE 'item' END AS missing
-FROM tlog
-WHERE user_id NOT IN (SELECT user_id FROM users) OR item_id NOT IN (SELECT item_id FROM items)""",
+SELECT event_id, event, user_id, item_id, CASE WHEN u AND i THEN 'user,item' WHEN u THEN 'user' ELSE 'item' END AS missing
+FROM (SELECT *,
+        user_id NOT IN (SELECT concat('u', c_custkey) FROM customer WHERE c_custkey % 10 <> 9) AS u,
+        item_id NOT IN (SELECT item_id FROM items)
+          OR item_id IN (SELECT item_id FROM part_names WHERE p_partkey % 25 = 24) AS i FROM tlog)
+WHERE u OR i""",
     "affinity_view": "SELECT * FROM a_view",
     "affinity_play": "SELECT * FROM a_play",
     "affinity_own": "SELECT * FROM a_own",
@@ -415,5 +424,6 @@ BODIES["live_popularity"] = BODIES["popularity_total"]
 
 
 def oracle_sql() -> dict[str, str]:
-    ctes = BASE_CTES.replace("__REQUESTS__", _request_values()).replace("__CONSTRAINTS__", _constraint_values())
+    ctes = (BASE_CTES.replace("__REQUESTS__", _request_values()).replace("__CONSTRAINTS__", _constraint_values())
+            .replace("__CYCLE__", str(CONSTRAINT_CYCLE)))
     return {name: f"WITH {ctes.strip()}\n{body.strip()}" for name, body in BODIES.items()}

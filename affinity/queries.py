@@ -106,13 +106,14 @@ def q_property_fold(spark, sf_dir):
 @register("valid_events")
 def q_valid_events(spark, sf_dir):
     t = load(spark, sf_dir)
-    return md.valid_training_log(_data(t), P).select("event", "user_id", "item_id", "event_id")
+    known = md.TrainingData(t.registered_users, t.registered_items, t.log)
+    return md.valid_training_log(known, P).select("event", "user_id", "item_id", "event_id")
 
 
 @register("orphan_events")
 def q_orphan_events(spark, sf_dir):
     t = load(spark, sf_dir)
-    o = ev.orphan_events(ev.training_log(t.log, P), t.users, t.items)
+    o = ev.orphan_events(ev.training_log(t.log, P), t.registered_users, t.registered_items)
     return o.select("event_id", "event", "user_id", "item_id", "missing")
 
 

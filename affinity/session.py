@@ -20,8 +20,6 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # row_number() <= k gets a map-side partial limit up to this k
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
@@ -35,7 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf.setdefault("spark.driver.memory", os.environ.get("AFFINITY_DRIVER_MEMORY", "12g"))
     if extra:
         conf.update(extra)
-    if "spark.checkpoint.dir" not in conf and not _active_conf("spark.checkpoint.dir"):
+    if (master or "local").startswith("local") and "spark.checkpoint.dir" not in conf \
+            and not _active_conf("spark.checkpoint.dir"):
         # local runs only: a fresh scratch folder per session
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="affinity-ckpt-", dir="/tmp")
     for k, v in conf.items():
@@ -49,8 +48,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is read from the session. Only where it is
-    unset (tests, local runs) a scratch folder is created and set.
+    The setting is read from the session. Only a local master without it (tests,
+    local runs) gets a scratch folder; on a cluster a driver-local folder would be
+    invisible to the executors, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="affinity-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -97,7 +99,8 @@ def store_bucketed(df, name: str, by: str, buckets: int, sort_by: tuple[str, ...
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{table}"
-    writer = df.write.bucketBy(buckets, by)
+    # rows meet their bucket before the write, so each bucket is one file
+    writer = df.repartition(buckets, by).write.bucketBy(buckets, by)
     if sort_by:
         writer = writer.sortBy(*sort_by)
     writer.option("path", path).saveAsTable(table)

@@ -37,6 +37,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def user_id(key: Column) -> Column:
+    return F.concat(F.lit("u"), key.cast("string"))
+
+
 def part_item_id(name: Column, key: Column) -> Column:
     """Cosmetic ids double as display names: '<p_name> <p_partkey>'."""
     return F.concat(name, F.lit(" "), key.cast("string"))
@@ -82,7 +86,8 @@ REQUEST_CASES = [
     ("q27", "u6", 10, "content", "red", None, None, None, None, None, None, None),
 ]
 
-# constraint log: an older $set with parts 1, 2, 3 and a newer one with 3, 4, 5
+# constraint log: an older $set with the parts whose key is 1, 2 or 3 modulo 500, a newer one with 3, 4 or 5
+CONSTRAINT_CYCLE = 500
 CONSTRAINT_SETS = [
     (1, "2023-12-30 00:00:00", [1, 2, 3]),
     (2, "2023-12-31 00:00:00", [3, 4, 5]),
@@ -105,9 +110,20 @@ class Tables:
 
     @cached_property
     def users(self) -> DataFrame:
-        c = self.raw("customer")
-        return (c.filter(F.col("c_custkey") % 10 != 9)
-                .select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id")))
+        return self.raw("customer").select(user_id(F.col("c_custkey")).alias("user_id"))
+
+    @cached_property
+    def registered_users(self) -> DataFrame:
+        """Users but every tenth customer: makes events of unknown users for F1 and F2."""
+        c = self.raw("customer").filter(F.col("c_custkey") % 10 != 9)
+        return c.select(user_id(F.col("c_custkey")).alias("user_id"))
+
+    @cached_property
+    def registered_items(self) -> DataFrame:
+        """Items but every 25th part: makes events on unknown items for F1 and F2."""
+        gone = (self.raw("part").filter(F.col("p_partkey") % 25 == 24)
+                .select(part_item_id(F.col("p_name"), F.col("p_partkey")).alias("item_id")))
+        return self.items.join(gone, "item_id", "left_anti")
 
     @cached_property
     def part_names(self) -> DataFrame:
@@ -116,7 +132,7 @@ class Tables:
 
     @cached_property
     def cosmetics(self) -> DataFrame:
-        p = self.raw("part").filter(F.col("p_partkey") % 25 != 24)
+        p = self.raw("part")
         size = F.when(F.col("p_size") >= 25, F.lit("large size")).otherwise(F.lit("small size"))
         return p.select(
             part_item_id(F.col("p_name"), F.col("p_partkey")).alias("item_id"),
@@ -166,8 +182,8 @@ class Tables:
     def constraint_log(self) -> DataFrame:
         """Two $set events of constraint/unavailableItems naming part items."""
         rows = [(eid, ts, key) for eid, ts, keys in CONSTRAINT_SETS for key in keys]
-        spec = self.spark.createDataFrame(rows, "event_id long, ts string, p_partkey long")
-        named = spec.join(self.part_names, "p_partkey", "inner")
+        spec = F.broadcast(self.spark.createDataFrame(rows, "event_id long, ts string, _rest long"))
+        named = self.part_names.withColumn("_rest", F.col("p_partkey") % CONSTRAINT_CYCLE).join(spec, "_rest")
         return (named.groupBy("event_id", "ts")
                 .agg(F.to_json(F.array_sort(F.collect_list("item_id"))).alias("items"))
                 .select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -181,27 +197,30 @@ class Tables:
         return self.raw("embeddings").select(
             "vec_id", F.col("embedding").cast("array<double>").alias("features"))
 
+    def _given(self, keys: DataFrame, key: str, out: str) -> DataFrame:
+        """A vector for every key: row ``key mod n`` of the embeddings (ids 0 to n - 1), turned by ``key div n``
+        places and, after a whole turn, negated, so that no two keys have the same one."""
+        n = self.raw("embeddings").count()
+        v, k = F.col("features"), F.col(key)
+        turn = F.floor(k / n) % F.size(v)
+        turned = F.concat(F.slice(v, turn.cast("int") + 1, F.size(v)), F.slice(v, F.lit(1), turn.cast("int")))
+        back = F.floor(k / (n * F.size(v))) % 2 == 1
+        placed = keys.withColumn("vec_id", k % n).join(self._vectors, "vec_id")
+        return placed.select(out, F.when(back, F.transform(turned, lambda x: -x)).otherwise(turned).alias("features"))
+
     @cached_property
     def item_vectors(self) -> DataFrame:
-        """Given item vectors: vec 0-99 -> part vec_id, 400-499 -> content vec_id-400."""
-        v = self._vectors
-        parts = (v.filter(F.col("vec_id") < 100)
-                 .join(self.part_names, F.col("vec_id") == F.col("p_partkey"))
-                 .select("item_id", "features"))
-        content = (v.filter((F.col("vec_id") >= 400) & (F.col("vec_id") < 500))
-                   .select(F.concat(F.lit("content "), (F.col("vec_id") - 400).cast("string")).alias("item_id"),
-                           "features"))
-        known = self.items.select("item_id")
-        return parts.unionByName(content).join(known, "item_id", "left_semi")
+        """Given item vectors: all parts but each fifth, all contents but each seventh."""
+        parts = self.part_names.filter(F.col("p_partkey") % 5 != 0)
+        content = (self.raw("orders").filter(F.col("o_orderkey") % 7 != 0)
+                   .select("o_orderkey", F.concat(F.lit("content "), F.col("o_orderkey").cast("string")).alias("item_id")))
+        return self._given(parts, "p_partkey", "item_id").unionByName(self._given(content, "o_orderkey", "item_id"))
 
     @cached_property
     def user_vectors(self) -> DataFrame:
-        """Given user vectors: vec 100-399 -> u{vec_id-100} unless (vec_id-100) % 3 = 0."""
-        v = self._vectors
-        uid = F.col("vec_id") - 100
-        return (v.filter((F.col("vec_id") >= 100) & (F.col("vec_id") < 400) & (uid % 3 != 0))
-                .select(F.concat(F.lit("u"), uid.cast("string")).alias("user_id"), "features")
-                .join(self.users, "user_id", "left_semi"))
+        """Given user vectors: all customers but each third (those are answered from recent items)."""
+        c = self.raw("customer").filter(F.col("c_custkey") % 3 != 0)
+        return self._given(c.select("c_custkey", user_id(F.col("c_custkey")).alias("user_id")), "c_custkey", "user_id")
 
     @cached_property
     def bulk_log(self) -> DataFrame:
@@ -230,6 +249,19 @@ class Tables:
             F.col("l_shipdate").alias("ts"),
         )
 
+    @cached_property
+    def entity_log(self) -> DataFrame:
+        """All users and items as $set property events, as an event collector holds them."""
+        p = F.map_filter(F.create_map(
+            F.lit("categories"), F.to_json("categories"), F.lit("brand"), F.col("brand"),
+            F.lit("cosmetics"), F.to_json("cosmetics"), F.lit("upload_date"), F.col("upload_date")), lambda k, v: v.isNotNull())
+        empty = F.create_map().cast("map<string,string>")
+        rows = (self.items.select(F.col("item_type").alias("entity_type"), F.col("item_id").alias("entity_id"), p.alias("properties"))
+                .unionByName(self.users.select(F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id"),
+                                               empty.alias("properties"))))
+        return rows.select(F.lit(0).cast("long").alias("event_id"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                           "entity_type", "entity_id", F.lit("$set").alias("event"), "properties")
+
     @cached_property
     def requests(self) -> DataFrame:
         """The fixed request cases with P(k) resolved to item ids by joins."""
