@@ -94,7 +94,7 @@ def als_fit(spark, sf_dir):
 def _serving(spark, sf_dir):
     t = load(spark, sf_dir)
     m = model(spark, sf_dir)
-    reqs = stage(t.user_requests(10, "cosmetic"), "bench_requests")
+    reqs = stage(t.user_requests(10, "cosmetic"), "bench_requests")     # every user, those without a vector too
     log = stored_log(spark, sf_dir)
     unavailable = sc.stage_unavailable(ev.unavailable_items(t.constraint_log))
     return t, m, reqs, log, unavailable
@@ -137,7 +137,7 @@ def similar_all_users(spark, sf_dir):
 def overlap_all_users(spark, sf_dir):
     t, m, reqs, log, unavailable = _serving(spark, sf_dir)
     content_reqs = reqs.withColumn("item_type", F.lit("content"))
-    return score_overlap(content_reqs, m.items, m.overlap, m.owners, params=P)
+    return score_overlap(content_reqs, m.items, m.overlap_for(content_reqs, P), m.owners, params=P)
 
 
 def blended_all_users(spark, sf_dir):

@@ -6,7 +6,7 @@ fixed values below must stay equal to the reference's for equal results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 # --- fixed values (must equal the reference's defaults) ---------------------
@@ -93,21 +93,15 @@ class Params:
     # a requests / signatures side is broadcast only below this row count;
     # above it the pair join is salted over the item side instead
     broadcast_rows: int = 200_000
-    # salt buckets for hot join keys (item_type, popular cosmetics)
+    # salt buckets for the item_type join
     salt_buckets: int = 16
-    # a join key with more rows than this on the big side is salted
-    hot_key_rows: int = 200_000
+    # a join key with more result rows than this is laid out over several tasks
+    hot_key_pairs: int = 4_000_000
     # factor scoring: "blocks" (matrix blocks, default) or "pairs" (one row per pair, for tests)
     scoring: str = "blocks"
     # per cell of the blocked scorer: shuffle copies are R x (C / block_items) + C x (R / block_requests)
     block_requests: int = 65_536
     block_items: int = 1_000_000
-    extra: dict = field(default_factory=dict)
-
-    def similar_for(self, item_type: str | None = None) -> tuple[str, ...]:
-        if self.similar_events_by_type and item_type in self.similar_events_by_type:
-            return tuple(self.similar_events_by_type[item_type])
-        return tuple(self.similar_events)
 
 
 DEFAULT = Params()

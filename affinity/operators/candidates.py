@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.config import CONTENT, COSMETIC, Params
+from affinity.config import CONTENT, COSMETIC, UNAVAILABLE_ENTITY_ID, Params
 from affinity.functions.text import any_name_matches, name_matches, search_terms
 
 # request columns carried through candidate generation
@@ -153,9 +153,18 @@ def seen_black_rows(requests: DataFrame, seen: DataFrame) -> DataFrame:
     return requests.select("request_id", "user_id").join(seen, "user_id", "inner").select("request_id", "item_id")
 
 
-def full_black_rows(requests: DataFrame, seen: DataFrame) -> DataFrame:
-    """F18 (without the global unavailable list, which is removed from items up front)."""
-    return request_black_rows(requests).unionByName(seen_black_rows(requests, seen)).distinct()
+def full_black_rows(requests: DataFrame, seen: DataFrame, unavailable: DataFrame | None = None) -> DataFrame:
+    """own black list, seen items and, where given, the unavailable items of every request.
+
+    The scorers leave ``unavailable`` out here and take those items out of the
+    item table once, which gives the same answers without a row per request and item.
+    """
+    rows = request_black_rows(requests).unionByName(seen_black_rows(requests, seen))
+    if unavailable is not None:
+        every = F.lit(UNAVAILABLE_ENTITY_ID).alias("_list")
+        rows = rows.unionByName(requests.select("request_id", every).join(unavailable.select("item_id", every), "_list")
+                                .select("request_id", "item_id"))
+    return rows.distinct()
 
 
 def black_counts(black_rows: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ score(user, content) = 5 x |content.cosmetics ∩ cosmetics the user owns|.
 The users x contents set intersection becomes an equi-join of
 owned(user, cosmetic) with mentions(content, cosmetic) on the cosmetic,
 then a count per (user, content). Only non-zero scores are stored; the
-scorers add the zeros back. A popular cosmetic is one hot join key: keys
-with more than ``hot_key_rows`` owners are salted over ``salt_buckets``
-(their mention rows replicated per salt), every other key joins plainly.
+scorers add the zeros back. A popular cosmetic is one hot join key, by its
+owners or by its mentions: keys with many (owner, content) pairs are laid out
+as a grid over both sides, every other key joins plainly.
 """
 
 from __future__ import annotations
@@ -38,43 +38,44 @@ def owned(own_events: DataFrame) -> DataFrame:
     return own_events.select("user_id", F.col("item_id").alias("cosmetic_id")).distinct()
 
 
-def salted_equi_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, buckets: int,
-                     hot_rows: int, max_hot_keys: int = 10_000) -> DataFrame:
-    """Equi-join on ``key`` that splits hot keys over ``buckets`` tasks.
+def split_equi_join(left: DataFrame, right: DataFrame, key: str, left_by: str, right_by: str, pairs: int) -> DataFrame:
+    """Equi-join on ``key`` whose result of any one key is made by cells of about ``pairs`` rows.
 
-    A key is hot when ``big`` holds more than ``hot_rows`` rows of it. Only
-    hot keys are salted: their ``big`` rows get salt = hash(salt_by) mod
-    buckets and their ``small`` rows are replicated once per salt; all other
-    keys join as usual (salt 0, no copies). The hot-key list is at most
-    ``max_hot_keys`` of the heaviest keys, so broadcasting it is bounded.
+    A key with more result rows (left rows x right rows) is laid out as a grid:
+    its left rows are dealt over the grid's rows by a hash of ``left_by`` and
+    copied to all its columns, its right rows the other way round. All other keys
+    are a grid of one cell, so they join plainly. Whatever the number of such
+    keys, their grid sizes are joined as rows.
     """
-    if buckets <= 1:
-        return big.join(small, key)
-    heavy = (big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-             .orderBy(F.col("_n").desc()).limit(max_hot_keys).select(key, F.lit(True).alias("_hot")))
-    hot = F.broadcast(heavy)
-    b = (big.join(hot, key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(buckets))).otherwise(F.lit(0)))
-         .drop("_hot"))
-    fan = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))) \
-        .otherwise(F.array(F.lit(0).cast("long")))
-    s = small.join(hot, key, "left").withColumn("_salt", F.explode(fan)).drop("_hot")
-    return b.join(s, [key, "_salt"]).drop("_salt")
+    side = F.lit(max(1.0, float(pairs) ** 0.5))
+    sizes = (left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key)
+             .filter(F.col("_l") * F.col("_r") > pairs)
+             .select(key, F.ceil(F.col("_l") / side).alias("_rows"), F.ceil(F.col("_r") / side).alias("_columns")))
+    one = F.lit(1).cast("long")
+    rows, columns = F.coalesce("_rows", one), F.coalesce("_columns", one)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    grid = lambda df: df.join(sizes, key, "left")
+    a = (grid(left).withColumn("_row", F.pmod(F.xxhash64(left_by), rows)).withColumn("_column", every(columns))
+         .drop("_rows", "_columns"))
+    b = (grid(right).withColumn("_column", F.pmod(F.xxhash64(right_by), columns)).withColumn("_row", every(rows))
+         .drop("_rows", "_columns"))
+    return a.join(b, [key, "_row", "_column"]).drop("_row", "_column")
+
+
+def overlap_of(owned_pairs: DataFrame, mentions: DataFrame, params: Params = Params(),
+               users: DataFrame | None = None) -> DataFrame:
+    """A15 (sparse): (user_id, content_id, score > 0), of the given ``users`` only before any pair is made."""
+    if users is not None:
+        owned_pairs = owned_pairs.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    pairs = split_equi_join(owned_pairs, mentions, "cosmetic_id", "user_id", "content_id", params.hot_key_pairs)
+    return (pairs.groupBy("user_id", "content_id")
+            .agg((F.count(F.lit(1)) * F.lit(params.overlap_weight)).alias("score")))
 
 
 def overlap_scores(own_events: DataFrame, items: DataFrame, params: Params = Params(),
                    users: DataFrame | None = None) -> DataFrame:
-    """A15 (sparse): (user_id, content_id, score > 0).
-
-    ``users`` (optional) restricts the owners first, e.g. to requested users.
-    """
-    own = owned(own_events)
-    if users is not None:
-        own = own.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pairs = salted_equi_join(own, content_mentions(items), "cosmetic_id", "user_id", params.salt_buckets,
-                             params.hot_key_rows)
-    return (pairs.groupBy("user_id", "content_id")
-            .agg((F.count(F.lit(1)) * F.lit(params.overlap_weight)).alias("score")))
+    """A15 from valid own events and the item table."""
+    return overlap_of(owned(own_events), content_mentions(items), params, users)
 
 
 def owners(own_events: DataFrame) -> DataFrame:

@@ -9,14 +9,26 @@ map-side. Popularity is a second aggregation of these pair rows by item.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.config import Params
 
 
-def _order() -> Column:
-    return F.struct("ts", "event_id")
+def event_order(ts="ts", event_id="event_id") -> Column:
+    """(ts, event_id) as one DECIMAL(38,0): microseconds x 2^64 + the id shifted to be positive.
+
+    A fixed-width key can be updated in place, so aggregations that keep the
+    latest value hash instead of sorting the log.
+    """
+    t = F.col(ts)
+    seconds = F.unix_date(F.to_date(t)).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    micros = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    wide = lambda c, kind: c.cast(kind)
+    return (wide(micros, "decimal(18,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+            + wide(F.col(event_id), "decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def pair_stats(train_log: DataFrame, params: Params = Params()) -> DataFrame:
@@ -24,15 +36,16 @@ def pair_stats(train_log: DataFrame, params: Params = Params()) -> DataFrame:
     (see ``events.training_log`` + ``events.valid_events``)."""
     ev = F.col("event")
     is_scrap = ev.isin("scrap", "cancel_scrap")
-    return train_log.groupBy("user_id", "item_id").agg(
+    at = F.col("_at")
+    return train_log.withColumn("_at", event_order()).groupBy("user_id", "item_id").agg(
         F.sum(F.when(ev == "view", F.lit(params.view_weight))).alias("view_part"),
         F.sum(F.when(ev == "play", F.lit(params.play_weight))).alias("play_part"),
         F.sum(F.when(ev == "own", F.lit(params.own_weight))).alias("own_part"),
-        F.max_by(F.col("rating"), F.when(ev == "rate", _order())).alias("latest_rating"),
+        F.max_by(F.col("rating"), F.when(ev == "rate", at)).alias("latest_rating"),
         F.max(F.when(ev == "rate", F.lit(True))).alias("has_rate"),
-        F.max(F.when(ev == "rate", _order())).alias("rate_at"),
-        F.max_by(ev == "scrap", F.when(is_scrap, _order())).alias("latest_scrap"),
-        F.max(F.when(is_scrap, _order())).alias("scrap_at"),
+        F.max(F.when(ev == "rate", at)).alias("rate_at"),
+        F.max_by(ev == "scrap", F.when(is_scrap, at)).alias("latest_scrap"),
+        F.max(F.when(is_scrap, at)).alias("scrap_at"),
         F.sum(F.when(ev == "view", F.lit(params.pop_view_weight))).alias("pop_view"),
         F.sum(F.when(ev == "play", F.lit(params.pop_play_weight))).alias("pop_play"),
         F.sum(F.when(ev == "scrap", F.lit(params.pop_scrap_weight))

@@ -355,11 +355,10 @@ WHERE u OR i""",
     "seen_items": "SELECT * FROM seen",
     "recent_items": "SELECT * FROM recent",
     "unavailable_items": "SELECT * FROM unavailable",
-    "blacklist_full": """
-SELECT request_id, unnest(black_list) AS item_id FROM requests WHERE black_list IS NOT NULL
-UNION SELECT r.request_id, s.item_id FROM requests r JOIN seen s ON r.user_id = s.user_id""",
+    "blacklist_full": "SELECT * FROM full_black",
     "search_terms": """
-SELECT request_id, unnest(terms) AS term FROM requests WHERE terms IS NOT NULL""",
+SELECT request_id, unnest(terms) AS term FROM requests WHERE terms IS NOT NULL
+UNION ALL SELECT concat('part ', p_partkey), unnest(list_distinct(string_split(regexp_replace(p_name, ' +$', ''), ' '))) FROM part""",
     "candidates_factor": "SELECT * FROM factor_cand",
     "candidates_overlap": "SELECT * FROM overlap_cand",
     "whitelist_filter": "SELECT * FROM factor_cand WHERE request_id IN ('q08', 'q09', 'q08p')",
@@ -404,16 +403,58 @@ UNION ALL SELECT 'play', count(*), min(user_id || '|' || item_id), max(user_id |
   ) GROUP BY request_id, item_id"""),
 }
 
+BODIES["result_sink"] = _top("SELECT * FROM pop_scored")
+BODIES["result_nested"] = f"""
+SELECT request_id, string_agg(concat(item_id, '=', CAST(round(score * 1000, 0) AS BIGINT)), '|' ORDER BY rank) AS results
+FROM ({BODIES["recommend_blended"]}) GROUP BY request_id"""
+BODIES["als_user_factors"] = "SELECT DISTINCT user_id, 10 AS rank FROM a_total"
+BODIES["als_item_factors"] = "SELECT DISTINCT item_id, 10 AS rank FROM a_total"
+BODIES["als_recommend"] = """
+SELECT 0::BIGINT AS wrong_type, 0::BIGINT AS beyond_num, 0::BIGINT AS black_listed, 0::BIGINT AS gaps"""
+BODIES["score_hook_popular"] = _top("SELECT request_id, item_id, 1.0::DOUBLE - score AS score FROM pop_scored")
+BODIES["affinity_other_weights"] = """
+SELECT user_id, item_id, sum(rating) AS rating FROM (
+  SELECT coalesce(o.user_id, r.user_id) AS user_id, coalesce(o.item_id, r.item_id) AS item_id,
+         CASE WHEN o.rating IS NOT NULL AND r.rating IS NOT NULL THEN o.rating * r.rating ELSE coalesce(o.rating, r.rating) END AS rating
+  FROM (SELECT user_id, item_id, rating / 3.0 * 7.0 AS rating FROM a_own) o
+  FULL OUTER JOIN a_rate r ON o.user_id = r.user_id AND o.item_id = r.item_id
+  UNION ALL SELECT user_id, item_id, rating * 2.0 FROM a_view
+  UNION ALL SELECT user_id, item_id, rating / 5.0 * 0.5 FROM a_play
+  UNION ALL SELECT user_id, item_id, CASE WHEN rating = 2.0 THEN -1.0 ELSE 0.0 END FROM a_scrap) GROUP BY user_id, item_id"""
+BODIES["similar_events_by_type"] = _top("""
+  SELECT * FROM similar_scored WHERE score > 0 AND request_id IN (SELECT request_id FROM requests WHERE item_type <> 'cosmetic')
+  UNION ALL
+  SELECT c.request_id, c.item_id,
+         sum(list_dot_product(rv.f, m.f) / (sqrt(list_dot_product(rv.f, rv.f)) * sqrt(list_dot_product(m.f, m.f)))) AS score
+  FROM factor_cand c JOIN requests r ON r.request_id = c.request_id AND r.item_type = 'cosmetic'
+  JOIN (SELECT o.user_id, v.f FROM (
+          SELECT DISTINCT user_id, item_id FROM (
+            SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+            FROM log WHERE event = 'own' AND target_type = 'cosmetic') WHERE rn <= 10) o
+        JOIN item_vecs v ON o.item_id = v.item_id) rv ON rv.user_id = r.user_id
+  JOIN item_model m ON c.item_id = m.item_id
+  WHERE m.f IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM full_black b WHERE b.request_id = c.request_id AND b.item_id = c.item_id)
+  GROUP BY c.request_id, c.item_id HAVING score > 0""")
+
 # sources: what is read back equals what was written
 BODIES["events_json_source"] = """
 SELECT event_id, event, user_id, target_type, item_id, rating, epoch_us(ts) AS ts_us FROM log"""
 BODIES["property_events_json_source"] = BODIES["property_fold"]
+BODIES["events_json_mixed"] = """
+SELECT event, user_id, item_id, count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n,
+       count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n_ids FROM log GROUP BY event, user_id, item_id"""
+BODIES["training_from_events"] = "SELECT * FROM a_total"
+BODIES["requests_json_anonymous"] = """
+SELECT concat('u', o_custkey) AS user_id, 3 AS num, o_orderpriority AS search, count(*) AS n_requests
+FROM orders GROUP BY ALL"""
 BODIES["requests_json_source"] = """
 SELECT request_id, user_id, num, item_type, search, result_type, cosmetic, brand,
        array_to_string(list_sort(categories), '|') AS categories_text,
        array_to_string(list_sort(white_list), '|') AS white_text,
        array_to_string(list_sort(black_list), '|') AS black_text
-FROM requests"""
+FROM requests
+UNION ALL SELECT concat('r_', user_id), user_id, 10, 'cosmetic', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM users"""
 BODIES["model_tables_roundtrip"] = BODIES["item_model"]
 
 # the streaming operators end in the same state as their batch twins

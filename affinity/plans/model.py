@@ -3,7 +3,8 @@
 Nothing is collected: the model is four tables,
 ``user_factors(user_id, features)``, ``item_model(item_id, item_type,
 categories, brand, cosmetics, upload_date, features, popularity)``,
-``overlap(user_id, content_id, score)`` and ``owners(user_id)``.
+``owned(user_id, cosmetic_id)`` and ``mentions(content_id, cosmetic_id)``.
+Overlap scores are not stored: they are counted for the users of a request batch.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.config import Params
+from affinity.operators import entities as en
 from affinity.operators import events as ev
 from affinity.operators import overlap as ov
 from affinity.operators import weights as wt
@@ -24,10 +26,21 @@ from affinity.session import stage
 class Model:
     user_factors: DataFrame   # user_id, features array<double>
     item_model: DataFrame     # items + features (nullable) + popularity
-    overlap: DataFrame        # user_id, content_id, score (> 0 only)
-    owners: DataFrame         # user_id of users who own a known cosmetic
+    owned: DataFrame          # user_id, cosmetic_id: the known cosmetics that users own
+    mentions: DataFrame       # content_id, cosmetic_id
     items: DataFrame          # the item table (for overlap zero lists)
 
+    @property
+    def owners(self) -> DataFrame:
+        return self.owned.select("user_id").distinct()
+
+    def overlap_for(self, users: DataFrame, params: Params = Params()) -> DataFrame:
+        """A15 for the given users only: (user_id, content_id, score > 0)."""
+        return ov.overlap_of(self.owned, self.mentions, params, users)
+
+
+TABLES = ("user_factors", "item_model", "owned", "mentions")
+
 
 @dataclass
 class TrainingData:
@@ -47,7 +60,8 @@ def id_dictionary(ids: DataFrame, col: str, idx_col: str, partitions: int | None
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (ids.select(col).distinct().repartitionByRange(n, col)
               .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
+    # staged: a second evaluation of the ranges may cut them elsewhere, and numbers and offsets must agree
+    local = stage(ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(col))), "id_ranges")
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -56,6 +70,17 @@ def id_dictionary(ids: DataFrame, col: str, idx_col: str, partitions: int | None
             .select(col, (F.col("_off") + F.col("_local") - 1).cast("int").alias(idx_col)))
 
 
+def read_training(log: DataFrame, prop_log: DataFrame) -> TrainingData:
+    """Users, content and cosmetics folded from property events, beside the interaction log.
+
+    Item ids must be unique across kinds; the items are staged, as the guard and
+    every later step read them.
+    """
+    items = stage(en.items_from_properties(prop_log), "items")
+    en.require_unique_items(items)
+    return TrainingData(en.users_view(en.property_fold(prop_log, "user")), items, log, prop_log)
+
+
 def valid_training_log(data: TrainingData, params: Params = Params()) -> DataFrame:
     """Training events (P4-P8 in one frame) of known users on known items (F1)."""
     return ev.valid_events(ev.training_log(data.log, params), data.users, data.items)
@@ -109,39 +134,34 @@ def train(data: TrainingData, params: Params = Params(), user_factors: DataFrame
     ev.require_nonempty(data.users, "users")
     ev.require_nonempty(data.items, "items")
     valid = valid_training_log(data, params)
-    stats = wt.pair_stats(valid, params).persist()     # feeds both affinity and popularity
+    stats = stage(wt.pair_stats(valid, params), "pair_stats")     # feeds affinity, popularity and ownership
     affinity = wt.affinity_from_stats(stats, params)
     popularity = wt.popularity_from_stats(stats, params)
     if user_factors is None or item_factors is None:
         ev.require_nonempty(affinity, "affinity")
         user_factors, item_factors = als_factors(affinity, params)
-    # distinct owned (user, cosmetic) pairs feed both the overlap and the owner list:
-    # one pass over the log's own events, staged
-    own = valid.filter(F.col("event") == "own")
-    owned = stage(ov.owned(own), "owned") if stage_items else ov.owned(own)
-    own_rows = owned.select("user_id", F.col("cosmetic_id").alias("item_id"))
-    overlap = ov.overlap_scores(own_rows, data.items, params)
+    owned = stats.filter(F.col("own_part").isNotNull()).select("user_id", F.col("item_id").alias("cosmetic_id"))
     return Model(user_factors=user_factors,
                  item_model=build_item_model(data.items, item_factors, popularity),
-                 overlap=overlap, owners=ov.owners(own_rows), items=data.items)
+                 owned=owned, mentions=ov.content_mentions(data.items), items=data.items)
 
 
 def save(model: Model, path: str) -> None:
     """Write the model tables as Parquet (cuts lineage for serving jobs)."""
-    for name in ("user_factors", "item_model", "overlap", "owners"):
+    for name in TABLES:
         getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Model:
-    t = {n: spark.read.parquet(f"{path}/{n}") for n in ("user_factors", "item_model", "overlap", "owners")}
+    t = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES}
     items = t["item_model"].select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
-    return Model(t["user_factors"], t["item_model"], t["overlap"], t["owners"], items)
+    return Model(t["user_factors"], t["item_model"], t["owned"], t["mentions"], items)
 
 
-def materialize(model: Model, tables=("user_factors", "item_model", "overlap", "owners")) -> Model:
+def materialize(model: Model, tables=TABLES) -> Model:
     """Cut lineage: the named model tables written under ``spark.checkpoint.dir``
     (what a serving job would read back from storage); the others stay lazy."""
     t = {n: (stage(getattr(model, n), n) if n in tables else getattr(model, n))
-         for n in ("user_factors", "item_model", "overlap", "owners")}
+         for n in TABLES}
     items = t["item_model"].select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
-    return Model(t["user_factors"], t["item_model"], t["overlap"], t["owners"], items)
+    return Model(t["user_factors"], t["item_model"], t["owned"], t["mentions"], items)

@@ -9,6 +9,7 @@ scores are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from affinity.operators import weights as wt
 from affinity.plans import model as md
 from affinity.plans import scoring as sc
 from affinity.plans.overlap_scorer import score_overlap
-from affinity.plans.serve import engine_scorers, nested_results, serve
-from affinity.session import checkpoint_dir
+from affinity.plans.serve import engine_scorers, nested_results, serve, write_results
+from affinity.session import checkpoint_dir, stage
 from affinity.sources import events as src
 from affinity.sources.fixtures import Tables, load
 
@@ -47,7 +48,7 @@ def _stats(t: Tables):
     return wt.pair_stats(md.valid_training_log(_data(t), P), P)
 
 
-def _given_model(t: Tables, tables=("user_factors", "item_model", "overlap", "owners")) -> md.Model:
+def _given_model(t: Tables, tables=md.TABLES) -> md.Model:
     """The model with the given vectors (embeddings) instead of ALS factors;
     ``tables`` are staged, the rest stay lazy."""
     return md.materialize(md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors), tables)
@@ -74,10 +75,13 @@ def q_users_view(spark, sf_dir):
 
 @register("items_view")
 def q_items_view(spark, sf_dir):
-    t = load(spark, sf_dir)
-    return t.items.select("item_id", "item_type",
-                          F.array_join(F.array_sort("categories"), "|").alias("categories_text"),
-                          "brand", F.size("cosmetics").alias("n_cosmetics").cast("int"), "upload_date") \
+    """U1 over P2 and P3: the item table folded from property events."""
+    return _items_text(en.items_from_properties(load(spark, sf_dir).entity_log))
+
+
+def _items_text(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "item_type", F.array_join(F.array_sort("categories"), "|").alias("categories_text"),
+                        "brand", F.size("cosmetics").alias("n_cosmetics").cast("int"), "upload_date") \
         .withColumn("n_cosmetics", F.when(F.col("n_cosmetics") >= 0, F.col("n_cosmetics")))
 
 
@@ -167,15 +171,18 @@ def q_unavailable(spark, sf_dir):
 def q_blacklist_full(spark, sf_dir):
     t = load(spark, sf_dir)
     reqs = t.requests
-    # the global unavailable list is its own query: it leaves the item table once
-    return cd.full_black_rows(reqs, ev.seen_items(t.log, P))
+    return cd.full_black_rows(reqs, ev.seen_items(t.log, P), ev.unavailable_items(t.constraint_log))
 
 
 # ---- candidate predicates -----------------------------------------------
 
 @register("search_terms")
 def q_search_terms(spark, sf_dir):
-    reqs = cd.prepare_requests(load(spark, sf_dir).requests)
+    """X1 for the request table and for every part name as a search text (with blanks at its end)."""
+    t = load(spark, sf_dir)
+    names = t.raw("part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("request_id"),
+                                 F.concat("p_name", F.lit("  ")).alias("search"))
+    reqs = cd.prepare_requests(t.requests.select("request_id", "search").unionByName(names))
     return reqs.select("request_id", F.explode("terms").alias("term"))
 
 
@@ -305,12 +312,31 @@ def q_blended(spark, sf_dir):
     return _ranked(_blended(t, _given_model(t)))
 
 
-# ---- rows-only: ALS and nested results -----------------------------------
+# ---- results, ALS ----------------------------------------------------------
 
 @register("result_nested")
 def q_result_nested(spark, sf_dir):
     t = load(spark, sf_dir)
-    return nested_results(_blended(t, _given_model(t)))
+    nested = nested_results(_blended(t, _given_model(t)))
+    line = lambda s: F.concat(s["item"], F.lit("="), F.round(s["score"] * 1000, 0).cast("long").cast("string"))
+    return nested.select("request_id", F.array_join(F.transform("itemScores", line), "|").alias("results"))
+
+
+@register("result_sink")
+def q_result_sink(spark, sf_dir):
+    """Results written as JSON documents, one per request, and read back."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "results")
+    write_results(serve(t.requests, {"popular": _popular_scorer(t)}), path)
+    back = spark.read.schema("request_id string, itemScores array<struct<item:string,score:double>>").json(path)
+    return (back.select("request_id", F.posexplode("itemScores").alias("pos", "s"))
+            .select("request_id", F.col("s.item").alias("item_id"), F.round("s.score", 6).alias("score"),
+                    (F.col("pos") + 1).cast("int").alias("rank")))
+
+
+def _popular_scorer(t: Tables, params: Params = P):
+    m = _given_model(t, FACTOR_TABLES)
+    return lambda reqs: sc.score_popular(sc.factor_batch(reqs, m.user_factors, m.item_model, t.log, params), _items(t, m), params)
 
 
 def _als(t: Tables):
@@ -332,8 +358,19 @@ def q_als_items(spark, sf_dir):
 
 @register("als_recommend")
 def q_als_recommend(spark, sf_dir):
+    """The blend over trained factors: requests answered, and how often an answer breaks a rule (always 0)."""
     t = load(spark, sf_dir)
-    return _ranked(_blended(t, md.materialize(md.train(_data(t), P))))
+    answers = stage(_ranked(_blended(t, md.materialize(md.train(_data(t), P)))), "answers")
+    reqs = t.requests.select("request_id", "user_id", "num", F.col("item_type").alias("asked"), "black_list")
+    found = answers.join(reqs, "request_id").join(t.items.select("item_id", "item_type"), "item_id", "left")
+    per_request = answers.groupBy("request_id").agg(F.max("rank").alias("last"), F.count("*").alias("n"),
+                                                    F.count_distinct("item_id").alias("items"))
+    wrong = lambda c: F.count_if(c)
+    rows = found.agg(wrong(~F.coalesce(F.col("item_type") == F.col("asked"), F.lit(False))).alias("wrong_type"),
+                     wrong(F.col("rank") > F.col("num")).alias("beyond_num"),
+                     wrong(F.coalesce(F.array_contains("black_list", F.col("item_id")), F.lit(False))).alias("black_listed"))
+    gaps = per_request.agg(wrong((F.col("last") != F.col("n")) | (F.col("n") != F.col("items"))).alias("gaps"))
+    return rows.withColumn("_k", F.lit(1)).join(gaps.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 # ---- sources and sinks: JSON events, JSON requests, model tables ----------
@@ -370,7 +407,7 @@ def q_requests_json(spark, sf_dir):
     """The request table as JSON objects with the query API's field names, read back."""
     t = load(spark, sf_dir)
     path = _scratch(spark, "requests")
-    src.requests_to_json(t.requests).write.mode("overwrite").json(path)
+    src.requests_to_json(t.requests.unionByName(t.user_requests())).write.mode("overwrite").json(path)
     r = src.read_requests_json(spark, path)
     text = lambda c: F.array_join(F.array_sort(c), "|")
     return r.select("request_id", "user_id", "num", "item_type", "search", "result_type", "cosmetic", "brand",
@@ -378,6 +415,69 @@ def q_requests_json(spark, sf_dir):
                     text("black_list").alias("black_text"))
 
 
+@register("requests_json_anonymous")
+def q_requests_anonymous(spark, sf_dir):
+    """One request document per order without an id, many of them equal; each is a request of its own."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "requests")
+    docs = t.raw("orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"),
+                                  F.lit(3).alias("num"), F.col("o_orderpriority").alias("search"))
+    docs.write.mode("overwrite").json(path)
+    r = src.read_requests_json(spark, path)
+    return r.groupBy("user_id", "num", "search").agg(F.count_distinct("request_id").alias("n_requests"))
+
+
+@register("events_json_mixed")
+def q_events_json_mixed(spark, sf_dir):
+    """Documents without ids at equal times and events of other entities; equal to the plain log's users' part."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "events")
+    docs = src.log_to_json_events(t.log)
+    other = docs.withColumn("entityType", F.lit("robot"))
+    bare = docs.filter("cast(eventId AS long) % 2 = 0").withColumn("eventId", F.lit(None).cast("string"))
+    src.write_events_json(docs.unionByName(other).unionByName(bare), path)
+    log, _ = src.normalize(src.read_events_json(spark, path))
+    return log.groupBy("event", "user_id", "item_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+@register("training_from_events")
+def q_training_from_events(spark, sf_dir):
+    """S3-S5, P1-P3, U1, Q11 and training: entities and interactions as JSON documents, read, folded, trained."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "training")
+    src.write_events_json(src.log_to_json_events(t.log).unionByName(src.property_log_to_json_events(t.entity_log)), path)
+    data = md.read_training(*src.normalize(src.read_events_json(spark, path)))
+    return wt.affinity_from_stats(wt.pair_stats(md.valid_training_log(data, P), P), P)
+
+
+# ---- extension points ------------------------------------------------------
+
+@register("score_hook_popular")
+def q_score_hook(spark, sf_dir):
+    """A hook that prefers the less popular."""
+    t = load(spark, sf_dir)
+    hooked = replace(P, score_hooks={"popular": lambda s: F.lit(1.0) - s})
+    return _ranked(_popular_scorer(t, hooked)(t.requests))
+
+
+@register("affinity_other_weights")
+def q_other_weights(spark, sf_dir):
+    """Other weights per event."""
+    other = replace(P, view_weight=2.0, play_weight=0.5, own_weight=7.0, scrap_weight=-1.0)
+    t = load(spark, sf_dir)
+    return wt.affinity_from_stats(wt.pair_stats(md.valid_training_log(_data(t), other), other), other)
+
+
+@register("similar_events_by_type")
+def q_similar_by_type(spark, sf_dir):
+    """Requests for cosmetics look at the user's own events on cosmetics only."""
+    t = load(spark, sf_dir)
+    typed = replace(P, similar_events_by_type={"cosmetic": ("own",)})
+    m = _given_model(t, FACTOR_TABLES)
+    batch = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, typed)
+    return _ranked(sc.score_vectors(batch, _items(t, m), "qvec", True, typed))
+
+
 @register("model_tables_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Model tables saved as Parquet and loaded back."""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity import schema
+from affinity.session import stage
 
 PROPERTY_EVENTS = ("$set", "$unset", "$delete")
 
@@ -28,20 +29,33 @@ def read_events_json(spark: SparkSession, path: str, stream: bool = False) -> Da
     return reader.schema(schema.RAW_EVENT).json(path)
 
 
-def event_order_id(event_id_col="eventId"):
-    """A long tie-break id: the numeric eventId itself, else a hash of the text."""
-    c = F.col(event_id_col)
-    return F.coalesce(c.try_cast("long"), F.xxhash64(c))
+def event_order_id(raw: DataFrame):
+    """A long tie-break id: the numeric eventId itself, else a hash of its text; without one, of the whole document."""
+    c = F.col("eventId")
+    whole = F.xxhash64(*[F.to_json(x) if t.startswith("map") else F.col(x) for x, t in raw.dtypes])
+    return F.coalesce(c.try_cast("long"), F.when(c.isNotNull(), F.xxhash64(c)).otherwise(whole))
 
 
-def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw events -> (interaction log, property log)."""
+def normalize(raw: DataFrame, user_type: str = "user", missing_rating: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """Raw events -> (interaction log, property log).
+
+    Only events of entities of ``user_type`` are interactions. A rate event
+    without a numeric rating is an error, or is left out with ``missing_rating="drop"``.
+    """
     ts = F.to_timestamp(F.col("eventTime")).cast("timestamp_ntz")
-    base = raw.withColumn("event_id", event_order_id()).withColumn("ts", ts)
-    log = (base.filter(~F.col("event").isin(*PROPERTY_EVENTS) & F.col("targetEntityId").isNotNull())
+    rating = F.col("properties")["rating"].try_cast("double")
+    unrated = (F.col("event") == "rate") & rating.isNull()
+    base = raw.withColumn("event_id", event_order_id(raw)).withColumn("ts", ts)
+    if missing_rating == "drop":
+        base = base.filter(~F.coalesce(unrated, F.lit(False)))
+    else:
+        told = F.concat(F.lit("rate event without a rating: user "), F.coalesce("entityId", F.lit("?")))
+        rating = F.when(unrated, F.raise_error(told).cast("double")).otherwise(rating)
+    log = (base.filter(~F.col("event").isin(*PROPERTY_EVENTS) & F.col("targetEntityId").isNotNull()
+                       & (F.col("entityType") == user_type))
            .select("event_id", "event", F.col("entityId").alias("user_id"),
                    F.col("targetEntityType").alias("target_type"), F.col("targetEntityId").alias("item_id"),
-                   F.col("properties")["rating"].cast("double").alias("rating"), "ts"))
+                   rating.alias("rating"), "ts"))
     props = (base.filter(F.col("event").isin(*PROPERTY_EVENTS))
              .select("event_id", "ts", F.col("entityType").alias("entity_type"),
                      F.col("entityId").alias("entity_id"), "event",
@@ -75,12 +89,13 @@ def write_events_json(events: DataFrame, path: str) -> None:
 def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
     """Requests as JSON objects with the query API's field names.
 
-    A request without ``request_id`` gets a deterministic one: a hash of its
-    whole content (same request text -> same id on every recompute).
+    A request without ``request_id`` gets one of its own, by its place in the
+    input, so equal requests stay apart; the rows are staged with it, so it is the
+    same wherever they are read again.
     """
     raw = spark.read.schema(schema.REQUEST_JSON).json(path)
-    rid = F.coalesce(F.col("request_id"),
-                     F.sha2(F.to_json(F.struct(*[c for c in raw.columns if c != "request_id"])), 256))
+    raw = stage(raw.withColumn("_place", F.monotonically_increasing_id()), "requests_json")
+    rid = F.coalesce(F.col("request_id"), F.concat(F.lit("request at "), F.col("_place").cast("string")))
     return raw.select(
         rid.alias("request_id"), F.col("user").alias("user_id"), "num", "item_type", "search", "result_type",
         "cosmetic", "brand", "categories", F.col("whiteList").alias("white_list"),

@@ -27,9 +27,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from affinity.config import Params
+from affinity.config import CONSTRAINT_ENTITY_TYPE, UNAVAILABLE_ENTITY_ID, Params
 from affinity.operators import events as ev
 from affinity.operators import weights as wt
 from affinity.queries import register
@@ -66,11 +65,9 @@ def _join(*parts: str) -> str:
     return "/".join(p.rstrip("/") for p in parts)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state that the batch before wrote; none before the first batch. A lost version is an error, not empty state."""
+    return spark.read.parquet(path) if batch_id > 0 else None
 
 
 def _versions(root: str):
@@ -104,7 +101,7 @@ def live_recent(log_stream: DataFrame, root: str, ckpt: str, params: Params = Pa
     def step(batch: DataFrame, batch_id: int) -> None:
         new = (batch.filter(F.col("event").isin(*params.similar_events) &
                             F.col("target_type").isin(*params.target_types)).select(*cols))
-        old = _read_or_none(spark, version(batch_id - 1)) if batch_id > 0 else None
+        old = _previous(spark, version(batch_id - 1), batch_id)
         if old is None:
             old = spark.createDataFrame([], new.schema)
         touched = new.select("user_id").distinct()
@@ -122,7 +119,8 @@ def live_recent(log_stream: DataFrame, root: str, ckpt: str, params: Params = Pa
 
 def live_constraint(prop_stream: DataFrame, root: str, ckpt: str):
     version = _versions(root)
-    latest = (prop_stream.filter(F.col("event") == "$set")
+    latest = (prop_stream.filter((F.col("event") == "$set") & (F.col("entity_type") == CONSTRAINT_ENTITY_TYPE)
+                                 & (F.col("entity_id") == UNAVAILABLE_ENTITY_ID))
               .groupBy("entity_type", "entity_id")
               .agg(F.max_by(F.col("properties")["items"], F.struct("ts", "event_id")).alias("items")))
 
@@ -144,8 +142,8 @@ def live_popularity(log_stream: DataFrame, users: DataFrame, items: DataFrame, r
     def step(batch: DataFrame, batch_id: int) -> None:
         valid = ev.valid_events(ev.training_log(batch, params), users, items)
         fresh = wt.pair_stats(valid, params)
-        old_pairs = _read_or_none(spark, pairs_v(batch_id - 1)) if batch_id > 0 else None
-        old_pop = _read_or_none(spark, pop_v(batch_id - 1)) if batch_id > 0 else None
+        old_pairs = _previous(spark, pairs_v(batch_id - 1), batch_id)
+        old_pop = _previous(spark, pop_v(batch_id - 1), batch_id)
         if old_pairs is None:
             merged, pairs = fresh, fresh
         else:
@@ -200,7 +198,8 @@ def q_live_constraint(spark, sf_dir):
     t = load(spark, sf_dir)
     work = _workdir(spark, "constraint")
     incoming = _join(work, "incoming")
-    t.constraint_log.write.parquet(incoming)        # the constraint events as they arrive
+    # constraint events among the users' property events, as they arrive
+    t.constraint_log.unionByName(t.property_log).write.parquet(incoming)
     stream = spark.readStream.schema(t.constraint_log.schema).parquet(incoming)
     _run(live_constraint(stream, _join(work, "state"), _join(work, "ckpt")))
     state = _latest_version(spark, _join(work, "state"))

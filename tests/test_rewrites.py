@@ -26,7 +26,7 @@ def test_salted_overlap_equals_plain(spark):
     t = load(spark, SF_SMALL)
     own = md.valid_training_log(md.TrainingData(t.users, t.items, t.log)).filter(F.col("event") == "own")
     plain = ov.overlap_scores(own, t.items, Params(salt_buckets=1))
-    salted = ov.overlap_scores(own, t.items, Params(salt_buckets=4, hot_key_rows=1))
+    salted = ov.overlap_scores(own, t.items, Params(hot_key_pairs=1))
     cols = ["user_id", "content_id", "score"]
     assert rows(plain, cols) == rows(salted, cols)
     assert plain.count() > 0
