@@ -6,36 +6,44 @@
    (improved consistent weighted sampling): two texts draw the same sample with
    a probability that is their weighted Jaccard similarity. The samples of a
    band make one bucket key.
-3. In each bucket the members are compared with the bucket's centres in turn;
-   only centre-to-member pairs exist, never all pairs of a bucket. A pair counts
-   when the weighted Jaccard similarity of the whole texts reaches the threshold.
-   Members that are in a centre's class already are not compared again; members
-   of another class go on to the bucket's next centres until the bucket is one
-   class or every member has been a centre.
+3. The similarity cannot exceed the ratio of two texts' total weights, so a bucket
+   is split by total weight into overlapping steps that hold every pair within
+   the threshold. First each bucket's first member is compared with its others (a
+   star: as many pairs as members); a pair counts when the weighted Jaccard
+   similarity of the whole texts reaches the threshold. Buckets whose members are
+   then of one class are done. In the others all members are compared: as pairs
+   across classes in buckets of a few members, else in cells of two blocks of
+   bounded size, which report one link per member and no pairs.
 4. Classes are connected components of the verified pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BYTE_CODE, concat_texts, mix, seeded, span_hashes, split_words, text_slices
+from affinity.llm.common import BYTE_CODE, GOLDEN, MIX_A, MIX_B, concat_texts, mix, seeded, span_hashes, split_words, text_slices
 from affinity.llm.components import components
 from affinity.session import stage
 
 #: Words of a shingle.
 SHINGLE = 5
+_HASH_MASK = np.uint64((1 << 48) - 1)
 #: Document frequencies are counted in 2**DF_BITS hashed buckets (2 MB), whatever the corpus.
 DF_BITS = 18
 _DF_MASK = np.uint64((1 << DF_BITS) - 1)
 #: Buckets are counted and shuffled in runs of this many.
 DF_RUN = 1 << 10
 BANDS, ROWS = 10, 3
-#: Centres that a bucket compares with its members in one round.
-CENTRES = 8
+#: Buckets of up to this many members are compared as pairs, larger ones in cells of blocks of
+#: CELL_ROWS members and about CELL_WEIGHT total weight (some 100,000 shingles).
+SMALL, CELL_ROWS, CELL_WEIGHT = 12, 256, 200_000
+#: Room for rounding where weights are compared before the exact test.
+_SLACK = 1e-6
 #: Word separators (ASCII white space).
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -66,13 +74,13 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = j < length[doc[at]]
         step = words[np.minimum(at + j, max(n - 1, 0))]
         hashes = np.where(inside, mix(hashes * np.uint64(5) + step), hashes)
-    owner = doc[at]
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    # one flat sort by (document, hash); 48 bits of the hash are kept
+    flat = doc[at].astype(np.uint64) << np.uint64(48) | hashes & _HASH_MASK
+    flat.sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
     pick = np.flatnonzero(new)
-    return owner[pick], hashes[pick], np.diff(np.append(pick, len(owner)))
+    return (flat[pick] >> np.uint64(48)).astype(np.int64), flat[pick] & _HASH_MASK, np.diff(np.append(pick, len(flat)))
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
@@ -97,8 +105,17 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def idf(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
-    """Smoothed inverse document frequency per bucket, always positive."""
-    return np.log((1.0 + n_docs) / (1.0 + np.minimum(frequencies, n_docs))) + 1.0
+    """Normalised inverse document frequency per bucket: 1 for a shingle of all documents, 2 for one of a single document.
+
+    The range is bounded so that the few rare shingles of an edit do not outweigh
+    the text around it, however large the group of copies and the corpus are.
+    """
+    return 1.0 + np.log((1.0 + n_docs) / (1.0 + np.minimum(frequencies, n_docs))) / np.log(1.0 + max(n_docs, 1))
+
+
+def tf_idf(hashes: np.ndarray, times: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Weights (1 + ln tf) x idf: a line that is repeated a hundred times does not make a document."""
+    return (1.0 + np.log(times)) * table[(hashes & _DF_MASK).astype(np.int64)]
 
 
 def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +136,17 @@ def weighted_samples(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_
     out = np.zeros((n_samples, n_docs), np.uint64)
     if not len(doc):
         return out
+    seeds = seeded(np.arange(n_samples, dtype=np.uint64), 41)
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     owners = doc[first]
     log_w = np.log(weight).astype(np.float32)
     for s in range(n_samples):
-        one = seeded(hashes, 2 * s)
-        two = mix(one + np.uint64(2 * s + 1))
+        one = (hashes ^ seeds[s]) * MIX_A  # the shingle hashes are mixed already; this makes them independent per sample
+        one ^= one >> np.uint64(29)
+        one *= MIX_B
+        one ^= one >> np.uint64(32)
+        two = one * np.uint64(GOLDEN)
+        two ^= two >> np.uint64(31)
         (u1, u2), (u3, u4) = _uniform(one), _uniform(two)
         r = -np.log(u1 * u2)
         b = (one & np.uint64(0xFF) | (two & np.uint64(0xFF)) << np.uint64(8)).astype(np.float32) * np.float32(2.0 ** -16)
@@ -170,7 +192,7 @@ def _verified(pairs: DataFrame, threshold: float, weights) -> DataFrame:
                     sets = []
                     for c in (2, 3):
                         doc, hashes, times = shingles(few.column(c))
-                        sets.append((doc, hashes, times * table[(hashes & _DF_MASK).astype(np.int64)]))
+                        sets.append((doc, hashes, tf_idf(hashes, times, table)))
                     close = weighted_jaccard(*sets, few.num_rows) >= threshold
                     yield few.select(["a", "b"]).filter(pa.array(close))
 
@@ -178,30 +200,112 @@ def _verified(pairs: DataFrame, threshold: float, weights) -> DataFrame:
 
 
 def sketches(docs: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """(_id, _name, _keys): the text's digest and its band keys (null without words) of docs (_id, _name, _text)."""
+    """(_id, _name, _weight, _keys): digest, total weight and band keys (null without words) of docs (_id, _name, _text)."""
     def sketch(batches):
         table = weights.value
-        for part in text_slices(batches, "_text"):
+        for part in text_slices(batches, "_text", 1 << 18):  # small slices stay in the processor's cache
             doc, hashes, times = shingles(part.column(2))
-            weight = times * table[(hashes & _DF_MASK).astype(np.int64)]
+            weight = tf_idf(hashes, times, table)
             keys = band_keys(weighted_samples(doc, hashes, weight, part.num_rows, bands * rows), bands, rows)
             known = np.zeros(part.num_rows, bool)
             known[doc] = True
             lists = pa.array([k if w else None for k, w in zip(list(keys.T), known)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["_id", "_name", "_keys"])
+            total = np.bincount(doc, weight, part.num_rows).astype(float)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), lists], names=["_id", "_name", "_weight", "_keys"])
+
+    return docs.mapInArrow(sketch, f"_id {dict(docs.dtypes)['_id']}, _name binary, _weight double, _keys array<long>")
+
 
-    return docs.mapInArrow(sketch, f"_id {dict(docs.dtypes)['_id']}, _name binary, _keys array<long>")
+def _buckets(sketched: DataFrame, threshold: float) -> DataFrame:
+    """(key, name, w): a row per text, band and weight step. Texts within the threshold are at most one step apart,
+    and each text is in its own step and the next, so any such pair of a band meets."""
+    step = F.floor(F.log(F.col("_weight")) / F.lit(-math.log(threshold - _SLACK)))
+    return (sketched.filter("_keys IS NOT NULL").select("_name", "_weight", F.explode("_keys").alias("_key"))
+            .select("_name", "_weight", "_key", F.explode(F.array(step, step + 1)).alias("_step"))
+            .select(F.xxhash64("_key", "_step").alias("key"), F.col("_name").alias("name"), F.col("_weight").alias("w")).distinct())
 
 
-def _pairs(buckets: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Centre-to-member pairs (a < b) across classes, and the (key, name) centres that were used."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("name"))
-    used = buckets.withColumn("_place", place).filter(F.col("_place") <= centres).select("key", "name", "cls")
-    a, b = used.alias("c"), buckets.alias("m")
-    pairs = (b.join(a, F.col("m.key") == F.col("c.key"))
-             .filter((F.col("m.cls") != F.col("c.cls")) & (F.col("m.name") != F.col("c.name")))
-             .select(F.least("m.name", "c.name").alias("a"), F.greatest("m.name", "c.name").alias("b")).distinct())
-    return pairs, used.select("key", "name")
+def _able(threshold: float):
+    """Whether two weights (m.w, c.w) leave the threshold within reach."""
+    return F.least("m.w", "c.w") >= F.greatest("m.w", "c.w") * (threshold - _SLACK)
+
+
+def _star_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) of each bucket's first member with its others."""
+    centre = buckets.groupBy("key").agg(F.min(F.struct("name", "w")).alias("c")).select("key", "c.name", "c.w")
+    return (buckets.alias("m").join(centre.alias("c"), F.col("m.key") == F.col("c.key"))
+            .filter((F.col("m.name") != F.col("c.name")) & _able(threshold))
+            .select(F.col("c.name").alias("a"), F.col("m.name").alias("b")).distinct())
+
+
+def _small_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) across classes in buckets of at most SMALL members."""
+    return (buckets.alias("m").join(buckets.alias("c"), F.col("m.key") == F.col("c.key"))
+            .filter((F.col("m.name") < F.col("c.name")) & (F.col("m.cls") != F.col("c.cls")) & _able(threshold))
+            .select(F.col("m.name").alias("a"), F.col("c.name").alias("b")).distinct())
+
+
+def _cells(buckets: DataFrame) -> DataFrame:
+    """Large buckets cut into blocks; a row per member and cell, a cell being a pair of blocks (lo <= hi).
+
+    ``buckets`` has n and w_most of the bucket. A block holds at most CELL_ROWS
+    members and about CELL_WEIGHT of text, so a cell is bounded whatever the bucket.
+    """
+    rows = F.greatest(F.lit(1.0), F.least(F.lit(float(CELL_ROWS)), F.floor(F.lit(float(CELL_WEIGHT)) / F.col("w_most"))))
+    blocks = F.ceil(F.col("n") / rows)
+    own = F.col("own")
+    return (buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
+            .select("key", "name", "cls", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            .select("key", "name", "cls", "own", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi")))
+
+
+def close_pairs(texts: pa.Array, table: np.ndarray, threshold: float, chunk: int = 1 << 14) -> np.ndarray:
+    """Which pairs of the texts have a weighted Jaccard similarity of the threshold or more (symmetric matrix)."""
+    doc, hashes, times = shingles(texts)
+    # an element that occurs t times is t elements, whose weights add up to its weight: then lesser means common
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+    owner, name = np.repeat(doc, times), np.repeat(hashes, times)
+    weight = tf_idf(name, level, table) - np.where(level > 1, tf_idf(name, np.maximum(level - 1, 1), table), 0.0)
+    n = len(texts)
+    total = np.bincount(owner, weight, n).astype(float)
+    _, code, count = np.unique(mix(name + level.astype(np.uint64) * np.uint64(GOLDEN)), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    owner, weight, code = owner[shared], weight[shared], code[shared]
+    code = np.unique(code, return_inverse=True)[1]
+    common = np.zeros((n, n))
+    order = np.argsort(code, kind="stable")
+    owner, weight, code = owner[order], np.sqrt(weight[order]), code[order]
+    for first in range(0, int(code.max(initial=-1)) + 1, chunk):
+        a, z = np.searchsorted(code, [first, first + chunk])
+        part = np.zeros((n, min(chunk, int(code[-1]) + 1 - first)))
+        part[owner[a:z], code[a:z] - first] = weight[a:z]
+        common += part @ part.T
+    whole = total[:, None] + total[None, :] - common
+    return (common >= threshold * whole * (1 - 1e-12)) & (total > 0)[:, None] & (total > 0)[None, :]
+
+
+def _cell_links(cells: DataFrame, threshold: float, weights) -> DataFrame:
+    """Links (a, b) that join each cell's members to the first member of their class there: at most one per member."""
+    def compare(key, table):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        own = table.column("own").to_numpy()
+        name = table.column("name").to_pylist()
+        _, label = np.unique(np.array(table.column("cls").to_pylist(), object), return_inverse=True)
+        close = close_pairs(table.column("text").combine_chunks(), weights.value, threshold)
+        if lo != hi:
+            close &= own[:, None] != own[None, :]
+        close |= label[:, None] == label[None, :]
+        lead = np.arange(len(name))
+        while True:  # least label of all that are close, until nothing changes
+            new = np.where(close, lead[None, :], len(name)).min(axis=1)
+            new = new[new]
+            if np.array_equal(new, lead):
+                break
+            lead = new
+        joined = np.flatnonzero((lead != np.arange(len(name))) & (label != label[lead]))
+        return pa.table({"a": pa.array([name[lead[i]] for i in joined], pa.binary()), "b": pa.array([name[i] for i in joined], pa.binary())})
+
+    return cells.select("key", "lo", "hi", "own", "name", "cls", "text").groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary")
 
 
 def _open(buckets: DataFrame) -> DataFrame:
@@ -224,7 +328,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     weights = docs.sparkSession.sparkContext.broadcast(idf(table, read.count()))
     sketched = stage(sketches(read, weights, bands, rows), "sketches")
 
-    state = sketched.select(F.explode("_keys").alias("key"), F.col("_name").alias("name")).distinct()
+    state = _buckets(sketched, threshold)
     state = stage(_open(state.withColumn("cls", F.col("name"))), "buckets")
     # one document per text that shares a bucket with another text; ids and digests together are never a hot key
     lead = (sketched.groupBy("_name").agg(F.min("_id").alias("_id"))
@@ -232,22 +336,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     texts = (read.alias("d").join(lead.alias("l"), F.col("d._id").eqNullSafe(F.col("l._id")) & (F.col("d._name") == F.col("l._name")), "left_semi")
              .select(F.col("_name").alias("name"), F.col("_text").alias("text")))
     texts = stage(texts.dropDuplicates(["name"]), "texts")
-    links, classes, centres = None, None, 1
-    while not state.isEmpty():
-        pairs, used = _pairs(state, centres)
-        pairs = (pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("_ta")), "a")
-                 .join(texts.select(F.col("name").alias("b"), F.col("text").alias("_tb")), "b"))
-        found = stage(_verified(pairs, threshold, weights), "links")
-        links = found if links is None else stage(links.unionByName(found), "links")
-        classes = stage(components(links, "a", "b"), "classes")
-        rest = state.join(used, ["key", "name"], "left_anti").drop("cls")
-        rest = (rest.join(classes.withColumnRenamed("node", "name"), "name", "left")
-                .select("key", "name", F.coalesce("component", "name").alias("cls")))
-        state, centres = stage(_open(rest), "buckets"), CENTRES
+    with_texts = lambda pairs: (
+        pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("_ta")), "a")
+        .join(texts.select(F.col("name").alias("b"), F.col("text").alias("_tb")), "b"))
+    # first round: stars
+    tested = stage(_star_pairs(state, threshold), "pairs")
+    links = stage(_verified(with_texts(tested), threshold, weights), "links")
+    classes = stage(components(links, "a", "b"), "classes")
+    # second round: what is still of different classes in a bucket
+    state = (state.drop("cls").join(classes.withColumnRenamed("node", "name"), "name", "left")
+             .select("key", "name", "w", F.coalesce("component", "name").alias("cls")))
+    state = _open(state)
+    sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.max("w").alias("w_most"))
+    state = stage(state.join(sizes, "key"), "open_buckets")
+    pairs = _small_pairs(state.filter(F.col("n") <= SMALL), threshold).join(tested, ["a", "b"], "left_anti")
+    more = _verified(with_texts(pairs), threshold, weights)
+    cells = _cells(state.filter(F.col("n") > SMALL)).join(texts, "name")
+    links = stage(links.unionByName(more).unionByName(_cell_links(cells, threshold, weights)), "links")
+    classes = stage(components(links, "a", "b"), "classes")
     named = sketched.select("_id", "_name")
-    if classes is not None:
-        named = (named.join(classes.withColumnRenamed("node", "_name"), "_name", "left")
-                 .select("_id", F.coalesce("component", "_name").alias("_name")))
+    named = (named.join(classes.withColumnRenamed("node", "_name"), "_name", "left")
+             .select("_id", F.coalesce("component", "_name").alias("_name")))
     least = named.groupBy("_name").agg(F.min("_id").alias("class_id"))
     return named.join(least, "_name").select(F.col("_id").alias(id_col), "class_id")
 
