@@ -71,7 +71,7 @@ def fit(doc, feature, label, ratio, penalty: float = 1.0, balance: float = 1.0,
     for r in rows:
         v = ratio[r]
         norm = np.sqrt((v * v).sum())
-        values.append(v / norm if norm > 0 else v)
+        values.append((v / norm if norm > 0 else v).astype(np.float32))
     sign = np.where(label == 1, 1.0, -1.0)
     share = {c: max((label == c).mean(), 1e-9) for c in (0, 1)}
     box = np.array([penalty / (2 * share[int(c)]) ** balance for c in label])
@@ -148,8 +148,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
     if len(set(label.tolist())) < 2:
         zero = np.zeros(1 << BITS)
         return Model(zero, zero, 0.0)
-    doc = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
-    feature = np.concatenate(packed).astype(np.int64)
+    doc = np.repeat(np.arange(len(packed), dtype=np.int32), [len(p) for p in packed])
+    feature = np.concatenate(packed)
+    del rows, packed
     ratio = log_count_ratio(doc, feature, label)
     return Model(ratio, *fit(doc, feature, label, ratio, penalty))
 
