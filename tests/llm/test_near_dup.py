@@ -1,6 +1,7 @@
 """Near-duplicates against brute-force weighted Jaccard similarity and components."""
 
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ def brute_classes(rows, threshold=0.8):
         w = t.encode().split()
         grams = [tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))] if w else []
         _, h, n = nd.shingles(pa.array([t]))
-        bags.append(dict(zip(h.tolist(), n.tolist())))
+        bags.append({h: 1 + math.log(n) for h, n in zip(h.tolist(), n.tolist())})
         assert sorted(Counter(grams).values()) == sorted(n.tolist())
         freq[(h & nd._DF_MASK).astype(np.int64)] += 0
         freq += np.bincount((h & nd._DF_MASK).astype(np.int64), minlength=len(freq))
@@ -68,14 +69,35 @@ def test_every_near_copy_of_a_large_group_is_found(make):
     assert all(got[1000 + i] == 1000 + i for i in range(50))
 
 
-def test_bucket_of_two_classes_needs_a_second_centre(make, spark):
-    """Members that are unlike the first centre are compared with later ones."""
-    names = [bytes([i]) for i in range(6)]
-    state = spark.createDataFrame([(1, n, n, 1.0) for n in names] + [(1, b"z", b"z", 9.0)], "key long, name binary, cls binary, w double")
-    pairs, used = nd._pairs(state, 1, 0.8)
-    assert pairs.count() == 5 and used.count() == 1
-    pairs, used = nd._pairs(state, 8, 0.8)
-    assert pairs.count() == 15 and used.count() == 7
+def test_cells_hold_every_pair_of_a_large_bucket(make, spark, monkeypatch):
+    """A family of which many members are unlike the first one, in blocks of a few rows."""
+    monkeypatch.setattr(nd, "CELL_ROWS", 7)
+    monkeypatch.setattr(nd, "SMALL", 3)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        text = [f"b{j}" for j in range(150)]
+        for j in rng.integers(0, 150, rng.integers(1, 9)):
+            text[j] = f"own{i}_{j}"
+        rows.append((i, " ".join(text)))
+    got = sorted(map(tuple, nd.near_duplicates(make(rows, "doc_id long, text string")).collect()))
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) > 1 and got == want
+
+
+def test_close_pairs_match_the_definition():
+    rows = documents(10)
+    texts = pa.array([t or "" for _, t in rows])
+    table = nd.idf(np.arange(1 << nd.DF_BITS) % 50, 50)
+    close = nd.close_pairs(texts, table, 0.5, chunk=64)
+    sets = []
+    for t in texts:
+        _, h, n = nd.shingles(pa.array([t.as_py()]))
+        sets.append((h, nd.tf_idf(h, n, table)))
+    for i, (h, w) in enumerate(sets):
+        for j, (g, v) in enumerate(sets):
+            one = nd.weighted_jaccard((np.zeros(len(h), int), h, w), (np.zeros(len(g), int), g, v), 1)[0]
+            assert close[i, j] == (one >= 0.5) or abs(one - 0.5) < 1e-9
 
 
 def test_chain_of_links_is_one_class(make):
