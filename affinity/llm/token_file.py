@@ -110,13 +110,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
                  pa.array([write_shard(ids, held)], pa.binary())], names=["part", "shard", "n_ids", "data"])
 
         for some in text_slices(batches, "_text", 1 << 18):
-            got = [np.append(x, np.uint32(end_id)) for x in encoder.ids(some.column(1).to_pylist())]
-            owners.append(some.column(0))
-            held += got
-            size += sum(map(len, got))
-            if size >= shard_ids:
-                yield close()
-                owners, held, size, number = [], [], 0, number + 1
+            first = 0
+            for i, ids in enumerate(encoder.ids(some.column(1).to_pylist())):
+                held.append(np.append(ids, np.uint32(end_id)))
+                size += len(held[-1])
+                if size >= shard_ids:
+                    owners.append(some.column(0).slice(first, i + 1 - first))
+                    yield close()
+                    first, owners, held, size, number = i + 1, [], [], 0, number + 1
+            owners.append(some.column(0).slice(first))
         if held:
             yield close()
 
