@@ -4,6 +4,7 @@ Requests and items meet in ``candidate_pairs``:
 
 * a request with a white list only ever sees its listed ids, so it is
   exploded and equi-joined on ``item_id`` (bounded by the list size);
+* a request with a brand is equi-joined on (``item_type``, ``brand``);
 * every other request is joined on ``item_type`` -- a key with two or three
   values, i.e. maximally skewed. The request side is broadcast when its
   row count is below ``Params.broadcast_rows`` (items stream, no shuffle);
@@ -119,12 +120,15 @@ def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params
     ``any_white=False`` (known: no white lists) drops the by-id path.
     """
     listed = left.filter(F.col("white_list").isNotNull())
-    open_ = left.filter(F.col("white_list").isNull())
+    branded = left.filter(F.col("white_list").isNull() & F.col("brand").isNotNull())
+    open_ = left.filter(F.col("white_list").isNull() & F.col("brand").isNull())
 
     by_id = (listed.withColumn("_wid", F.explode(F.array_distinct("white_list")))
              .join(items, F.col("_wid") == F.col("i_item_id"), "inner")
              .filter(predicate).drop("_wid"))
 
+    by_brand = items.join(branded, (F.col("i_item_type") == F.col("item_type")) & (F.col("i_brand") == F.col("brand")) & predicate, "inner")
+
     small = left_rows <= params.broadcast_rows if left_rows is not None else \
         _bounded_rows(open_, params.broadcast_rows)
     if small:
@@ -136,9 +140,8 @@ def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params
         by_type = (salted_items.join(fanned, (F.col("i_item_type") == F.col("item_type")) &
                                      (F.col("_isalt") == F.col("_rsalt")) & predicate, "inner")
                    .drop("_isalt", "_rsalt"))
-    if not any_white:
-        return by_type.select(*by_id.columns)
-    return by_id.unionByName(by_type.select(*by_id.columns))
+    out = by_type.select(*by_id.columns).unionByName(by_brand.select(*by_id.columns))
+    return by_id.unionByName(out) if any_white else out
 
 
 # ---- black lists ---------------------------------------------------------

@@ -1,6 +1,8 @@
 """Every registered query with an oracle equals its DuckDB SQL at sf0.001;
 rows-only queries run and return rows."""
 
+import re
+
 import pytest
 
 from tests.conftest import SF_SMALL
@@ -8,8 +10,10 @@ from tests.oracle_check import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-ORACLE = sorted(oracle_sql())
-ROWS_ONLY = sorted(set(queries()) - set(oracle_sql()) - {"als_recommend"})
+# the training-data operators have tests of their own
+OWN = re.compile(r"op\d+_|pipeline$")
+ORACLE = sorted(n for n in oracle_sql() if not OWN.match(n))
+ROWS_ONLY = sorted(n for n in set(queries()) - set(oracle_sql()) if not OWN.match(n))
 
 
 @pytest.fixture(scope="module")
@@ -23,13 +27,8 @@ def test_query_matches_oracle(spark, con, name):
     assert r["status"] == "match", r
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_query_runs(spark, name):
-    assert queries()[name](spark, SF_SMALL).count() > 0
-
-
-def test_every_query_is_registered_with_oracle_or_rows_only():
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_an_oracle():
+    assert not ROWS_ONLY and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from affinity.config import Params
 from affinity.operators import candidates as cd
 from affinity.operators import events as ev
+from affinity.operators import overlap as ov
+from affinity.operators import topn as tn
 from affinity.operators import weights as wt
 from affinity.plans import model as md
 from affinity.plans import scoring as sc
@@ -41,6 +43,32 @@ def test_affinity_is_one_partial_plus_final_aggregation(spark):
     stats = wt.pair_stats(md.valid_training_log(md.TrainingData(t.users, t.items, stored_log(spark))))
     p = plan(wt.affinity_from_stats(stats))
     assert "partial_sum" in p and "partial_max_by" in p, p
+    assert "HashAggregate" in p and "SortAggregate" not in p, p
+
+
+def test_overlap_keeps_the_requested_users_before_pairing(spark):
+    t = load(spark, SF_SMALL)
+    m = md.train(md.TrainingData(t.users, t.items, t.log), user_factors=t.user_vectors, item_factors=t.item_vectors)
+    p = plan(m.overlap_for(t.requests.select("user_id")))
+    joins = [line for line in p.splitlines() if "Join" in line]
+    assert any("LeftSemi" in j for j in joins), p
+    semi = min(i for i, j in enumerate(joins) if "LeftSemi" in j)
+    assert "Inner" in joins[0] and semi > 0, p      # the pair join stands above the semi join
+
+
+def test_cosmetic_hot_on_both_sides_is_a_grid(spark):
+    owned = spark.createDataFrame([(f"u{i}", "hot") for i in range(300)] + [("u1", "cold")], "user_id string, cosmetic_id string")
+    mentions = spark.createDataFrame([(f"c{i}", "hot") for i in range(200)] + [("c1", "cold")], "content_id string, cosmetic_id string")
+    got = ov.overlap_of(owned, mentions, Params(hot_key_pairs=500))
+    assert got.count() == 60_000 and got.filter("score = 10").count() == 1
+
+
+def test_signature_ranking_survives_a_long_black_list(spark):
+    n = 101_000
+    scored = spark.range(n).selectExpr("'s' AS sig", "concat('i', lpad(id, 6, '0')) AS item_id", "cast(id % 1000 AS double) AS score")
+    top = tn.top_n(scored, ["sig"], tn.by_score(), F.lit(100_500), 100_500, spread="item_id")
+    plain = scored.orderBy(*tn.by_score()).limit(100_500).select("item_id")
+    assert top.count() == 100_500 and top.select("item_id").exceptAll(plain).count() == 0
 
 
 def test_pair_join_is_broadcast_not_cartesian(spark):

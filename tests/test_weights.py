@@ -85,14 +85,18 @@ def test_merge_pair_stats_equals_one_pass(spark):
             ("cancel_scrap", "u", "cosmetic", "c1", None, 5), ("view", "u", "content", "v1", None, 6)]
     whole = as_dict(wt.affinity_from_stats(_stats(spark, rows)), ["item_id"], "rating")
     a, b = _stats(spark, rows[:3]), _stats(spark, rows[3:])
-    # event ids restart per call; shift the second half so the order is kept
-    shift = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c + ".ts").alias("ts"),
-                                                            (F.col(c + ".event_id") + 100).alias("event_id")))
-    b = b.withColumn("rate_at", shift("rate_at")).withColumn("scrap_at", shift("scrap_at"))
     merged = as_dict(wt.affinity_from_stats(wt.merge_pair_stats(a, b)), ["item_id"], "rating")
     assert merged == whole
 
 
+def test_event_order_is_the_order_of_time_and_id(spark):
+    rows = [(dt, i) for dt in ("1969-12-31 23:59:59.999999", "2024-01-01 00:00:00", "2024-01-01 00:00:00.000001", "2024-03-31 02:30:00")
+            for i in (-2 ** 63, -1, 0, 7, 2 ** 63 - 1)]
+    df = spark.createDataFrame(rows[::-1], "t string, event_id long").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = df.select("t", "event_id", wt.event_order().alias("o")).orderBy("o").collect()
+    assert [(r.t, r.event_id) for r in got] == rows and len({r.o for r in got}) == len(rows)
+
+
 def test_overlap_score(spark):
     # Owns {a, b, b}; content mentions {a, b, c} -> 5 * 2
     its = items(spark, [("a", "cosmetic", None, None, None), ("b", "cosmetic", None, None, None),
