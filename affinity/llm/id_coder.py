@@ -116,35 +116,35 @@ class _Flag:
     """A yes/no decision with a mixed adaptive probability, one state per lane."""
 
     def __init__(self, lanes: int, contexts: tuple[int, ...]):
-        self.p = [np.full(lanes * n, 1 << 14, np.int32) for n in contexts]
-        self.base = [np.arange(lanes) * n for n in contexts]
-        self.weight = [np.full(lanes, 26000, np.int32) for _ in contexts]
+        ahead = np.cumsum((0, *contexts))
+        self.p = np.full(lanes * ahead[-1], 1 << 14, np.int32)
+        self.base = np.arange(lanes) * ahead[-1] + ahead[:-1, None]
+        self.weight = np.full((len(contexts), lanes), 26000, np.int32)
 
     def code(self, coder, contexts, bit, live=None):
+        """``contexts``: one row per estimate. A lane that is not ``live`` codes the sure event and learns nothing."""
         stretch, squash = _logistic()
-        at = [b + c for b, c in zip(self.base, contexts)]
-        p = [q[i] for q, i in zip(self.p, at)]
-        s = [stretch[q >> 4] for q in p]
-        dot = s[0] * (self.weight[0] >> 4)  # 12-bit values times 16-bit weights: 32 bits are enough
-        for w, x in zip(self.weight[1:], s[1:]):
-            dot += x * (w >> 4)
-        dot >>= 12
-        mixed = squash[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
+        at = self.base + contexts
+        p = self.p.take(at)
+        s = stretch.take(p >> 4)
+        # 12-bit values times 16-bit weights: 32 bits are enough
+        dot = np.einsum("ij,ij->j", s, self.weight >> 4) >> 12
+        mixed = squash.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
         chance = mixed << 4
-        if live is not None:  # a settled lane codes the sure event
+        if live is not None:
             chance = np.where(live, chance, _ONE)
             bit = None if bit is None else bit | ~live
         bit = coder.bit(chance, bit)
         error = ((bit.astype(np.int32) << 12) - mixed) * 7
+        step = (np.where(bit, 65535 - 32, 32).astype(np.int32) - p) >> 4
         if live is not None:
-            error = np.where(live, error, 0)
-        goal = np.where(bit, 65535 - 32, 32).astype(np.int32)
-        for q, i, v, w, x in zip(self.p, at, p, self.weight, s):
-            step = (goal - v) >> 4
-            q[i] = v + (step if live is None else np.where(live, step, 0))
-            w += (x * error + 0x8000) >> 16
-            np.minimum(np.maximum(w, -_MOST, out=w), _MOST, out=w)
-        return bit if live is None else bit & live
+            error *= live
+            step *= live
+            bit = bit & live
+        self.p[at] = p + step
+        self.weight += (s * error + 0x8000) >> 16
+        np.minimum(np.maximum(self.weight, -_MOST, out=self.weight), _MOST, out=self.weight)
+        return bit
 
 
 class _Symbols:
@@ -189,48 +189,49 @@ def _run(coder, symbols: _Symbols, lanes: int, steps: int, ranks: np.ndarray | N
     seen = [np.full(lanes << _TABLE_BITS, -1, np.int32) for _ in range(2)]
     sure = [np.zeros(lanes << _TABLE_BITS, np.uint8) for _ in range(2)]
     flags = [_Flag(lanes, (128, 256, 16)) for _ in range(2)]
-    count = np.full((n, lanes), 24, np.int32)
+    count = np.full((n, lanes), 24, np.int64)
     bound = np.zeros((n + 1, lanes), np.int64)
     one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    past = np.zeros(lanes, np.int32)
+    past = np.zeros(lanes, np.int64)
     for t in range(steps):
         place = [base + _hash(one, 1), base + _hash(one, two * 3 + 2)]
-        guess = [s[p] for s, p in zip(seen, place)]
-        trust = [c[p] for c, p in zip(sure, place)]
+        guess = [s.take(p) for s, p in zip(seen, place)]
+        trust = [c.take(p) for c, p in zip(sure, place)]
         equal = guess[0] == guess[1]
         context = (trust[1] << 4) | (trust[0] << 1) | equal
-        near = one & 255
+        estimates = np.stack([context.astype(np.int64), one & 255, past])
         x = None if ranks is None else ranks[t]
-        hit2 = flags[1].code(coder, (context, near, past), None if x is None else x == guess[1])
-        hit1 = flags[0].code(coder, (context, near, past), None if x is None else x == guess[0], ~hit2)
+        hit2 = flags[1].code(coder, estimates, None if x is None else x == guess[1])
+        hit1 = flags[0].code(coder, estimates, None if x is None else x == guess[0], ~hit2)
         fresh = ~(hit2 | hit1)
         # order 0: adaptive class, then the id's share in its class
-        np.cumsum(count, axis=0, out=bound[1:])
+        for i in range(n):
+            np.add(bound[i], count[i], out=bound[i + 1])
         whole = bound[-1]
         if x is None:
             inside = ((coder.target().astype(np.int64) + 1) * whole - 1) >> 16
             kind = (bound[1:] <= inside).sum(axis=0)
             kind = np.minimum(kind, n - 1)
         else:
-            kind = symbols.kind[x]
+            kind = symbols.kind.take(x)
         start = (bound[kind, every] << 16) // whole
         end = (bound[kind + 1, every] << 16) // whole
         coder.put(np.where(fresh, start, 0), np.where(fresh, end - start, _ONE))
         if x is None:
-            x = inverse[(kind << 16) + coder.target()]
-            coder.put(np.where(fresh, symbols.start[x], 0), np.where(fresh, symbols.size[x], _ONE))
+            x = inverse.take((kind << 16) + coder.target())
+            coder.put(np.where(fresh, symbols.start.take(x), 0), np.where(fresh, symbols.size.take(x), _ONE))
             x = np.where(hit2, guess[1], np.where(hit1, guess[0], x))
         else:
-            coder.put(np.where(fresh, symbols.start[x], 0), np.where(fresh, symbols.size[x], _ONE))
+            coder.put(np.where(fresh, symbols.start.take(x), 0), np.where(fresh, symbols.size.take(x), _ONE))
         out[t] = x
-        count[kind, every] += fresh * np.int32(24)
+        count[kind, every] += fresh * 24
         if t % 64 == 63:
             count = np.where(whole > 6000, (count >> 1) | 1, count)
         for s, c, p, g, v in zip(seen, sure, place, guess, trust):
             right = g == x
             s[p] = np.where(right | (v > 1), g, x)
             c[p] = _NEXT_TRUST[right.view(np.uint8), v]
-        past = ((past << 2) | (hit2.astype(np.int32) << 1) | hit1) & 15
+        past = ((past << 2) | (hit2.astype(np.int64) << 1) | hit1) & 15
         two, one = one, x.astype(np.int64)
     return out
 

@@ -38,28 +38,61 @@ class TextEncoder:
     The pre-tokeniser of byte-level vocabularies never joins a character with
     the white space behind it. So where all white space is spaces and line
     breaks, a text may be cut before each run of white space, and the ids of a
-    text are those of its cuts. Other texts are encoded whole.
+    text are those of its cuts. Other texts are encoded whole. Where the
+    vocabulary never merges the zero byte with another one, the new words of a
+    slice are encoded as one text with zero bytes between them.
     """
 
     _WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+    _OTHER_SPACE = [chr(c) for c in range(0x110000) if (chr(c).isspace() or c == 0x85) and chr(c) not in " \n"]
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        zero = self._one("\0")
+        self.zero = zero[0] if len(zero) == 1 else None
+        if self.zero is not None:  # the zero byte must be a token that no other token contains
+            mark = self.tokenizer.id_to_token(int(self.zero))
+            if any(mark in token and token != mark for token in self.tokenizer.get_vocab()):
+                self.zero = None
+        # words of the present and of the past generation; a word that is used moves to the present one
         self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.before: dict[str, bytes] = {}
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        joined, alone = [], []
+        for w in words:
+            (joined if self.zero is not None and w[-1] not in " \n" and "\0" not in w else alone).append(w)
+        for w in alone:
+            self.known[w] = self._one(w).tobytes()
+        for first in range(0, len(joined), 4096):
+            some = joined[first:first + 4096]
+            ids = self._one("\0".join(some))
+            ends = [*(np.flatnonzero(ids == self.zero) * 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(some):  # a special token swallowed a mark
+                self.known.update((w, self._one(w).tobytes()) for w in some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends):
+                self.known[w] = raw[start:end]
+                start = end + 4
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        cuts = [[t] if self._OTHER_SPACE.search(t) else self._WORD.findall(t) for t in texts]
-        new = list({w for c in cuts for w in c if w not in self.known})
-        known = self.known
-        known.update(zip(new, self._encoded(new)))
+            self.known, self.before = {}, self.known
+        cuts = [[t] if t and any(c in t for c in self._OTHER_SPACE) else self._WORD.findall(t) for t in texts]
+        known, before, new = self.known, self.before, []
+        for w in set().union(*cuts).difference(known):
+            ids = before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        self._learn(new)
         return [np.frombuffer(b"".join([known[w] for w in c]), np.uint32) for c in cuts]
 
 
