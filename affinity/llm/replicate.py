@@ -44,9 +44,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     counts = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("n"))
     weight = F.coalesce(named[F.col("_source")], F.lit(default_weight)) if named is not None else F.lit(default_weight)
     counts = counts.withColumn("_weight", weight.cast("double"))
-    whole = counts.agg(F.sum("_weight").alias("_all"), F.sum("n").alias("_n"))
-    return (counts.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
-            .select("_source", "n", (F.lit(total) * F.col("_n") * F.col("_weight") / F.col("_all") / F.col("n")).alias("rate")))
+    weights_sum, rows = counts.agg(F.sum("_weight"), F.sum("n")).first()  # two numbers, null for an empty table
+    scale = total * rows if rows else 0.0
+    return counts.select("_source", "n", (F.lit(float(scale)) * F.col("_weight") / F.lit(float(weights_sum or 1)) / F.col("n")).alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, total: float = 1.0,
