@@ -134,7 +134,8 @@ def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params
     if small:
         by_type = items.join(F.broadcast(open_), (F.col("i_item_type") == F.col("item_type")) & predicate, "inner")
     else:
-        n = params.salt_buckets
+        # at least a bucket per shuffle task, so the work spreads over any cluster
+        n = max(params.salt_buckets, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         salted_items = items.withColumn("_isalt", F.pmod(F.xxhash64("i_item_id"), F.lit(n)))
         fanned = open_.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         by_type = (salted_items.join(fanned, (F.col("i_item_type") == F.col("item_type")) &
