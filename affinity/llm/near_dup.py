@@ -260,7 +260,8 @@ def _cells(buckets: DataFrame) -> DataFrame:
 
 
 def close_pairs(texts: pa.Array, table: np.ndarray, threshold: float, chunk: int = 1 << 14) -> np.ndarray:
-    """Which pairs of the texts have a weighted Jaccard similarity of the threshold or more (symmetric matrix)."""
+    """Which pairs of two texts have a weighted Jaccard similarity of the threshold or more (symmetric matrix, its
+    diagonal without meaning: what only one text holds is left out)."""
     doc, hashes, times = shingles(texts)
     # an element that occurs t times is t elements, whose weights add up to its weight: then lesser means common
     level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
