@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 1 << 20
 
@@ -130,3 +131,23 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as their steps, in planes of like bytes: the leading bytes of steps are mostly zero."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = unpack(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)

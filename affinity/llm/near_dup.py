@@ -1,7 +1,10 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of hashed word shingles are counted over all documents
-   in a table of fixed size (feature hashing), which gives the idf weights.
+1. The document frequency of every word shingle is counted over all documents.
+   Blocks of documents send their distinct shingles (48-bit hashes) with counts
+   to the partition of the hash, which sums them and answers each block with the
+   totals of its shingles; they give the idf weights. A shingle of all documents
+   is one entry per block.
 2. Equal texts collapse to one text. Each text draws ``bands * rows`` samples
    (improved consistent weighted sampling): two texts draw the same sample with
    a probability that is their weighted Jaccard similarity. The samples of a
@@ -23,21 +26,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BYTE_CODE, GOLDEN, MIX_A, MIX_B, concat_texts, mix, seeded, span_hashes, split_words, text_slices
+from affinity.llm.common import (
+    BYTE_CODE, GOLDEN, MIX_A, MIX_B, concat_texts, mix, pack, pack_sorted, seeded, span_hashes, split_words, text_slices, unpack, unpack_sorted)
 from affinity.llm.components import components
 from affinity.session import stage
 
 #: Words of a shingle.
 SHINGLE = 5
 _HASH_MASK = np.uint64((1 << 48) - 1)
-#: Document frequencies are counted in 2**DF_BITS hashed buckets (2 MB), whatever the corpus.
+#: Bits of the hash in the bucketed idf tables that ``tf_idf`` takes beside exact ones.
 DF_BITS = 18
 _DF_MASK = np.uint64((1 << DF_BITS) - 1)
-#: Buckets are counted and shuffled in runs of this many.
-DF_RUN = 1 << 10
+#: Text bytes of a block, and shingles that one partition of the frequency table holds.
+BLOCK_BYTES = 4 << 20
+PART_ENTRIES = 2_000_000
 BANDS, ROWS = 10, 3
 #: Buckets of up to this many members are compared as pairs, larger ones in cells of blocks of
 #: CELL_ROWS members and about CELL_WEIGHT total weight (some 100,000 shingles).
@@ -83,29 +90,66 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (flat[pick] >> np.uint64(48)).astype(np.int64), flat[pick] & _HASH_MASK, np.diff(np.append(pick, len(flat)))
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """How many documents hold a shingle of each hashed bucket; a fixed-size table whatever the input."""
-    def count(batches):
-        total = np.zeros(1 << DF_BITS, np.int64)
-        for part in text_slices(batches, "_text"):
-            doc, hashes, _ = shingles(part.column(0))
-            total += np.bincount((hashes & _DF_MASK).astype(np.int64), minlength=1 << DF_BITS)
-        runs = total.reshape(-1, DF_RUN)
-        used = np.flatnonzero(runs.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(runs[used]), pa.list_(pa.int64()))],
-                                         names=["run", "counts"])
+def _blocks(read: DataFrame) -> DataFrame:
+    """One row per block of read (_id, _name, _text): number, documents, text bytes, and the rows (compressed)."""
+    def cut(batches):
+        number = TaskContext.get().partitionId() << 32
+        for part in text_slices(batches, "_text", BLOCK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_batch(part)
+            body = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+            size = len(concat_texts(part.column(2))[0])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part.num_rows], pa.int64()), pa.array([size], pa.int64()),
+                                              pa.array([body], pa.large_binary())], names=["block", "docs", "bytes", "body"])
+            number += 1
+    return read.mapInArrow(cut, "block long, docs long, bytes long, body binary")
 
-    counted = texts.mapInArrow(count, "run int, counts array<long>")
-    summed = (counted.select("run", F.posexplode("counts").alias("at", "n")).groupBy("run", "at").agg(F.sum("n").alias("n"))
-              .filter("n > 0").toArrow())
-    table = np.zeros(1 << DF_BITS, np.int64)
-    place = summed.column("run").to_numpy().astype(np.int64) * DF_RUN + summed.column("at").to_numpy()
-    table[place] = summed.column("n").to_numpy()
-    return table
+
+def _slices(body: bytes):
+    """The rows of a block in slices that stay in the processor's cache, each with its shingles."""
+    rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 31))
+    for part in text_slices(rows, "_text", 1 << 18):
+        yield part, *shingles(part.column(2))
+
+
+def _distinct(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of a block and how many of its documents hold each."""
+    found = [np.zeros(0, np.uint64)] + [hashes for _, _, hashes, _ in _slices(body)]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _frequencies(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, answers): the document frequencies of each block's distinct shingles in their order, in parts by hash range."""
+    def send(batches):
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes, counts = _distinct(body)
+                cut = np.searchsorted(hashes >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                ends = [(p, a, z) for p, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+                low = np.uint64((1 << (48 - bits)) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _, _ in ends], pa.int32()), pa.array([block] * len(ends), pa.int64()),
+                     pa.array([pack_sorted(hashes[a:z] & low) for _, a, z in ends], pa.binary()),
+                     pa.array([pack(counts[a:z].astype(np.uint32)) for _, a, z in ends], pa.binary())],
+                    names=["part", "block", "hashes", "counts"])
+
+    def add(key, table):
+        hashes = [unpack_sorted(h) for h in table.column("hashes").to_pylist()]
+        counts = [unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
+        size = np.cumsum([0] + [len(h) for h in hashes])
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts).astype(np.float64)).astype(np.int64)[place]
+        return pa.table({"block": table.column("block"), "part": table.column("part"),
+                         "totals": pa.array([pack(total[a:z]) for a, z in zip(size, size[1:])], pa.binary())})
+
+    cells = blocks.select("block", "body").mapInArrow(send, "part int, block long, hashes binary, counts binary")
+    return (cells.groupBy("part").applyInArrow(add, "block long, part int, totals binary")
+            .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("answers")))
 
 
 def idf(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
-    """Normalised inverse document frequency per bucket: 1 for a shingle of all documents, 2 for one of a single document.
+    """Normalised inverse document frequency: 1 for a shingle of all documents, 2 for one of a single document.
 
     The range is bounded so that the few rare shingles of an edit do not outweigh
     the text around it, however large the group of copies and the corpus are.
@@ -113,11 +157,21 @@ def idf(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
     return 1.0 + np.log((1.0 + n_docs) / (1.0 + np.minimum(frequencies, n_docs))) / np.log(1.0 + max(n_docs, 1))
 
 
-def tf_idf(hashes: np.ndarray, times: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Weights (1 + ln tf) x idf: a line that is repeated a hundred times does not make a document."""
+def tf_idf(hashes: np.ndarray, times: np.ndarray, table) -> np.ndarray:
+    """Weights (1 + ln tf) x idf: a line that is repeated a hundred times does not make a document.
+
+    ``table`` has the idf of each shingle: (sorted hashes, their idf), or an array over the last DF_BITS of the hash.
+    """
+    if isinstance(table, tuple):
+        return (1.0 + np.log(times)) * table[1][np.searchsorted(table[0], hashes)]
     return (1.0 + np.log(times)) * table[(hashes & _DF_MASK).astype(np.int64)]
 
 
+def _own_frequencies(lists: pa.Array) -> np.ndarray:
+    """The document frequencies of the shingles of texts behind one another, from their packed lists."""
+    return np.concatenate([np.zeros(0, np.int64)] + [unpack(d, np.int64) for d in lists.to_pylist()])
+
+
 def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers in (0, 1) from the halves of 64-bit hashes."""
     scale = np.float32(2.0 ** -24)
@@ -181,10 +235,9 @@ def weighted_jaccard(left: tuple, right: tuple, n: int) -> np.ndarray:
     return np.divide(shared, total, out=np.zeros(n), where=total > 0)
 
 
-def _verified(pairs: DataFrame, threshold: float, weights) -> DataFrame:
-    """The pairs (a, b, _ta, _tb: their texts) whose weighted Jaccard similarity reaches the threshold."""
+def _verified(pairs: DataFrame, threshold: float, n_docs: int) -> DataFrame:
+    """The pairs (a, b, _ta, _tb: their texts, _fa, _fb: their frequencies) whose weighted Jaccard similarity reaches the threshold."""
     def verify(batches):
-        table = weights.value
         for batch in batches:
             # both texts count against the slice
             for part in text_slices([batch], "_ta", 1 << 18):
@@ -192,28 +245,35 @@ def _verified(pairs: DataFrame, threshold: float, weights) -> DataFrame:
                     sets = []
                     for c in (2, 3):
                         doc, hashes, times = shingles(few.column(c))
-                        sets.append((doc, hashes, tf_idf(hashes, times, table)))
+                        sets.append((doc, hashes, (1.0 + np.log(times)) * idf(_own_frequencies(few.column(c + 2)), n_docs)))
                     close = weighted_jaccard(*sets, few.num_rows) >= threshold
                     yield few.select(["a", "b"]).filter(pa.array(close))
 
-    return pairs.select("a", "b", "_ta", "_tb").mapInArrow(verify, "a binary, b binary")
+    return pairs.select("a", "b", "_ta", "_tb", "_fa", "_fb").mapInArrow(verify, "a binary, b binary")
 
 
-def sketches(docs: DataFrame, weights, bands: int, rows: int) -> DataFrame:
-    """(_id, _name, _weight, _keys): digest, total weight and band keys (null without words) of docs (_id, _name, _text)."""
+def sketches(blocks: DataFrame, id_type: str, n_docs: int, bands: int, rows: int) -> DataFrame:
+    """(_id, _name, _weight, _keys, _freq) per document of blocks (body, answers): digest, total weight, band keys (null
+    without words) and the packed document frequencies of its shingles in order of their hash."""
     def sketch(batches):
-        table = weights.value
-        for part in text_slices(batches, "_text", 1 << 18):  # small slices stay in the processor's cache
-            doc, hashes, times = shingles(part.column(2))
-            weight = tf_idf(hashes, times, table)
-            keys = band_keys(weighted_samples(doc, hashes, weight, part.num_rows, bands * rows), bands, rows)
-            known = np.zeros(part.num_rows, bool)
-            known[doc] = True
-            lists = pa.array([k if w else None for k, w in zip(list(keys.T), known)], pa.list_(pa.int64()))
-            total = np.bincount(doc, weight, part.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), lists], names=["_id", "_name", "_weight", "_keys"])
-
-    return docs.mapInArrow(sketch, f"_id {dict(docs.dtypes)['_id']}, _name binary, _weight double, _keys array<long>")
+        for batch in batches:
+            for row in batch.to_pylist():
+                every, _ = _distinct(row["body"])
+                totals = np.concatenate([np.zeros(0, np.int64)] + [unpack(a["totals"], np.int64) for a in row["answers"] or []])
+                for part, doc, hashes, times in _slices(row["body"]):
+                    freq = totals[np.searchsorted(every, hashes)]
+                    weight = (1.0 + np.log(times)) * idf(freq, n_docs)
+                    keys = band_keys(weighted_samples(doc, hashes, weight, part.num_rows, bands * rows), bands, rows)
+                    known = np.zeros(part.num_rows, bool)
+                    known[doc] = True
+                    lists = pa.array([k if w else None for k, w in zip(list(keys.T), known)], pa.list_(pa.int64()))
+                    total = np.bincount(doc, weight, part.num_rows).astype(float)
+                    cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                    packed = pa.array([pack(freq[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), lists, packed],
+                                                     names=["_id", "_name", "_weight", "_keys", "_freq"])
+
+    return blocks.select("body", "answers").mapInArrow(sketch, f"_id {id_type}, _name binary, _weight double, _keys array<long>, _freq binary")
 
 
 def _buckets(sketched: DataFrame, threshold: float) -> DataFrame:
@@ -259,7 +319,7 @@ def _cells(buckets: DataFrame) -> DataFrame:
             .select("key", "name", "cls", "own", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi")))
 
 
-def close_pairs(texts: pa.Array, table: np.ndarray, threshold: float, chunk: int = 1 << 14) -> np.ndarray:
+def close_pairs(texts: pa.Array, table, threshold: float, chunk: int = 1 << 14) -> np.ndarray:
     """Which pairs of two texts have a weighted Jaccard similarity of the threshold or more (symmetric matrix, its
     diagonal without meaning: what only one text holds is left out)."""
     doc, hashes, times = shingles(texts)
@@ -285,14 +345,16 @@ def close_pairs(texts: pa.Array, table: np.ndarray, threshold: float, chunk: int
     return (common >= threshold * whole * (1 - 1e-12)) & (total > 0)[:, None] & (total > 0)[None, :]
 
 
-def _cell_links(cells: DataFrame, threshold: float, weights) -> DataFrame:
+def _cell_links(cells: DataFrame, threshold: float, n_docs: int) -> DataFrame:
     """Links (a, b) that join each cell's members to the first member of their class there: at most one per member."""
     def compare(key, table):
         lo, hi = key[1].as_py(), key[2].as_py()
         own = table.column("own").to_numpy()
         name = table.column("name").to_pylist()
         _, label = np.unique(np.array(table.column("cls").to_pylist(), object), return_inverse=True)
-        close = close_pairs(table.column("text").combine_chunks(), weights.value, threshold)
+        texts = table.column("text").combine_chunks()
+        every, at = np.unique(shingles(texts)[1], return_index=True)
+        close = close_pairs(texts, (every, idf(_own_frequencies(table.column("freq"))[at], n_docs)), threshold)
         if lo != hi:
             close &= own[:, None] != own[None, :]
         close |= label[:, None] == label[None, :]
@@ -306,7 +368,7 @@ def _cell_links(cells: DataFrame, threshold: float, weights) -> DataFrame:
         joined = np.flatnonzero((lead != np.arange(len(name))) & (label != label[lead]))
         return pa.table({"a": pa.array([name[lead[i]] for i in joined], pa.binary()), "b": pa.array([name[i] for i in joined], pa.binary())})
 
-    return cells.select("key", "lo", "hi", "own", "name", "cls", "text").groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary")
+    return cells.select("key", "lo", "hi", "own", "name", "cls", "text", "freq").groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary")
 
 
 def _open(buckets: DataFrame) -> DataFrame:
@@ -325,24 +387,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """
     read = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
             .select("_id", F.unhex(F.md5("_text")).alias("_name"), "_text"))
-    table = document_frequencies(read.select("_text"))
-    weights = docs.sparkSession.sparkContext.broadcast(idf(table, read.count()))
-    sketched = stage(sketches(read, weights, bands, rows), "sketches")
+    blocks = stage(_blocks(read), "shingle_blocks")
+    n_docs, size = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bits = max(8, math.ceil(math.log2(max(1, size / 6 / PART_ENTRIES))))
+    joined = blocks.join(_frequencies(blocks, bits), "block", "left")
+    sketched = stage(sketches(joined, dict(read.dtypes)["_id"], n_docs, bands, rows), "sketches")
 
     state = _buckets(sketched, threshold)
     state = stage(_open(state.withColumn("cls", F.col("name"))), "buckets")
     # one document per text that shares a bucket with another text; ids and digests together are never a hot key
-    lead = (sketched.groupBy("_name").agg(F.min("_id").alias("_id"))
-            .join(state.select(F.col("name").alias("_name")).distinct(), "_name", "left_semi"))
-    texts = (read.alias("d").join(lead.alias("l"), F.col("d._id").eqNullSafe(F.col("l._id")) & (F.col("d._name") == F.col("l._name")), "left_semi")
-             .select(F.col("_name").alias("name"), F.col("_text").alias("text")))
+    lead = (sketched.select("_name", "_id", "_freq").join(state.select(F.col("name").alias("_name")).distinct(), "_name", "left_semi")
+            .groupBy("_name").agg(F.min("_id").alias("_id"), F.first("_freq").alias("_freq")))
+    texts = (read.alias("d").join(lead.alias("l"), F.col("d._id").eqNullSafe(F.col("l._id")) & (F.col("d._name") == F.col("l._name")))
+             .select(F.col("d._name").alias("name"), F.col("d._text").alias("text"), F.col("l._freq").alias("freq")))
     texts = stage(texts.dropDuplicates(["name"]), "texts")
     with_texts = lambda pairs: (
-        pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("_ta")), "a")
-        .join(texts.select(F.col("name").alias("b"), F.col("text").alias("_tb")), "b"))
+        pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("_ta"), F.col("freq").alias("_fa")), "a")
+        .join(texts.select(F.col("name").alias("b"), F.col("text").alias("_tb"), F.col("freq").alias("_fb")), "b"))
     # first round: stars
     tested = stage(_star_pairs(state, threshold), "pairs")
-    links = stage(_verified(with_texts(tested), threshold, weights), "links")
+    links = stage(_verified(with_texts(tested), threshold, n_docs), "links")
     classes = stage(components(links, "a", "b"), "classes")
     # second round: what is still of different classes in a bucket
     state = (state.drop("cls").join(classes.withColumnRenamed("node", "name"), "name", "left")
@@ -351,9 +415,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.max("w").alias("w_most"))
     state = stage(state.join(sizes, "key"), "open_buckets")
     pairs = _small_pairs(state.filter(F.col("n") <= SMALL), threshold).join(tested, ["a", "b"], "left_anti")
-    more = _verified(with_texts(pairs), threshold, weights)
+    more = _verified(with_texts(pairs), threshold, n_docs)
     cells = _cells(state.filter(F.col("n") > SMALL)).join(texts, "name")
-    links = stage(links.unionByName(more).unionByName(_cell_links(cells, threshold, weights)), "links")
+    links = stage(links.unionByName(more).unionByName(_cell_links(cells, threshold, n_docs)), "links")
     classes = stage(components(links, "a", "b"), "classes")
     named = sketched.select("_id", "_name")
     named = (named.join(classes.withColumnRenamed("node", "_name"), "_name", "left")

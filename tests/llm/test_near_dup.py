@@ -134,3 +134,23 @@ def test_leads_stay(make):
 def test_empty_table(make):
     assert nd.near_duplicates(make([], "doc_id long, text string")).count() == 0
     assert nd.near_duplicates(make([(1, None), (2, ""), (None, "a b c")], "doc_id long, text string")).count() == 3
+
+
+def test_frequencies_are_those_of_shingles_in_a_corpus_of_many(make, monkeypatch):
+    """1.6 million shingles of single documents; two texts that share a common line and differ in rare ones stay apart."""
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 100_000)
+    rows = [(100 + i, " ".join(f"f{i}_{j}" for j in range(4000))) for i in range(400)]
+    line = [f"b{j}" for j in range(94)]  # 90 shingles, in 100 documents
+    for i in range(100):
+        rows.append((1000 + i, " ".join(line + [f"o{i}_{j}" for j in range(8 if i < 2 else 60)])))
+    classes = dict(nd.near_duplicates(make(rows, "doc_id long, text string")).collect())
+    assert classes[1001] == 1001  # 0.79 by the frequencies of the shingles, 0.81 by those of 2^18 buckets
+    docs = make(rows, "doc_id long, text string").select(*[nd.F.col("doc_id").alias("_id"), nd.F.unhex(nd.F.md5("text")).alias("_name"), nd.F.col("text").alias("_text")])
+    blocks = nd.stage(nd._blocks(docs), "test_blocks")
+    assert blocks.count() > 4
+    out = nd.sketches(blocks.join(nd._frequencies(blocks, 8), "block", "left"), "bigint", len(rows), 2, 2).collect()
+    texts = dict(rows)
+    freq = Counter(h for t in texts.values() for h in nd.shingles(pa.array([t]))[1].tolist())
+    assert len(out) == len(rows)
+    for r in out:
+        assert nd.unpack(bytes(r._freq), np.int64).tolist() == [freq[h] for h in nd.shingles(pa.array([texts[r._id]]))[1].tolist()]
