@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BYTE_CODE, concat_texts, mix, span_hashes, split_words, text_slices
+from affinity.llm.common import BYTE_CODE, concat_texts, mix, pack, pack_sorted, span_hashes, split_words, text_slices, unpack, unpack_sorted
 from affinity.session import stage
 
-ORDER = 2
+ORDER = 3
 #: Factor per step back (fixed value of the method).
 BACKOFF = 0.4
 #: Text bytes of a block, and n-gram entries that one partition of the count table holds.
@@ -48,14 +48,6 @@ def ngrams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, list[np.nda
     return doc, grams
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
-
-
 def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
     """One row per block: number, words, and its documents' ids and texts (compressed)."""
     def cut(batches):
@@ -89,40 +81,26 @@ def _cells(blocks: DataFrame, bits: int, order: int) -> DataFrame:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes, counts = _distinct(ngrams(_texts(body).column("_text"), order)[1])
                 cut = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                low = np.uint64((1 << (64 - bits)) - 1)  # the partition number implies the leading bits
                 ends = [(p, a, z) for p, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _, _ in ends], pa.int32()), pa.array([block] * len(ends), pa.int64()),
-                     pa.array([_pack(_low_bytes(hashes[a:z], bits)) for _, a, z in ends], pa.binary()),
-                     pa.array([_pack(counts[a:z].astype(np.uint32)) for _, a, z in ends], pa.binary())],
+                     pa.array([pack_sorted(hashes[a:z] & low) for _, a, z in ends], pa.binary()),
+                     pa.array([pack(counts[a:z].astype(np.uint32)) for _, a, z in ends], pa.binary())],
                     names=["part", "block", "hashes", "counts"])
     return blocks.select("block", "body").mapInArrow(send, "part int, block long, hashes binary, counts binary")
 
 
-def _low_bytes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The hashes without the leading byte that the partition number implies (all eight bytes if it implies less)."""
-    wide = hashes.view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(wide[:, :7] if bits >= 8 else wide)
-
-
-def _whole(data: bytes, bits: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    if bits < 8:
-        return raw.view(np.uint64)
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = raw.reshape(-1, 7)
-    return out.reshape(-1).view(np.uint64)
-
-
-def _totals(cells: DataFrame, bits: int) -> DataFrame:
+def _totals(cells: DataFrame) -> DataFrame:
     """Answers: per block and partition the corpus totals of the block's n-grams, in their order."""
     def add(key, table):
-        hashes = [_whole(h, bits) for h in table.column("hashes").to_pylist()]
-        counts = [_unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
+        hashes = [unpack_sorted(h) for h in table.column("hashes").to_pylist()]
+        counts = [unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
         size = np.cumsum([0] + [len(h) for h in hashes])
         _, place = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts).astype(np.float64)).astype(np.int64)[place]
         return pa.table({"block": table.column("block"), "part": table.column("part"),
-                         "totals": pa.array([_pack(total[a:z]) for a, z in zip(size, size[1:])], pa.binary())})
+                         "totals": pa.array([pack(total[a:z]) for a, z in zip(size, size[1:])], pa.binary())})
     return cells.groupBy("part").applyInArrow(add, "block long, part int, totals binary")
 
 
@@ -169,7 +147,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     blocks = stage(_blocks(read, id_type), "lm_blocks")
     corpus = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     bits = max(8, int(np.ceil(np.log2(max(1, order * corpus / PART_ENTRIES)))))
-    answers = (_totals(_cells(blocks, bits, order), bits).groupBy("block")
+    answers = (_totals(_cells(blocks, bits, order)).groupBy("block")
                .agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("answers")))
     joined = blocks.join(answers, "block", "left").select("body", "answers")
 
@@ -179,7 +157,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
                 table = _texts(row["body"])
                 doc, grams = ngrams(table.column("_text"), order)
                 hashes, _ = _distinct(grams)
-                totals = np.concatenate([np.zeros(0, np.int64)] + [_unpack(a["totals"], np.int64) for a in row["answers"] or []])
+                totals = np.concatenate([np.zeros(0, np.int64)] + [unpack(a["totals"], np.int64) for a in row["answers"] or []])
                 n, total = backoff_scores(doc, grams, hashes, totals, table.num_rows, corpus)
                 mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
                 yield pa.RecordBatch.from_arrays(

@@ -58,3 +58,12 @@ def test_many_partitions_agree(make, monkeypatch):
 
 def test_empty_table(make):
     assert lm.score_documents(make([], "doc_id long, text string")).count() == 0
+
+
+def test_registered_query_counts_trigrams(spark, tmp_path):
+    """Word pairs that all occur, in an order that does not: order 2 scores them like fluent text."""
+    from affinity.llm.queries import QUERIES
+    rows = [(i, "a b c d e f g h") for i in range(4)] + [(10, "x b y"), (11, "z b c w"), (12, "a b y"), (13, "x b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_stupid_backoff"](spark, str(tmp_path)).collect()
+    assert sorted([(r.doc_id, r.n_words, round(r.log_score, 6)) for r in got], key=str) == brute(rows, 3) != brute(rows, 2)
