@@ -110,6 +110,11 @@ def _same(a: str, b: str, columns: list[str]) -> list[Column]:
     return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
 
 
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -121,6 +126,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     nothing; repeated items count under each of their ids; repeated document
     rows repeat their row; either table may be empty.
     """
+    judged = _judged(docs, items, window, k, id_col, text_col, item_col, item_text_col, block_rows)
+    return judged.select(F.col("_id").alias(id_col), "n_words", "hit", "n_hit", "items")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_col: str = "doc_id",
+            text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The columns of ``decontaminate`` with the id as _id, and the text's _k1, _k2."""
     w = window - k + 1
     key = ["_id", "_k1", "_k2"]  # equal id and text: equal result, however often the row occurs
     spread = lambda a: F.transform(a, lambda x: F.xxhash64(x))
@@ -137,7 +150,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
     text = F.coalesce("_t", F.lit(""))
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).select(
-        "_id", F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"), words_of(text).alias("_w"))
+        "_id", *[c.alias(n) for c, n in zip(_text_keys(text), key[1:])], words_of(text).alias("_w"))
     hashed = read.select(*key, spread(F.col("_w")).alias("_h"))
     found = []
     in_block = lambda df, b, n: df.filter(F.pmod(F.xxhash64("_text"), F.lit(n)) == b)
@@ -159,7 +172,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     out = read.select(*key, F.size("_w").cast("long").alias("n_words"))
     none = F.array().cast(_SPANS)
     if not found:
-        return out.select(F.col("_id").alias(id_col), "n_words", none.alias("hit"), F.lit(0).cast("long").alias("n_hit"),
+        return out.select(*key, "n_words", none.alias("hit"), F.lit(0).cast("long").alias("n_hit"),
                           F.array().cast("array<string>").alias("items"))
     spans = stage(reduce(DataFrame.unionByName, found).distinct(), "hit_spans")
     covered = (spans.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(F.col("_from").alias("from"), F.col("_to").alias("to")))).alias("hit"))
@@ -170,13 +183,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
               .select(*[F.col(f"c.{c}") for c in key], "hit", "items"))
     hit = F.coalesce("r.hit", none)
     return (out.alias("d").join(result.alias("r"), _same("d", "r", key), "left")
-            .select(F.col("d._id").alias(id_col), "d.n_words", hit.alias("hit"),
+            .select(*[F.col(f"d.{c}") for c in key], "d.n_words", hit.alias("hit"),
                     F.aggregate(hit, F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]).alias("n_hit"),
                     F.coalesce("r.items", F.array().cast("array<string>")).alias("items")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents without a hit, columns as given; where rows share an id, a hit in one drops them all."""
-    hit = (decontaminate(docs, items, id_col=id_col, text_col=text_col, **settings).filter("n_hit > 0")
-           .select(F.col(id_col).alias("_hit_id")).distinct())
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
+    """The documents without a hit, columns as given; judged by id and text, so rows that share an id only are told apart."""
+    hit = (_judged(docs, items, id_col=id_col, text_col=text_col, **settings).filter("n_hit > 0")
+           .select(F.col("_id").alias("_hit_id"), F.col("_k1").alias("_hit_k1"), F.col("_k2").alias("_hit_k2")).distinct())
+    k1, k2 = _text_keys(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_own_k1") == F.col("_hit_k1")) & (F.col("_own_k2") == F.col("_hit_k2"))
+    return docs.withColumns({"_own_k1": k1, "_own_k2": k2}).join(hit, same, "left_anti").drop("_own_k1", "_own_k2")

@@ -377,14 +377,8 @@ def _open(buckets: DataFrame) -> DataFrame:
     return buckets.join(mixed.select("key"), "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and ``class_id``, the smallest id of its class.
-
-    Null texts count as empty; texts without words are alike only if they are
-    equal. Repeated rows give one row each; null ids are kept, and a class with
-    null ids only has a null class id. An empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _name, _class) per document: id, text digest and the class of the text."""
     read = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
             .select("_id", F.unhex(F.md5("_text")).alias("_name"), "_text"))
     blocks = stage(_blocks(read), "shingle_blocks")
@@ -420,14 +414,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     links = stage(links.unionByName(more).unionByName(_cell_links(cells, threshold, n_docs)), "links")
     classes = stage(components(links, "a", "b"), "classes")
     named = sketched.select("_id", "_name")
-    named = (named.join(classes.withColumnRenamed("node", "_name"), "_name", "left")
-             .select("_id", F.coalesce("component", "_name").alias("_name")))
-    least = named.groupBy("_name").agg(F.min("_id").alias("class_id"))
-    return named.join(least, "_name").select(F.col("_id").alias(id_col), "class_id")
+    return (named.join(classes.withColumnRenamed("node", "_name"), "_name", "left")
+            .select("_id", "_name", F.coalesce("component", "_name").alias("_class")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id and ``class_id``, the smallest id of its class.
+
+    Null texts count as empty; texts without words are alike only if they are
+    equal. Repeated rows give one row each; null ids are kept, and a class with
+    null ids only has a null class id. An empty table gives an empty result.
+    """
+    named = _classified(docs, threshold, bands, rows, id_col, text_col).select("_id", "_class")
+    least = named.groupBy("_class").agg(F.min("_id").alias("class_id"))
+    return named.join(least, "_class").select(F.col("_id").alias(id_col), "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that lead their class (one row each, also where a leading row is repeated); columns as given."""
-    leads = (near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
-             .groupBy(F.col("class_id").alias("_lead")).agg(F.count("*").alias("_size")).select("_lead"))
-    return docs.join(leads, F.col(id_col).eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates([id_col])
+    """The documents that lead their class, one row each, columns as given.
+
+    A lead has the smallest id of its class (null only where all are), then the
+    least text digest; it is found by id and digest, so null ids and ids on
+    several texts lose nothing of other classes.
+    """
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_name")
+    leads = (_classified(docs, threshold, BANDS, ROWS, id_col, text_col).groupBy("_class").agg(F.min(place).alias("_lead"))
+             .select(F.col("_lead._id").alias("_lead_id"), F.col("_lead._name").alias("_lead_name")))
+    named = docs.withColumn("_own_name", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = named.join(leads, F.col(id_col).eqNullSafe(F.col("_lead_id")) & (F.col("_own_name") == F.col("_lead_name")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own_name"]).drop("_own_name")

@@ -51,13 +51,14 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, total: float = 1.0,
               seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy_no",
-              place_col: str = "place", partitions: int | None = None) -> DataFrame:
+              place_col: str = "place", partitions: int | None = None, text_col: str | None = None) -> DataFrame:
     """The documents' columns, each row once per drawn copy, with ``copy_no`` (from 0) and ``place``, in order of place.
 
     ``total`` is the size of the mix in units of the input. A source without a
     weight has ``default_weight``; null is a source of its own. Weight 0 drops a
     source. Copies depend on (seed, id) only, so repeated rows of one id draw
-    the same count; a null id draws like the text "null". ``place`` is a seeded
+    the same count; a null id draws like the text "null", or with ``text_col``
+    by the digest of its text. ``place`` is a seeded
     hash in [0, 1): rows are range-partitioned and sorted by it, so any file is
     a fair sample. An empty table gives an empty result.
     """
@@ -68,14 +69,17 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
     columns = docs.columns
+    own = F.col(id_col)
+    if text_col:
+        own = F.coalesce(own.cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.join(tables, docs[source_col].eqNullSafe(tables["_source"]))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"),
-        lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, F.col(id_col), i))))
+        lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, own, i))))
     copies = drawn.select(*columns, F.posexplode(F.array_repeat(F.lit(True), count.cast("int"))).alias(copy_col, "_copy"))
     copies = copies.withColumn(copy_col, F.col(copy_col).cast("long"))
     # places are uniform, so equal slices of [0, 1) are even partitions and no sampling pass has to find their bounds
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = copies.withColumn(place_col, unit_hash(seed + "/place", F.col(id_col), F.col(copy_col)))
+    placed = copies.withColumn(place_col, unit_hash(seed + "/place", own, F.col(copy_col)))
     return (placed.select(*columns, copy_col, place_col)
             .repartitionById(n, F.floor(F.col(place_col) * n).cast("int")).sortWithinPartitions(place_col, id_col, copy_col))

@@ -90,3 +90,19 @@ def test_one_query_per_operator():
 def test_queries_match_their_sql(spark, name):
     from tests.oracle_check import compare
     assert compare(spark, name, "/root/testdata/sf0.001")["status"] == "match"
+
+
+def test_null_and_repeated_ids_are_told_apart_by_text(spark, sf_dir):
+    """Texts of null ids, or of one id, are documents of their own in each stage."""
+    steps = dict(corpus_pipeline.STAGES)
+    clean = [(None, " ".join(words(60, 3000 + i, 5000)), "en", "a", 1) for i in range(30)]
+    clean += [(7, " ".join(words(60, 3100 + i, 5000)), "en", "a", 1) for i in range(2)]
+    dirty = [(d, " ".join(words(60, 3200 + i, 5000)) + " " + ITEMS[0][1], "en", "a", 1) for i, d in enumerate([None, 7])]
+    docs = spark.createDataFrame(clean + dirty + clean[:3] + [(9, clean[4][1], "en", "a", 1)], SCHEMA).repartition(3)
+    got = steps["near_dup"](spark, docs, sf_dir)
+    lead = [r if r[1] != clean[4][1] else (9, *r[1:]) for r in clean]  # a class of a null id and 9 is led by 9
+    assert sorted(rows_of(got), key=str) == sorted(lead + dirty, key=str)
+    got = steps["decontamination"](spark, spark.createDataFrame(clean + dirty, SCHEMA), sf_dir)
+    assert sorted(rows_of(got), key=str) == sorted(clean, key=str)
+    copies = Counter(r[1] for r in rows_of(steps["mixing"](spark, spark.createDataFrame(clean, SCHEMA), sf_dir)))
+    assert len({copies[t] for _, t, *_ in clean[:30]}) > 1
