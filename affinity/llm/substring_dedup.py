@@ -189,16 +189,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Words are runs of anything but ASCII white space. A word is removed if a
     window of ``window`` consecutive words that covers it also starts earlier: in
-    a document of a smaller id, or earlier in the same one; windows are judged
-    on the input. Null and empty texts have no words and keep the empty text;
+    a document of a smaller id (or of the same id and a smaller text digest), or
+    earlier in the same one; windows are judged on the input. Null and empty texts have no words and keep the empty text;
     shorter texts than a window are kept whole. Rows that repeat an id and text
     are one document and give equal rows; a null id counts as the smallest.
     """
-    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    read = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # null ids, or one id on several texts, are documents of their own: each distinct (id, text) is one key
+    read = read.select(F.struct("_own", F.unhex(F.md5("_text")).alias("_name")).alias("_id"), "_text")
     spans = repeated_spans(read, window)
     found = (read.alias("d").join(spans.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")), "left")
-             .select("d._id", "d._text", "s.spans"))
-    kind = dict(read.dtypes)["_id"]
+             .select("d._id._own", "d._text", "s.spans"))
+    kind = dict(found.dtypes)["_own"]
 
     def cut(batches):
         for part in text_slices(batches, "_text"):

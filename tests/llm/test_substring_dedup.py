@@ -73,3 +73,24 @@ def test_equal_windows_have_equal_keys():
 
 def test_empty_table(make):
     assert run(make, []) == []
+
+
+def test_null_and_repeated_ids_with_different_texts(make):
+    """Each (id, text) is a document of its own; of equal ids the least text digest comes first."""
+    import hashlib
+    plain = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = plain("p", 30)
+    rows = []
+    for d in (None, 5):
+        own = [passage if d is None else plain("q", 30), plain(f"tail{d}", 12)]
+        rows += [(d, plain(f"long{d}_", 200)), (d, plain(f"short{d}_", 3)), (d, own[0] + own[1]), (d, own[0] + plain(f"other{d}", 9))]
+    want = []
+    for d in (None, 5):
+        texts = sorted((w for i, w in rows if i == d), key=lambda w: hashlib.md5(" ".join(w).encode()).digest())
+        seen = False
+        for w in texts:
+            holds = w[0] in ("p0", "q0")
+            want.append((d, len(w), 30 if holds and seen else 0, " ".join(w[30:] if holds and seen else w)))
+            seen |= holds
+    got = sd.remove_repeats(make([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got], key=str) == sorted(want, key=str)
