@@ -30,12 +30,16 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-ANY_HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
-#: Wrappers inside wrappers are opened this deep.
-DEPTH = 3
+#: Where a candidate may begin: after a line end that is written as an escape, else not inside a word.
+_BEGIN = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-])|(?<=\\)(?![nrt]))"
+ENCODED = re.compile(_BEGIN + r"[A-Za-z0-9+/_-]{24,}={0,2}")
+_LINE_END = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+#: Adjacent lines of base64 or hex.
+LINES = re.compile(_BEGIN + rf"[A-Za-z0-9+/_-]{{24,}}(?:{_LINE_END}[A-Za-z0-9+/_-]+={{0,2}})+")
+_LINE = re.compile(rf"([A-Za-z0-9+/_-]+={{0,2}})(?:{_LINE_END})?")
+ANY_HEX = re.compile(r"(?:0[xX])?(?:[0-9a-fA-F]{2})+")
 
 
 def _from_base64(text: str) -> bytes | None:
@@ -124,12 +128,54 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+def _plain_lines(body: str) -> str:
+    """Line ends and slashes that are written as escapes as such, carriage returns left out."""
+    return re.sub(r"\\+/", "/", re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", body)))
+
+
+def _kind_of(candidate: str) -> str | None:
+    """What an encoded text is proven to be; wrappers are opened until nothing decodes, as each layer is shorter."""
+    readings = [_from_base64(candidate)]
+    if ANY_HEX.fullmatch(candidate):
+        readings.append(bytes.fromhex(candidate[2:] if candidate[1] in "xX" else candidate))
+    for data in readings:
+        if not data:
+            continue
+        if is_private_key(data) or _is_tagged_container(data):
+            return "der"
+        if data.isascii() and all(c >= 32 or c in (9, 10, 13) for c in data):
+            inner = data.decode("ascii")
+            if base_spans(inner) or confirmed_spans(inner):
+                return "wrapped"
+    return None
+
+
+def _wrapped_lines(text: str):
+    """(from, to, joined) of lines of one width and the shorter one after them, with and without it; where a key may
+    begin inside, also from there."""
+    for m in LINES.finditer(text):
+        lines = [(x.start(1), x.end(1), x[1]) for x in _LINE.finditer(text, *m.span())]
+        i = 0
+        while i < len(lines):
+            width, j = len(lines[i][2]), i + 1
+            while j < len(lines) and len(lines[j][2]) == width:
+                j += 1
+            ends = [j + 1] if j < len(lines) and len(lines[j][2]) < width else []
+            for k in range(i, j):
+                start = _from_base64(lines[k][2][:24]) or b""
+                if k == i or start[:1] == b"0" or start.startswith(b"openssh-key-v1") or lines[k][2][:2] in ("30", "0x", "0X"):
+                    for e in [*ends, j]:
+                        if e - k > 1:
+                            yield lines[k][0], lines[e - 1][1], "".join(x for _, _, x in lines[k:e])
+            i = j
+
+
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure proves them: keys, signed tokens, wrappers around secrets."""
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = m[2]
+            body = _plain_lines(m[2])
             if "\n\n" in body and ":" in body:  # header lines of an encrypted block
                 body = body.split("\n\n", 1)[1]
             data = _from_base64(body)
@@ -138,24 +184,20 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]
     if "eyJ" in text:
         out += [("token", *m.span()) for m in TOKEN.finditer(text) if _is_signed_token(m[0])]
     taken = [(a, b) for _, a, b in out]
+    free = lambda a, b: not any(x < b and a < y for x, y in taken)
+    for a, b, joined in _wrapped_lines(text):
+        if free(a, b) and (kind := _kind_of(joined)):
+            out.append((kind, a, b))
+            taken.append((a, b))
     for m in ENCODED.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in taken):
+        if not free(a, b):
             continue
-        readings = [_from_base64(m[0])]
-        if ANY_HEX.fullmatch(m[0]):
-            readings.append(bytes.fromhex(m[0]))
-        for data in readings:
-            if not data:
-                continue
-            if is_private_key(data) or _is_tagged_container(data):
-                out.append(("der", a, b))
+        # what follows an escape may also be meant with the escape's letter
+        for start in (a, a - 1) if a > 1 and text[a - 2] == "\\" and text[a - 1] in "nrt" else (a,):
+            if kind := _kind_of(text[start:b]):
+                out.append((kind, start, b))
                 break
-            if depth and data.isascii() and all(c >= 32 or c in (9, 10, 13) for c in data):
-                inner = data.decode("ascii")
-                if base_spans(inner) or confirmed_spans(inner, depth - 1):
-                    out.append(("wrapped", a, b))
-                    break
     return out
 
 

@@ -87,3 +87,31 @@ def test_empty_table_and_query(make, spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in got.collect():
         assert r.base_sha256 == hashlib.sha256(plain_base(docs[r.doc_id]).encode()).hexdigest()
+
+
+def test_written_forms_of_real_keys():
+    """Escaped line ends, wrapped lines without armour, hex of mixed case or with a prefix, many wrappers."""
+    import base64
+    import json
+
+    value = lambda tag, body: bytes([tag, 0x82, *len(body).to_bytes(2, "big")]) + body
+    number = b"\x02\x01\x00"
+    data = value(0x30, number + b"".join(value(0x02, bytes(range(1, 91))) for _ in range(6)))
+    assert sec.is_private_key(data)
+    plain = base64.b64encode(data).decode()
+    spans = lambda text: sec.confirmed_spans(text)
+    for width in (64, 76):
+        lines = "\n".join(plain[i:i + width] for i in range(0, len(plain), width))
+        assert spans(f"see\n{lines}\nthe end") == [("der", 4, 4 + len(lines))]
+        block = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n"
+        text = json.dumps({"private_key": block})
+        assert [k for k, _, _ in spans(text)] == ["pem"]
+        assert [k for k, _, _ in spans(json.dumps(f"x\n{lines}\n"))] == ["der"]
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(data.hex()))
+    for form in (mixed, "0x" + data.hex(), "0X" + mixed):
+        assert spans(f"key {form} end") == [("der", 4, 4 + len(form))]
+    deep = plain
+    for n in range(7):
+        deep = base64.b64encode(f"v {deep} w".encode()).decode()
+        assert spans(deep) == [("wrapped", 0, len(deep))], n
+    assert spans("a" * 64 + "\n" + "b" * 64 + "\n" + "c" * 10) == []
