@@ -188,10 +188,13 @@ def _judged(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_
                     F.coalesce("r.items", F.array().cast("array<string>")).alias("items")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents without a hit, columns as given; judged by id and text, so rows that share an id only are told apart."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False, **settings) -> DataFrame:
+    """The documents without a hit, columns as given; where rows share an id, a hit in one drops them all, unless
+    ``by_text``: then rows are judged by id and text."""
     hit = (_judged(docs, items, id_col=id_col, text_col=text_col, **settings).filter("n_hit > 0")
            .select(F.col("_id").alias("_hit_id"), F.col("_k1").alias("_hit_k1"), F.col("_k2").alias("_hit_k2")).distinct())
     k1, k2 = _text_keys(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_own_k1") == F.col("_hit_k1")) & (F.col("_own_k2") == F.col("_hit_k2"))
+    same = F.col(id_col).eqNullSafe(F.col("_hit_id"))
+    if by_text:
+        same &= (F.col("_own_k1") == F.col("_hit_k1")) & (F.col("_own_k2") == F.col("_hit_k2"))
     return docs.withColumns({"_own_k1": k1, "_own_k2": k2}).join(hit, same, "left_anti").drop("_own_k1", "_own_k2")
