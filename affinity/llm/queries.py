@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.llm import decontaminate as dc
+from affinity.llm import licenses as lc
 from affinity.llm import lm_score as lm
 from affinity.llm import near_dup as nd
 from affinity.llm import quality as qu
@@ -102,3 +103,8 @@ def weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_maxscore")
 def maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op12_diagonal_voting")
+def diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lc.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
