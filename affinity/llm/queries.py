@@ -14,6 +14,7 @@ from affinity.llm import near_dup as nd
 from affinity.llm import quality as qu
 from affinity.llm import replicate as rp
 from affinity.llm import secrets as sec
+from affinity.llm import spelling as sp
 from affinity.llm import substring_dedup as sd
 from affinity.llm import token_file as tf
 from affinity.llm import topk
@@ -108,3 +109,8 @@ def maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_diagonal_voting")
 def diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register("op13_sorted_list_edits")
+def sorted_list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.group_variants(table(spark, sf_dir, "documents"))
