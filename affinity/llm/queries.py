@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinity.llm import collocations as co
 from affinity.llm import decontaminate as dc
 from affinity.llm import licenses as lc
 from affinity.llm import lm_score as lm
@@ -114,3 +115,8 @@ def diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_sorted_list_edits")
 def sorted_list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.group_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op11_itemset_counting")
+def itemset_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.collocations(table(spark, sf_dir, "documents"))
