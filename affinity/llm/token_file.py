@@ -66,7 +66,9 @@ class TextEncoder:
     def _learn(self, words: list[str]) -> None:
         joined, alone = [], []
         for w in words:
-            (joined if self.zero is not None and w[-1] not in " \n" and "\0" not in w else alone).append(w)
+            # after a zero byte a leading apostrophe would be one piece with it, so no contraction
+            plain = w[-1] not in " \n" and (w[0] in " \n" or w[0].isalnum()) and "\0" not in w
+            (joined if self.zero is not None and plain else alone).append(w)
         for w in alone:
             self.known[w] = self._one(w).tobytes()
         for first in range(0, len(joined), 4096):

@@ -55,6 +55,19 @@ def test_cut_texts_have_the_ids_of_whole_texts():
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_contractions_at_the_start_of_texts():
+    """The ids of a word must not depend on the words it was first met with."""
+    starts = ["'s abc", "'re you", "'ll go", "'t", "'m", "'d x", "'ve", "'S", "''s", "!'s", "\u2019s a", "-x", "_y", "\u0301a", "(a", "1'2", "a's", "\n's", " 's"]
+    whole = plain()
+    want = [whole.encode(t, add_special_tokens=False).ids for t in starts]
+    for order in (starts, starts[::-1]):
+        encoder = token_file.TextEncoder(tokenizer_path())
+        for texts in (order, order, ["x " + t for t in order]):
+            assert [g.tolist() for g in encoder.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    alone = [token_file.TextEncoder(tokenizer_path()).ids([t])[0].tolist() for t in starts]
+    assert alone == want
+
+
 def test_documents_read_back(make):
     rows = documents()
     got = token_file.encode_documents(make(rows, "doc_id long, text string"), tokenizer_path(), partitions=3)
