@@ -81,7 +81,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Components become floor(scale * x) and scores are integer inner products
     (64 bits; components must stay below about 2**28); ties go to the smaller id.
     Rows with a null id, a null vector or a null or non-finite component take no
-    part. An id that occurs more than once counts once, with its least vector.
+    part. Each row of an id that occurs more than once is a candidate, and its rows
+    ask together: of the pairs of any of them with other ids' rows the k best count.
     Shorter vectors are padded with zeros. Fewer than k candidates give fewer rows.
     """
     x = F.col("_raw")
@@ -90,12 +91,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = (vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_raw"), is_query.alias("_q"))
             .filter(F.coalesce(sound, F.lit(False)))
             .select("_id", F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("_v"),
-                    F.coalesce("_q", F.lit(False)).alias("_q"))
-            .groupBy("_id").agg(F.min("_v").alias("_v"), F.bool_or("_q").alias("_q")))
-    rows = stage(rows, "vectors")
+                    F.coalesce("_q", F.lit(False)).alias("_q"), F.monotonically_increasing_id().alias("_row")))
+    rows = stage(rows, "vectors")  # the row numbers are fixed from here on
     n, n_queries, dims = rows.agg(F.count("*"), F.count_if("_q"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
-    block = lambda count: F.pmod(F.xxhash64("_id"), F.lit(count))
+    block = lambda count: F.pmod(F.xxhash64("_row"), F.lit(count))
     packed = _pack(rows.withColumn("_shard", block(shards)), "_shard", dims)
     queries = _pack(rows.filter("_q").withColumn("_block", block(blocks)), "_block", dims)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))

@@ -7,17 +7,16 @@ from affinity.llm import topk
 
 
 def brute(rows, k):
-    ok = {}
+    ok = []
     for i, v, in rows:
         if i is None or v is None or any(x is None or not np.isfinite(np.float32(x)) for x in v):
             continue
         ints = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-        ok[i] = min(ok.get(i, ints), ints)
+        ok.append((i, ints))
     out = []
-    for q, a in ok.items():
-        if q % 5 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for q in {i for i, _ in ok if i % 5 == 0}:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in ok if p == q for i, b in ok if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -46,5 +45,6 @@ def test_odd_rows(make):
     rows = [(0, v), (0, v), (1, v), (2, None), (3, [1.0, None, 1.0]), (4, [float("nan")] * 3), (5, [float("inf"), 0.0, 0.0]), (None, v),
             (10, [0.0, 0.0, 0.0]), (11, [1.0]), (12, []), (7, [.001, -.001, 0.0]), (15, [1.0, 2.0, 3.0, 4.0])]
     check(make, rows)
+    check(make, [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [.5, 0.0]), (50, [2.0, 0.0]), (1, [1.0, 0.0])] * 3, shard_rows=2, query_rows=2)
     check(make, [(0, v)])
     check(make, [])
