@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BYTE_CODE, concat_texts, mix, pack, pack_sorted, span_hashes, split_words, text_slices, unpack, unpack_sorted
+from affinity.llm.common import concat_texts, mix, pack, pack_sorted, split_words, text_slices, unpack, unpack_sorted, word_hashes
 from affinity.session import stage
 
 ORDER = 3
@@ -38,7 +38,7 @@ def ngrams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, list[np.nda
     """Document of each word, and per n the hash of the n words that end there (0 where the text has not as many)."""
     data, offsets = concat_texts(texts)
     starts, ends, doc = split_words(data, offsets, IS_WORD)
-    words = span_hashes(BYTE_CODE[data], starts, ends) | np.uint64(1)
+    words = word_hashes(data, starts, ends) | np.uint64(1)
     grams = [words]
     for n in range(2, order + 1):
         longer = np.zeros(len(words), np.uint64)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.common import (
-    BYTE_CODE, GOLDEN, MIX_A, MIX_B, concat_texts, mix, pack, pack_sorted, seeded, span_hashes, split_words, text_slices, unpack, unpack_sorted)
+    GOLDEN, MIX_A, MIX_B, concat_texts, mix, pack, pack_sorted, seeded, split_words, text_slices, unpack, unpack_sorted, word_hashes)
 from affinity.llm.components import components
 from affinity.session import stage
 
@@ -64,7 +64,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     data, offsets = concat_texts(texts)
     starts, ends, doc = split_words(data, offsets, IS_WORD)
-    words = span_hashes(BYTE_CODE[data], starts, ends)
+    words = word_hashes(data, starts, ends)
     n = len(words)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     size = np.diff(first)

@@ -18,7 +18,7 @@ that occur more than once are followed up:
 * where the surroundings differ, the windows of the earliest ones are compared
   one by one by hashes of all their words.
 
-All hashes that decide on a removal have 128 bits.
+A removal is decided on 128 bits, from two independent hashes of each word.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.common import BYTE_CODE, concat_texts, mix, seeded, span_hashes, split_words, text_slices
+from affinity.llm.common import concat_texts, mix, seeded, span_hashes, split_words, text_slices, word_hashes
 from affinity.session import stage
 
 WINDOW = 20
@@ -106,7 +106,8 @@ def occurrences(texts: pa.Array, window: int = WINDOW, context: bool = True):
     """Runs of windows that share a key: (document, key, context hash, first word in the document, number of windows)."""
     data, offsets = concat_texts(texts)
     starts, ends, doc = split_words(data, offsets, IS_WORD)
-    words = span_hashes(BYTE_CODE[data], starts, ends)
+    words = word_hashes(data, starts, ends)
+    others = word_hashes(data, starts, ends, 1) if context else words
     del data, starts, ends
     s, lo, hi = anchors(words, doc, window)
     if not len(s):
@@ -120,7 +121,7 @@ def occurrences(texts: pa.Array, window: int = WINDOW, context: bool = True):
     count = np.diff(np.append(at, len(s)))
     a, z = lo[at] - np.where(before[at], half[at], 0), hi[at] + np.where(before[at], 0, half[at])
     key = mix(span_hashes(words, a, z) + (lo[at] - a).astype(np.uint64) * np.uint64(257) + (hi - lo)[at].astype(np.uint64))
-    about = span_hashes(words, s[at], s[at] + count - 1 + window) if context else key
+    about = span_hashes(others, s[at], s[at] + count - 1 + window) if context else key
     owner = doc[s[at]]
     first_word = np.searchsorted(doc, owner)
     return owner, key.view(np.int64), about.view(np.int64), s[at] - first_word, count
@@ -150,7 +151,7 @@ def _window_hashes(found: DataFrame, window: int) -> DataFrame:
         for part in text_slices(batches, "_text", 1 << 18):
             data, offsets = concat_texts(part.column(1))
             starts, ends, doc = split_words(data, offsets, IS_WORD)
-            words = span_hashes(BYTE_CODE[data], starts, ends)
+            words = word_hashes(data, starts, ends, 1)
             runs = part.column(2)
             owner = np.repeat(np.arange(part.num_rows), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()

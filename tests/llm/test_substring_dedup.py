@@ -94,3 +94,14 @@ def test_null_and_repeated_ids_with_different_texts(make):
             seen |= holds
     got = sd.remove_repeats(make([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_words_that_a_linear_hash_confuses(make):
+    """The two Thue-Morse strings have one polynomial hash modulo 2 ** 64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate({97: 98, 98: 97})
+    around = [f"w{i}" for i in range(20)]
+    for word in (one[:1024], one):
+        rows = [(1, " ".join(around[:10] + [word] + around[10:])), (2, " ".join(around[:10] + [other[:len(word)]] + around[10:]))]
+        got = sd.remove_repeats(make(rows, "doc_id long, text string")).collect()
+        assert [r.n_removed for r in got] == [0, 0]
