@@ -95,6 +95,8 @@ class Params:
     broadcast_rows: int = 200_000
     # salt buckets for the item_type join
     salt_buckets: int = 16
+    # characters of a gram of the name index; searches without a term that long are joined on the item type
+    gram_size: int = 3
     # a join key with more result rows than this is laid out over several tasks
     hot_key_pairs: int = 4_000_000
     # factor scoring: "blocks" (matrix blocks, default) or "pairs" (one row per pair, for tests)

@@ -1,18 +1,22 @@
 """Candidate items per request: predicates F4-F15, black lists F16-F18, pair join J6.
 
-Requests and items meet in ``candidate_pairs``:
-
-* a request with a white list only ever sees its listed ids, so it is
-  exploded and equi-joined on ``item_id`` (bounded by the list size);
-* a request with a brand is equi-joined on (``item_type``, ``brand``);
-* every other request is joined on ``item_type`` -- a key with two or three
-  values, i.e. maximally skewed. The request side is broadcast when its
-  row count is below ``Params.broadcast_rows`` (items stream, no shuffle);
-  above it the item side is salted over ``salt_buckets`` and the requests
-  replicated per salt, so no single task holds a whole item kind.
-
-The residual predicate is evaluated inside the join. Callers then cut to a
-bounded top-k per request before any further shuffle.
+Requests and items meet in ``candidate_pairs`` by the most selective key that a
+request has, and the whole predicate is evaluated inside the join:
+
+* a white list: exploded and equi-joined on ``item_id``;
+* a brand: equi-joined on (``item_type``, ``brand``);
+* a related cosmetic: equi-joined with the contents' mentions;
+* a search with a term of ``Params.gram_size`` characters or more: one posting
+  list of the q-gram index over names (``operators/name_index.py``);
+* categories: equi-joined on (``item_type``, category), each pair at the least
+  category that both sides share;
+* all else (no filter, or terms shorter than a gram): joined on ``item_type`` -- a
+  key with two or three values, i.e. maximally skewed. The request side is
+  broadcast when its row count is below ``Params.broadcast_rows`` (items stream,
+  no shuffle); above it the item side is salted over ``salt_buckets`` and the
+  requests replicated per salt, so no single task holds a whole item kind.
+
+Callers then cut to a bounded top-k per request before any further shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from affinity.config import CONTENT, COSMETIC, UNAVAILABLE_ENTITY_ID, Params
 from affinity.functions.text import any_name_matches, name_matches, search_terms
+from affinity.operators.name_index import has_long_term, search_pairs
 
 # request columns carried through candidate generation
 REQUEST_COLS = ["request_id", "user_id", "num", "item_type", "search", "result_type", "cosmetic",
@@ -105,44 +110,79 @@ def overlap_predicate() -> Column:
 
 # ---- the pair join -------------------------------------------------------
 
+#: How a request meets its items, the most selective key first.
+PATHS = ("white", "brand", "mention", "name", "category", "type")
+
+
+def request_path(params: Params = Params()) -> Column:
+    """The key by which a request (or signature) meets items, one of ``PATHS``."""
+    t = F.col("item_type")
+    return (F.when(F.col("white_list").isNotNull(), "white")
+            .when(F.col("brand").isNotNull(), "brand")
+            .when((t == CONTENT) & F.col("cosmetic").isNotNull(), "mention")
+            .when(t.isin(CONTENT, COSMETIC) & has_long_term(F.col("terms"), params.gram_size), "name")
+            .when(F.col("categories").isNotNull(), "category")
+            .otherwise("type"))
+
+
 def _bounded_rows(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows (counted on the executors, stops at limit + 1)."""
     return df.limit(limit + 1).count() <= limit
 
 
 def candidate_pairs(left: DataFrame, items: DataFrame, predicate: Column, params: Params = Params(),
-                    left_rows: int | None = None, any_white: bool = True) -> DataFrame:
-    """(left row, item) pairs satisfying ``predicate``.
-
-    ``left`` carries the request filter columns (item_type, white_list, ...);
-    ``items`` comes from ``item_side``. ``left_rows`` is a known upper bound
-    of ``left``'s row count; without it the count is probed (one small job).
-    ``any_white=False`` (known: no white lists) drops the by-id path.
+                    left_rows: int | None = None, paths: frozenset[str] | None = None,
+                    index: DataFrame | None = None) -> DataFrame:
+    """(left row, item) pairs satisfying ``predicate``, each once.
+
+    ``left`` carries the request filter columns (item_type, terms, white_list,
+    ...) and a unique ``sig`` or ``request_id``; ``items`` comes from
+    ``item_side``. ``left_rows`` is a known upper bound of ``left``'s row count;
+    without it the count is probed (one small job). ``paths`` names the paths that
+    occur at all (default: any), ``index`` is a stored ``name_index`` of ``items``.
     """
-    listed = left.filter(F.col("white_list").isNotNull())
-    branded = left.filter(F.col("white_list").isNull() & F.col("brand").isNotNull())
-    open_ = left.filter(F.col("white_list").isNull() & F.col("brand").isNull())
-
-    by_id = (listed.withColumn("_wid", F.explode(F.array_distinct("white_list")))
-             .join(items, F.col("_wid") == F.col("i_item_id"), "inner")
-             .filter(predicate).drop("_wid"))
-
-    by_brand = items.join(branded, (F.col("i_item_type") == F.col("item_type")) & (F.col("i_brand") == F.col("brand")) & predicate, "inner")
-
-    small = left_rows <= params.broadcast_rows if left_rows is not None else \
-        _bounded_rows(open_, params.broadcast_rows)
-    if small:
-        by_type = items.join(F.broadcast(open_), (F.col("i_item_type") == F.col("item_type")) & predicate, "inner")
-    else:
+    key = "sig" if "sig" in left.columns else "request_id"
+    path = request_path(params)
+    of = lambda name: left.filter(path == name)
+    same_type = F.col("i_item_type") == F.col("item_type")
+
+    def by_type(open_: DataFrame) -> DataFrame:
+        small = left_rows <= params.broadcast_rows if left_rows is not None else _bounded_rows(open_, params.broadcast_rows)
+        if small:
+            return items.join(F.broadcast(open_), same_type & predicate, "inner")
         # at least a bucket per shuffle task, so the work spreads over any cluster
         n = max(params.salt_buckets, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         salted_items = items.withColumn("_isalt", F.pmod(F.xxhash64("i_item_id"), F.lit(n)))
         fanned = open_.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        by_type = (salted_items.join(fanned, (F.col("i_item_type") == F.col("item_type")) &
-                                     (F.col("_isalt") == F.col("_rsalt")) & predicate, "inner")
-                   .drop("_isalt", "_rsalt"))
-    out = by_type.select(*by_id.columns).unionByName(by_brand.select(*by_id.columns))
-    return by_id.unionByName(out) if any_white else out
+        return salted_items.join(fanned, same_type & (F.col("_isalt") == F.col("_rsalt")) & predicate, "inner")
+
+    def by_category(asking: DataFrame) -> DataFrame:
+        """An item that shares several categories counts at the least of them."""
+        asked = asking.withColumn("_asked", F.explode(F.array_distinct("categories")))
+        held = items.withColumn("_held", F.explode(F.array_distinct("i_categories")))
+        once = F.array_min(F.array_intersect("categories", "i_categories")) == F.col("_asked")
+        return held.join(asked, same_type & (F.col("_held") == F.col("_asked")) & once & predicate, "inner")
+
+    def by_mention(asking: DataFrame) -> DataFrame:
+        named = items.filter(F.col("i_item_type") == CONTENT).withColumn("_named", F.explode(F.array_distinct("i_cosmetics")))
+        return named.join(asking, same_type & (F.col("_named") == F.col("cosmetic")) & predicate, "inner")
+
+    ways = {
+        "white": lambda df: df.withColumn("_wid", F.explode(F.array_distinct("white_list")))
+        .join(items, F.col("_wid") == F.col("i_item_id"), "inner").filter(predicate),
+        "brand": lambda df: items.join(df, same_type & (F.col("i_brand") == F.col("brand")) & predicate, "inner"),
+        "mention": by_mention,
+        "name": lambda df: search_pairs(df, items, predicate, key, params.gram_size, index),
+        "category": by_category,
+        "type": by_type,
+    }
+    columns = [*left.columns, *items.columns]
+    out = None
+    for name in PATHS:
+        if paths is None or name in paths:
+            pairs = ways[name](of(name)).select(*columns)
+            out = pairs if out is None else out.unionByName(pairs)
+    return left.limit(0).join(items.limit(0), same_type).select(*columns) if out is None else out
 
 
 # ---- black lists ---------------------------------------------------------

@@ -189,7 +189,21 @@ users AS (
 ), req_spec(request_id, user_id, num, item_type, search, result_type, cosmetic_key, brand, categories,
             white_keys, white_extra, black_keys) AS (
   VALUES __REQUESTS__
+), customer_part AS (
+  SELECT c_custkey, c_custkey % 6 AS kind, p_name, p_brand, p_type, p_partkey,
+         concat(p_name, ' ', p_partkey) AS own, nx.item_id AS nxt
+  FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)
+  LEFT JOIN part_names nx ON nx.p_partkey = part.p_partkey + 1
 ), requests AS (
+  SELECT concat('c', c_custkey) AS request_id, concat('u', c_custkey) AS user_id, 5::INTEGER AS num,
+         CASE WHEN kind IN (1, 4) THEN 'content' ELSE 'cosmetic' END AS item_type,
+         CASE WHEN kind IN (0, 1) THEN concat(string_split(p_name, ' ')[-1], p_partkey) END AS search, NULL::VARCHAR AS result_type,
+         CASE WHEN kind = 4 THEN own END AS cosmetic, CASE WHEN kind = 2 THEN p_brand END AS brand,
+         CASE WHEN kind = 3 THEN [p_type] END AS categories,
+         CASE WHEN kind = 5 THEN list_filter([own, nxt], lambda x: x IS NOT NULL) END AS white_list, NULL::VARCHAR[] AS black_list,
+         CASE WHEN kind IN (0, 1) THEN [concat(string_split(p_name, ' ')[-1], p_partkey)] END AS terms
+  FROM customer_part
+  UNION ALL
   SELECT s.request_id, s.user_id, s.num, s.item_type, s.search, s.result_type,
          (SELECT n.item_id FROM part_names n WHERE n.p_partkey = s.cosmetic_key) AS cosmetic,
          s.brand, s.categories,
@@ -361,13 +375,13 @@ SELECT request_id, unnest(terms) AS term FROM requests WHERE terms IS NOT NULL
 UNION ALL SELECT concat('part ', p_partkey), unnest(list_distinct(string_split(regexp_replace(p_name, ' +$', ''), ' '))) FROM part""",
     "candidates_factor": "SELECT * FROM factor_cand",
     "candidates_overlap": "SELECT * FROM overlap_cand",
-    "whitelist_filter": "SELECT * FROM factor_cand WHERE request_id IN ('q08', 'q09', 'q08p')",
-    "brand_filter": "SELECT * FROM factor_cand WHERE request_id IN ('q07')",
-    "category_filter": "SELECT * FROM factor_cand WHERE request_id IN ('q05', 'q06', 'q21')",
-    "search_cosmetic": "SELECT * FROM factor_cand WHERE request_id IN ('q11', 'q12', 'q13a', 'q13b', 'q13c', 'q13d', 'q26')",
-    "search_content_factor": "SELECT * FROM factor_cand WHERE request_id IN ('q14', 'q15', 'q16', 'q27')",
-    "search_content_overlap": "SELECT * FROM overlap_cand WHERE request_id IN ('q14', 'q15', 'q16', 'q19', 'q20', 'q27')",
-    "related_cosmetic": "SELECT * FROM factor_cand WHERE request_id IN ('q17', 'q18', 'q17p')",
+    "whitelist_filter": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.white_list IS NOT NULL",
+    "brand_filter": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.brand IS NOT NULL",
+    "category_filter": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.categories IS NOT NULL",
+    "search_cosmetic": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.item_type = 'cosmetic' AND r.search IS NOT NULL",
+    "search_content_factor": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.item_type = 'content' AND r.cosmetic IS NULL AND r.categories IS NULL",
+    "search_content_overlap": "SELECT c.* FROM overlap_cand c JOIN requests r USING (request_id) WHERE r.item_type = 'content' AND r.cosmetic IS NULL AND r.categories IS NULL",
+    "related_cosmetic": "SELECT c.* FROM factor_cand c JOIN requests r USING (request_id) WHERE r.item_type = 'content' AND r.cosmetic IS NOT NULL",
     "owned_set": "SELECT * FROM owned",
     "overlap_score": "SELECT * FROM overlap",
     "item_model": """

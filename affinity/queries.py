@@ -186,29 +186,27 @@ def q_search_terms(spark, sf_dir):
     return reqs.select("request_id", F.explode("terms").alias("term"))
 
 
-def _cands(t: Tables, predicate, ids=None) -> DataFrame:
-    reqs = cd.prepare_requests(t.requests)
-    if ids is not None:
-        reqs = reqs.filter(F.col("request_id").isin(*ids))
-    return _pairs(cd.candidate_pairs(reqs, cd.item_side(t.items), predicate, P))
-
-
-def _cand_query(kind, ids=None):
+def _cand_query(kind, asking=None):
+    """Candidates of all requests, or of those that ask in one way; without seen and unavailable items."""
     def q(spark, sf_dir):
+        t = load(spark, sf_dir)
+        reqs = cd.prepare_requests(t.requests)
+        if asking is not None:
+            reqs = reqs.filter(asking)
         pred = cd.factor_predicate() if kind == "factor" else cd.overlap_predicate()
-        return _cands(load(spark, sf_dir), pred, ids)
+        return _pairs(cd.candidate_pairs(reqs, cd.item_side(t.items), pred, P))
     return q
 
 
 register("candidates_factor")(_cand_query("factor"))
 register("candidates_overlap")(_cand_query("overlap"))
-register("whitelist_filter")(_cand_query("factor", ["q08", "q09", "q08p"]))
-register("brand_filter")(_cand_query("factor", ["q07"]))
-register("category_filter")(_cand_query("factor", ["q05", "q06", "q21"]))
-register("search_cosmetic")(_cand_query("factor", ["q11", "q12", "q13a", "q13b", "q13c", "q13d", "q26"]))
-register("search_content_factor")(_cand_query("factor", ["q14", "q15", "q16", "q27"]))
-register("search_content_overlap")(_cand_query("overlap", ["q14", "q15", "q16", "q19", "q20", "q27"]))
-register("related_cosmetic")(_cand_query("factor", ["q17", "q18", "q17p"]))
+register("whitelist_filter")(_cand_query("factor", "white_list IS NOT NULL"))
+register("brand_filter")(_cand_query("factor", "brand IS NOT NULL"))
+register("category_filter")(_cand_query("factor", "categories IS NOT NULL"))
+register("search_cosmetic")(_cand_query("factor", "item_type = 'cosmetic' AND search IS NOT NULL"))
+register("search_content_factor")(_cand_query("factor", "item_type = 'content' AND cosmetic IS NULL AND categories IS NULL"))
+register("search_content_overlap")(_cand_query("overlap", "item_type = 'content' AND cosmetic IS NULL AND categories IS NULL"))
+register("related_cosmetic")(_cand_query("factor", "item_type = 'content' AND cosmetic IS NOT NULL"))
 
 
 # ---- overlap -------------------------------------------------------------

@@ -86,6 +86,10 @@ REQUEST_CASES = [
     ("q27", "u6", 10, "content", "red", None, None, None, None, None, None, None),
 ]
 
+# requests of the customers: what is asked (by key modulo their number), and how many answers
+CUSTOMER_KINDS = ("search cosmetics", "search contents", "brand", "category", "related", "white list")
+CUSTOMER_NUM = 5
+
 # constraint log: an older $set with the parts whose key is 1, 2 or 3 modulo 500, a newer one with 3, 4 or 5
 CONSTRAINT_CYCLE = 500
 CONSTRAINT_SETS = [
@@ -264,6 +268,34 @@ class Tables:
 
     @cached_property
     def requests(self) -> DataFrame:
+        """The fixed request cases and one request of every customer."""
+        return self.request_cases.unionByName(self.customer_requests)
+
+    @cached_property
+    def customer_requests(self) -> DataFrame:
+        """A request of every customer about the part of its key (modulo the parts), one of six kinds by its key.
+
+        0, 1: a search for the part's last word and key, among cosmetics, among contents; 2: its brand; 3: its
+        type as a category; 4: contents that mention it; 5: a white list of it and the next part.
+        """
+        kind, n = F.col("c_custkey") % len(CUSTOMER_KINDS), self.raw("part").count()
+        asked = self.raw("customer").select("c_custkey", kind.alias("kind"), (F.col("c_custkey") % n).alias("p_partkey"))
+        part = self.raw("part").select("p_partkey", part_item_id(F.col("p_name"), F.col("p_partkey")).alias("own"), "p_brand", "p_type",
+                                       F.concat(F.element_at(F.split("p_name", " "), -1), F.col("p_partkey").cast("string")).alias("words"))
+        following = self.part_names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("item_id").alias("next"))
+        row = asked.join(part, "p_partkey").join(following, "p_partkey", "left")
+        when = lambda kinds, c: F.when(F.col("kind").isin(*kinds), c)
+        no_list = F.lit(None).cast("array<string>")
+        return row.select(
+            F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("request_id"), user_id(F.col("c_custkey")).alias("user_id"),
+            F.lit(CUSTOMER_NUM).alias("num"), F.when(F.col("kind").isin(1, 4), "content").otherwise("cosmetic").alias("item_type"),
+            when([0, 1], F.col("words")).alias("search"), F.lit(None).cast("string").alias("result_type"),
+            when([4], F.col("own")).alias("cosmetic"), when([2], F.col("p_brand")).alias("brand"),
+            when([3], F.array("p_type")).alias("categories"), when([5], F.array_compact(F.array("own", "next"))).alias("white_list"),
+            no_list.alias("black_list"))
+
+    @cached_property
+    def request_cases(self) -> DataFrame:
         """The fixed request cases with P(k) resolved to item ids by joins."""
         spec = self.spark.createDataFrame(
             REQUEST_CASES,
