@@ -190,9 +190,9 @@ users AS (
             white_keys, white_extra, black_keys) AS (
   VALUES __REQUESTS__
 ), customer_part AS (
-  SELECT c_custkey, c_custkey % 6 AS kind, p_name, p_brand, p_type, p_partkey,
-         concat(p_name, ' ', p_partkey) AS own, nx.item_id AS nxt
-  FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)
+  SELECT c_custkey, c_custkey % 6 AS kind, p_name, p_brand, p_type, part.p_partkey,
+         concat(p_name, ' ', part.p_partkey) AS own, nx.item_id AS nxt
+  FROM customer JOIN part ON part.p_partkey = c_custkey % (SELECT count(*) FROM part)
   LEFT JOIN part_names nx ON nx.p_partkey = part.p_partkey + 1
 ), requests AS (
   SELECT concat('c', c_custkey) AS request_id, concat('u', c_custkey) AS user_id, 5::INTEGER AS num,
