@@ -104,21 +104,25 @@ def _next_row(row: np.ndarray, depth: int, letter: int, queries: np.ndarray) ->
     return new
 
 
-def near_in_list(words: list[str], queries: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """For sorted distinct ``words``: (place of a word, places of the queries at exactly one edit)."""
+def near_in_list(words: list[str], queries: list[str], shared: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """For sorted distinct ``words``: (place of a word, places of the queries at exactly one edit).
+
+    All words and queries must start with the same ``shared`` letters: their rows are known.
+    """
     letters, size = _letters(words)
     asked, asked_size = _letters(queries)
     differs = letters[1:, 1:] != letters[:-1, 1:]
     common = np.concatenate([[0], np.argmax(differs, axis=1)])  # with the word before; the words are distinct
     # rows[d]: alive queries and their cells after d letters of the current word; cells of before the word are out of reach
     first = np.minimum(np.abs(np.arange(-1, 2))[None, :] + np.array([[1, 0, 0]]), 2).astype(np.int8)
-    rows = [(np.arange(len(queries)), np.repeat(first, len(queries), axis=0))]
+    everyone, along = np.arange(len(queries)), np.array([[1, 0, 1]], np.int8)
+    rows = [(everyone, np.repeat(first, len(queries), axis=0))] + [(everyone, np.repeat(along, len(queries), axis=0))] * shared
     dead = 1 << 30  # letters after which no query was left in the last word
     for i, length in enumerate(size.tolist()):
         if common[i] >= dead:
             continue
         dead = 1 << 30
-        del rows[common[i] + 1:]
+        del rows[max(common[i], shared) + 1:]
         word = letters[i]
         for depth in range(len(rows), length + 1):
             alive, row = rows[-1]
@@ -149,7 +153,8 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         back, half = rows[0][2], rows[0][3]
         turn = (lambda s: s[::-1]) if back else (lambda s: s)
-        for i, found in near_in_list([r[5] for r in words], [r[5] for r in asks]):
+        shared = len(asks[0][5]) - half if back else half
+        for i, found in near_in_list([r[5] for r in words], [r[5] for r in asks], shared):
             w, wn = turn(words[i][5]), words[i][6]
             for j in found.tolist():
                 q, qn = turn(asks[j][5]), asks[j][6]

@@ -104,6 +104,8 @@ def test_skipping_scan_equals_distance():
     for queries in (words, words[::7], ["", "abab", "bbbbbbbbbbbb"]):
         got = {(words[i], queries[j]) for i, js in sp.near_in_list(words, queries) for j in js.tolist()}
         assert got == {(w, q) for w in words for q in queries if distance(w, q) == 1}
+        behind = [["xyz" + w for w in some] for some in (words, queries)]
+        assert got == {(words[i], queries[j]) for i, js in sp.near_in_list(*behind, 3) for j in js.tolist()}
 
 
 def test_empty_table(make):
