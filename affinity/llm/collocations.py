@@ -32,9 +32,9 @@ from affinity.llm.common import concat_texts, mix, pack, split_words, text_slice
 from affinity.session import checkpoint_dir, stage
 
 #: Longest phrase, least count, shards of a cycle, phrases reported for each language.
-LONGEST, LEAST, SHARDS, REPORTED = 4, 30, 3, 2000
+LONGEST, LEAST, SHARDS, REPORTED = 4, 30, 2, 2000
 #: Bytes of text to a stored block; the most slots of a table (one byte each).
-BLOCK_BYTES, MOST_SLOTS = 8 << 20, 1 << 24
+BLOCK_BYTES, MOST_SLOTS = 4 << 20, 1 << 24
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
 
 _BYTE = np.arange(256, dtype=np.uint8)
@@ -162,14 +162,15 @@ def _count(blocks: DataFrame, reached, step: int, shards: int, longest: int, slo
     return blocks.select("lang", "vocabulary", "codes").mapInArrow(scan, _COUNTS)
 
 
-def _slots_of(reached: DataFrame, size: int, slots: int) -> np.ndarray:
-    """Which slots the phrases of ``size`` words take, as Spark's bitmaps of fixed size."""
-    bits = np.zeros(slots, bool)
-    rows = (reached.filter(F.col("size") == size)
-            .groupBy(F.expr(f"slot div {_BITMAP}").alias("part")).agg(F.bitmap_construct_agg((F.col("slot") % _BITMAP).cast("long")).alias("bits")))
-    for row in rows.toLocalIterator():
+def _slots_of(reached: DataFrame, sizes: int, slots: int) -> list[np.ndarray]:
+    """For each size: which slots its phrases take, gathered as Spark's bitmaps (their number is bounded by that of the slots)."""
+    bits = [np.zeros(slots, bool) for _ in range(sizes)]
+    rows = (reached.groupBy("size", F.expr(f"slot div {_BITMAP}").alias("part"))
+            .agg(F.bitmap_construct_agg((F.col("slot") % _BITMAP).cast("long")).alias("bits")))
+    for row in rows.collect():
         own = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        bits[row["part"] * _BITMAP:][:_BITMAP] |= own[:max(0, slots - row["part"] * _BITMAP)]
+        first = row["part"] * _BITMAP
+        bits[row["size"] - 1][first:first + _BITMAP] |= own[:slots - first]
     return bits
 
 
@@ -212,8 +213,7 @@ def frequent_phrases(blocks: DataFrame, least: int = LEAST, longest: int = LONGE
             _remove(spark, f"{root}/step={step - 1}/done=false")
         now = spark.read.schema(schema).parquet(f"{root}/step={step}")
         new = now.filter((F.col("reached") == step) & (F.col("size") < longest))
-        for size in range(1, longest):
-            table, took = reached[size - 1], _slots_of(new, size, slots)
+        for table, took in zip(reached, _slots_of(new, longest - 1, slots)):
             if took.any():
                 last_start = step + 1
                 table[took & (table == 0)] = step + 1
