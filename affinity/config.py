@@ -103,7 +103,7 @@ class Params:
     scoring: str = "blocks"
     # per cell of the blocked scorer: shuffle copies are R x (C / block_items) + C x (R / block_requests)
     block_requests: int = 65_536
-    block_items: int = 1_000_000
+    block_items: int = 50_000
 
 
 DEFAULT = Params()

@@ -87,12 +87,12 @@ def test_salted_pair_join_splits_the_type_key(spark):
     assert "xxhash64" in p and "CartesianProduct" not in p, p
 
 
-def test_factor_scoring_runs_as_pandas_cogroup(spark):
+def test_factor_scoring_runs_as_arrow_cogroup(spark):
     t = load(spark, SF_SMALL)
     m = md.train(md.TrainingData(t.users, t.items, t.log), user_factors=t.user_vectors, item_factors=t.item_vectors)
     batch = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, checkpoint=False)
     p = plan(sc.score_vectors(batch, m.item_model, "uvec", False))
-    assert "FlatMapCoGroupsInPandas" in p, p
+    assert "FlatMapCoGroupsInArrow" in p, p
 
 
 def test_literal_target_types_give_empty_seen_and_recent(spark):
