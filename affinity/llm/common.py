@@ -7,6 +7,7 @@ memory of a task depends on its longest text and not on the rows of a batch.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -23,6 +26,21 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 GOLDEN = 0x9E3779B97F4A7C15
 
 
+def carried(df, columns: list[str] | None = None) -> Column:
+    """The columns of ``df`` (default all) as one struct, so that none clashes with a name used on the way; ``_row.*``
+    gives them back."""
+    return F.struct(*[df[f"`{c}`"] for c in columns or df.columns]).alias("_row")
+
+
+def release_memory() -> None:
+    """Hand back what Arrow and the allocator keep: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into zero-copy slices of about ``limit`` bytes of ``column``."""
     for batch in batches:

@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.llm.common import carried
 from affinity.session import stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,12 +131,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     return judged.select(F.col("_id").alias(id_col), "n_words", "hit", "n_hit", "items")
 
 
-def _judged(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_col: str = "doc_id",
-            text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The columns of ``decontaminate`` with the id as _id, and the text's _k1, _k2."""
-    w = window - k + 1
-    key = ["_id", "_k1", "_k2"]  # equal id and text: equal result, however often the row occurs
+_KEY = ["_id", "_k1", "_k2"]  # equal id and text: equal result, however often the row occurs
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_col: str = "doc_id",
+           text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+           block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The documents as (_id, _k1, _k2, _w), the items as (_item, _text, _ih), and the hits (_id, _k1, _k2, _text,
+    _from, _to), stored; None where no item has a word."""
+    w, key = window - k + 1, _KEY
     spread = lambda a: F.transform(a, lambda x: F.xxhash64(x))
     named = stage(items.select(F.col(item_col).cast("string").alias("_item"), words_of(F.col(item_text_col)).alias("_w"))
                   .filter(F.size("_w") > 0)
@@ -169,12 +173,18 @@ def _judged(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_
                 doc = with_grams(hashed, "_h", "_g", n).select(*key, F.posexplode_outer("_g").alias("_from", "_f"))
                 found.append(doc.join(F.broadcast(in_block(one_gram(n), b, blocks)), "_f")
                              .select(*key, "_text", "_from", (F.col("_from") + n).alias("_to")))
+    return read, named, stage(reduce(DataFrame.unionByName, found).distinct(), "hit_spans") if found else None
+
+
+def _judged(docs: DataFrame, items: DataFrame, *settings, **more) -> DataFrame:
+    """The columns of ``decontaminate`` with the id as _id, and the text's _k1, _k2."""
+    key = _KEY
+    read, named, spans = _found(docs, items, *settings, **more)
     out = read.select(*key, F.size("_w").cast("long").alias("n_words"))
     none = F.array().cast(_SPANS)
-    if not found:
+    if spans is None:
         return out.select(*key, "n_words", none.alias("hit"), F.lit(0).cast("long").alias("n_hit"),
                           F.array().cast("array<string>").alias("items"))
-    spans = stage(reduce(DataFrame.unionByName, found).distinct(), "hit_spans")
     covered = (spans.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(F.col("_from").alias("from"), F.col("_to").alias("to")))).alias("hit"))
                .withColumn("hit", merged_spans(F.col("hit"))))
     listed = (spans.select(*key, "_text").distinct().join(named.select("_text", "_item"), "_text")
@@ -189,12 +199,20 @@ def _judged(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, id_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False, **settings) -> DataFrame:
-    """The documents without a hit, columns as given; where rows share an id, a hit in one drops them all, unless
-    ``by_text``: then rows are judged by id and text."""
-    hit = (_judged(docs, items, id_col=id_col, text_col=text_col, **settings).filter("n_hit > 0")
-           .select(F.col("_id").alias("_hit_id"), F.col("_k1").alias("_hit_k1"), F.col("_k2").alias("_hit_k2")).distinct())
-    k1, k2 = _text_keys(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id"))
+    """The documents without a hit, columns as given (whatever their names); where rows share an id, a hit in one drops
+    them all, unless ``by_text``: then rows are judged by id and text.
+
+    The distinct hit documents are counted; up to BLOCK_ROWS of them (an id and two longs each) are sent to the
+    documents, more are met by a shuffle."""
+    _, _, spans = _found(docs, items, id_col=id_col, text_col=text_col, **settings)
+    if spans is None:
+        return docs
+    hit = stage(spans.select(*[F.col(c).alias(f"_hit{c}") for c in (_KEY if by_text else _KEY[:1])]).distinct(), "hit_documents")
+    if hit.count() <= BLOCK_ROWS:
+        hit = F.broadcast(hit)
+    k1, k2 = _text_keys(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    own = docs.select(carried(docs), docs[f"`{id_col}`"].alias("_id"), k1.alias("_k1"), k2.alias("_k2"))
+    same = F.col("_id").eqNullSafe(F.col("_hit_id"))
     if by_text:
-        same &= (F.col("_own_k1") == F.col("_hit_k1")) & (F.col("_own_k2") == F.col("_hit_k2"))
-    return docs.withColumns({"_own_k1": k1, "_own_k2": k2}).join(hit, same, "left_anti").drop("_own_k1", "_own_k2")
+        same &= (F.col("_k1") == F.col("_hit_k1")) & (F.col("_k2") == F.col("_hit_k2"))
+    return own.join(hit, same, "left_anti").select("_row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.common import (
-    GOLDEN, MIX_A, MIX_B, concat_texts, mix, pack, pack_sorted, seeded, split_words, text_slices, unpack, unpack_sorted, word_hashes)
+    GOLDEN, MIX_A, MIX_B, carried, concat_texts, mix, pack, pack_sorted, release_memory, seeded, split_words, text_slices, unpack, unpack_sorted, word_hashes)
 from affinity.llm.components import components
 from affinity.session import stage
 
@@ -248,6 +248,7 @@ def _verified(pairs: DataFrame, threshold: float, n_docs: int) -> DataFrame:
                         sets.append((doc, hashes, (1.0 + np.log(times)) * idf(_own_frequencies(few.column(c + 2)), n_docs)))
                     close = weighted_jaccard(*sets, few.num_rows) >= threshold
                     yield few.select(["a", "b"]).filter(pa.array(close))
+        release_memory()
 
     return pairs.select("a", "b", "_ta", "_tb", "_fa", "_fb").mapInArrow(verify, "a binary, b binary")
 
@@ -257,7 +258,8 @@ def sketches(blocks: DataFrame, id_type: str, n_docs: int, bands: int, rows: int
     without words) and the packed document frequencies of its shingles in order of their hash."""
     def sketch(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a row at a time: a batch can hold many blocks
+                row = {"body": batch.column(0)[i].as_py(), "answers": batch.column(1)[i].as_py()}
                 every, _ = _distinct(row["body"])
                 totals = np.concatenate([np.zeros(0, np.int64)] + [unpack(a["totals"], np.int64) for a in row["answers"] or []])
                 for part, doc, hashes, times in _slices(row["body"]):
@@ -272,6 +274,7 @@ def sketches(blocks: DataFrame, id_type: str, n_docs: int, bands: int, rows: int
                     packed = pa.array([pack(freq[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), lists, packed],
                                                      names=["_id", "_name", "_weight", "_keys", "_freq"])
+        release_memory()
 
     return blocks.select("body", "answers").mapInArrow(sketch, f"_id {id_type}, _name binary, _weight double, _keys array<long>, _freq binary")
 
@@ -441,6 +444,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str =
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_name")
     leads = (_classified(docs, threshold, BANDS, ROWS, id_col, text_col).groupBy("_class").agg(F.min(place).alias("_lead"))
              .select(F.col("_lead._id").alias("_lead_id"), F.col("_lead._name").alias("_lead_name")))
-    named = docs.withColumn("_own_name", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    kept = named.join(leads, F.col(id_col).eqNullSafe(F.col("_lead_id")) & (F.col("_own_name") == F.col("_lead_name")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own_name"]).drop("_own_name")
+    name = F.unhex(F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit(""))))
+    own = docs.select(carried(docs), docs[f"`{id_col}`"].alias("_own_id"), name.alias("_own_name"))
+    kept = own.join(leads, F.col("_own_id").eqNullSafe(F.col("_lead_id")) & (F.col("_own_name") == F.col("_lead_name")), "left_semi")
+    return kept.dropDuplicates(["_own_id", "_own_name"]).select("_row.*")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from affinity.llm.common import BYTE_CODE, concat_texts, mix, span_hashes, split_words, text_slices
+from affinity.llm.common import BYTE_CODE, concat_texts, mix, release_memory, span_hashes, split_words, text_slices
 
 #: Hashed n-gram indicators: 2**BITS weights (1 MB of floats, whatever the corpus).
 BITS = 18
@@ -169,5 +169,6 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
         for part in text_slices(batches, text_col, 1 << 19):
             got = own.scores(part.column(part.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, score_col])
+        release_memory()
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.llm.common import carried
 from affinity.session import stage
 
 #: A Poisson of a larger mean is the sum of independent ones of at most this mean, each with a seed of its own.
@@ -60,7 +61,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
     the same count; a null id draws like the text "null", or with ``text_col``
     by the digest of its text. ``place`` is a seeded
     hash in [0, 1): rows are range-partitioned and sorted by it, so any file is
-    a fair sample. An empty table gives an empty result.
+    a fair sample. An empty table gives an empty result. An input column named
+    like ``copy_col`` or ``place_col`` is replaced; any other keeps its name.
     """
     rates = source_rates(docs.select(source_col), weights or {}, default_weight, total, source_col)
     parts = F.greatest(F.ceil(F.col("rate") / MEAN_STEP), F.lit(1)).cast("int")
@@ -68,18 +70,20 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default_
               .select("_source", "_parts", poisson_table(F.col("rate") / F.col("_parts")).alias("_table")), "rates")
     if tables.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    columns = docs.columns
-    own = F.col(id_col)
+    columns = [c for c in docs.columns if c not in (copy_col, place_col)]
+    own, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"] if text_col else None
     if text_col:
-        own = F.coalesce(own.cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    drawn = docs.join(tables, docs[source_col].eqNullSafe(tables["_source"]))
+        own = F.coalesce(own.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    rows = docs.select(carried(docs, columns), own.alias("_own"), docs[f"`{id_col}`"].alias("_id"),
+                       docs[f"`{source_col}`"].alias("_from"))
+    drawn = rows.join(tables, F.col("_from").eqNullSafe(F.col("_source")))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"),
-        lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, own, i))))
-    copies = drawn.select(*columns, F.posexplode(F.array_repeat(F.lit(True), count.cast("int"))).alias(copy_col, "_copy"))
-    copies = copies.withColumn(copy_col, F.col(copy_col).cast("long"))
+        lambda n, i: n + F.size(F.filter("_table", lambda c: c <= unit_hash(seed, F.col("_own"), i))))
+    copies = drawn.select("_row", "_own", "_id", F.posexplode(F.array_repeat(F.lit(True), count.cast("int"))).alias("_number", "_copy"))
     # places are uniform, so equal slices of [0, 1) are even partitions and no sampling pass has to find their bounds
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = copies.withColumn(place_col, unit_hash(seed + "/place", own, F.col(copy_col)))
-    return (placed.select(*columns, copy_col, place_col)
-            .repartitionById(n, F.floor(F.col(place_col) * n).cast("int")).sortWithinPartitions(place_col, id_col, copy_col))
+    copies = copies.withColumn("_number", F.col("_number").cast("long"))
+    placed = copies.withColumn("_place", unit_hash(seed + "/place", F.col("_own"), F.col("_number"))).drop("_own", "_copy")
+    return (placed.repartitionById(n, F.floor(F.col("_place") * n).cast("int")).sortWithinPartitions("_place", "_id", "_number")
+            .select("_row.*", F.col("_number").alias(copy_col), F.col("_place").alias(place_col)))

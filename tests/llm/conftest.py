@@ -20,7 +20,8 @@ def make(spark):
         """A DataFrame of the rows with extra columns whose names may clash with internal ones."""
         df = spark.createDataFrame(rows, schema)
         if extra:
-            for name in ("key", "n", "name", "part", "block", "_x"):
+            for name in ("key", "n", "name", "part", "block", "_x", "copy_no", "_parts", "_source", "_lead_id", "_lead_name", "_own_name", "_hit_id",
+                         "_own_k1", "_score", "_row", "_id", "_text", "_w", "place2"):
                 if name not in df.columns:
                     df = df.selectExpr("*", f"'x' AS `{name}`")
         return df.repartition(parts)

@@ -106,3 +106,32 @@ def test_null_and_repeated_ids_are_told_apart_by_text(spark, sf_dir):
     assert sorted(rows_of(got), key=str) == sorted(clean, key=str)
     copies = Counter(r[1] for r in rows_of(steps["mixing"](spark, spark.createDataFrame(clean, SCHEMA), sf_dir)))
     assert len({copies[t] for _, t, *_ in clean[:30]}) > 1
+
+
+INTERNAL = ["score", "copy_no", "place", "_row", "_id", "_own_id", "_own_name", "_lead_id", "_hit_id", "_hit_k1", "_own_k1", "_score", "_parts", "_source", "_own", "_from", "key", "name"]
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, sf_dir):
+    """Columns named like internal ones come through all stages that return documents, values and all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *[f"concat('{c} of ', doc_id) AS `{c}`" for c in INTERNAL])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in INTERNAL), name
+
+
+def test_empty_tables_and_a_very_long_text(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for empty in ("documents", "benchmark", "labels"):
+        root = str(tmp_path / empty)
+        long = spark.createDataFrame([(9000, " ".join(words(150_000, 8, 40_000)), "en", "s1", None)], SCHEMA)
+        tables = {"documents": docs.unionByName(long), "labels": labels, "benchmark": spark.createDataFrame(ITEMS, "item_id long, text string")}
+        tables[empty] = tables[empty].limit(0)
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{name}.parquet")
+        got = corpus_pipeline.run(spark, root).collect()
+        assert (len(got) == 0) == (empty == "documents")
+        if got and empty == "benchmark":
+            assert all(r.n_tokens > 100_000 for r in got if r.doc_id == 9000)

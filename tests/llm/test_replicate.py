@@ -42,7 +42,7 @@ def rows():
 def run(make, data, **settings):
     table = make(data, "doc_id long, text string, source string")
     got = rp.replicate(table, **settings)
-    assert got.columns == table.columns + ["copy_no", "place"]
+    assert got.columns == [c for c in table.columns if c != "copy_no"] + ["copy_no", "place"]
     return got
 
 
