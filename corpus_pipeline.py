@@ -20,10 +20,18 @@ from affinity.llm.token_file import encode_documents
 from affinity.session import stage
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good (score 0.5 or more)."""
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return score_quality(docs, model, score_col="_score").filter("_score >= 0.5").drop("_score")
+    score = _free(docs, "score")
+    return score_quality(docs, model, score_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source at equal weight, the mix as large as the input; a row per copy."""
-    return replicate(docs, text_col="text").select(*docs.columns)
+    copy, place = _free(docs, "copy_no"), _free(docs, "place")
+    return replicate(docs, text_col="text", copy_col=copy, place_col=place).drop(copy, place)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
