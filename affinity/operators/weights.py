@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 from affinity.config import Params
 
 
+def event_micros(ts="ts") -> Column:
+    """A timestamp as microseconds since 1970, of either timestamp type."""
+    t = F.col(ts)
+    seconds = F.unix_date(F.to_date(t)).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def event_order(ts="ts", event_id="event_id") -> Column:
     """(ts, event_id) as one DECIMAL(38,0): microseconds x 2^64 + the id shifted to be positive.
 
     A fixed-width key can be updated in place, so aggregations that keep the
     latest value hash instead of sorting the log.
     """
-    t = F.col(ts)
-    seconds = F.unix_date(F.to_date(t)).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
-    micros = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
     wide = lambda c, kind: c.cast(kind)
-    return (wide(micros, "decimal(18,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    return (wide(event_micros(ts), "decimal(18,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
             + wide(F.col(event_id), "decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 

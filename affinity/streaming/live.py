@@ -3,30 +3,38 @@
 The engine reads three things at answer time -- a user's seen items, a
 user's recent items and the unavailable-items constraint -- and popularity
 can be kept current the same way. Each is a streaming job over the event
-source whose final state (``availableNow``) equals the batch operator on
-the same rows; the registered ``live_*`` queries check exactly that.
-
-* L1 seen: ``dropDuplicates(user, item)`` in append mode to a Parquet sink.
-* L2 recent: ``foreachBatch`` keeps the newest k events per user; a batch
-  only re-ranks the users it touches (old top-k ∪ new events), so state
-  stays k rows per user.
+source whose final state equals the batch operator on the same rows, whatever
+the order of arrival; the registered ``live_*`` queries check exactly that over
+several micro-batches.
+
+* L1 seen: ``dropDuplicates(user, item)``; a batch's new pairs are its run, laid
+  out by a hash bucket of the user.
+* L2 recent: keyed state per user, the newest k events by (time, id), so late
+  events find their place. A batch's run holds the lists that changed.
 * L3 constraint: a streaming ``max_by`` aggregate per constraint entity
   (complete mode; one row per entity).
-* L4 popularity: ``foreachBatch`` merges per-pair stats (a monoid: sums add,
-  latest-wins by (ts, event_id)) for the pairs a batch touches, then
-  recomputes popularity for the touched items only.
-
-All state lives in versioned Parquet tables under the shared checkpoint
-folder (``spark.checkpoint.dir``); a batch re-run after a failure rewrites
-its own version from the previous one, so replays are idempotent.
+* L4 popularity: views, plays and scraps only add, so they are sums of the batch.
+  Own x rating does not (the latest rating replaces the one before), so each
+  (user, item) pair with an own or rate event has keyed state and emits what it
+  adds and what it takes back. A batch's run holds the change per touched item.
+
+Keyed state is in RocksDB, off the heap, with changelog checkpoints in the shared
+folder: a batch writes the keys it touches, not the state. What readers see are
+runs (``streaming.runs``): per batch the changes, merged by levels. A batch that is
+replayed after a failure starts from the state before it and writes its own run
+again.
 """
 
 from __future__ import annotations
 
+import heapq
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from affinity.config import CONSTRAINT_ENTITY_TYPE, UNAVAILABLE_ENTITY_ID, Params
 from affinity.operators import events as ev
@@ -34,8 +42,32 @@ from affinity.operators import weights as wt
 from affinity.queries import register
 from affinity.session import checkpoint_dir
 from affinity.sources.fixtures import TABLE_SCHEMAS, events_to_log, load
+from affinity.streaming.runs import Runs, list_dir, remove
 
 EVENT_SCHEMA = TABLE_SCHEMAS["events"]
+#: Folders of a run of seen pairs; a reader of few users reads only theirs.
+SEEN_BUCKETS = 16
+#: Popularity changes are added and taken back as decimals, so what is taken back leaves no rest.
+CHANGE = "decimal(38,10)"
+
+_KEYED = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _KEYED}
+    for k, v in _KEYED.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
@@ -51,72 +83,101 @@ def _workdir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/live/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _list_dir(spark: SparkSession, root: str) -> list[str]:
-    """Child names of a folder on whatever file system the path names (Hadoop FS API)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(path)]
-
-
 def _join(*parts: str) -> str:
     return "/".join(p.rstrip("/") for p in parts)
 
 
-def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The state that the batch before wrote; none before the first batch. A lost version is an error, not empty state."""
-    return spark.read.parquet(path) if batch_id > 0 else None
-
-
-def _versions(root: str):
-    return lambda batch_id: f"{root}/v{batch_id:08d}"
-
-
 def _run(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
 
+def _to_runs(changes: DataFrame, mode: str, runs: Runs, ckpt: str, last=lambda df: df):
+    """Start the query that writes each micro-batch (after ``last``) as a run."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        runs.add(last(batch.withColumn("_batch", F.lit(batch_id).cast("long"))), batch_id)
+
+    with _keyed_state(changes.sparkSession):
+        return (changes.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", ckpt)
+                .trigger(availableNow=True).start())
+
+
 # ---- L1 -------------------------------------------------------------------
 
-def live_seen(log_stream: DataFrame, out: str, ckpt: str, params: Params = Params()):
+_SEEN_SCHEMA = "user_id string, item_id string, bucket int"
+
+
+def _seen_runs(root: str) -> Runs:
+    return Runs(root, fold=lambda df: df, by=("bucket",))
+
+
+def _user_bucket(user):
+    return F.pmod(F.xxhash64(user), F.lit(SEEN_BUCKETS)).cast("int")
+
+
+def live_seen(log_stream: DataFrame, root: str, ckpt: str, params: Params = Params()):
     seen = (log_stream.filter(F.col("event").isin(*params.seen_events) &
                               F.col("target_type").isin(*params.target_types))
-            .select("user_id", "item_id").dropDuplicates(["user_id", "item_id"]))
-    return (seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-            .outputMode("append").trigger(availableNow=True).start())
+            .select("user_id", "item_id").dropDuplicates(["user_id", "item_id"])
+            .withColumn("bucket", _user_bucket("user_id")))
+    return _to_runs(seen, "append", _seen_runs(root), ckpt, lambda df: df.drop("_batch"))
+
+
+def seen_table(spark: SparkSession, root: str, users: list[str] | None = None) -> DataFrame:
+    """The distinct (user, item) pairs seen so far; of a short list of ``users`` from their buckets alone."""
+    table = _seen_runs(root).read(spark, _SEEN_SCHEMA)
+    if users is not None:
+        wanted = [F.lit(u) for u in users]
+        table = table.filter(F.col("bucket").isin(*(_user_bucket(u) for u in wanted)) & F.col("user_id").isin(*users))
+    return table.select("user_id", "item_id")
 
 
 # ---- L2 -------------------------------------------------------------------
 
+_RECENT_SCHEMA = "user_id string, items array<string>, _batch long"
+
+
+def _latest_lists(df: DataFrame) -> DataFrame:
+    return df.groupBy("user_id").agg(F.max_by("items", "_batch").alias("items"), F.max("_batch").alias("_batch"))
+
+
+def _newest(k: int):
+    """Keyed state of a user: time, id and item of the newest k events, newest first."""
+    def update(key, frames, state):
+        before = list(zip(*state.get)) if state.exists else []
+        held = before
+        for frame in frames:
+            rows = zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["item_id"].tolist())
+            held = heapq.nlargest(k, [*held, *rows], key=lambda r: r[:2])
+        if held != before:
+            state.update(tuple(list(c) for c in zip(*held)))
+            yield pd.DataFrame({"user_id": [key[0]], "items": [[r[2] for r in held]]})
+    return update
+
+
 def live_recent(log_stream: DataFrame, root: str, ckpt: str, params: Params = Params()):
-    spark = log_stream.sparkSession
-    version = _versions(root)
-    k = int(params.recent_limit)
-    cols = ["user_id", "item_id", "ts", "event_id"]
+    new = (log_stream.filter(F.col("event").isin(*params.similar_events) & F.col("target_type").isin(*params.target_types))
+           .select("user_id", "item_id", wt.event_micros().alias("at"),
+                   F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id")))
+    lists = new.groupBy("user_id").applyInPandasWithState(
+        _newest(int(params.recent_limit)), "user_id string, items array<string>",
+        "at array<long>, event_id array<long>, item_id array<string>", "update", GroupStateTimeout.NoTimeout)
+    return _to_runs(lists, "update", Runs(root, _latest_lists), ckpt)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        new = (batch.filter(F.col("event").isin(*params.similar_events) &
-                            F.col("target_type").isin(*params.target_types)).select(*cols))
-        old = _previous(spark, version(batch_id - 1), batch_id)
-        if old is None:
-            old = spark.createDataFrame([], new.schema)
-        touched = new.select("user_id").distinct()
-        w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-        rerank = (old.join(touched, "user_id", "left_semi").unionByName(new)
-                  .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn"))
-        kept = old.join(touched, "user_id", "left_anti")
-        kept.unionByName(rerank).write.mode("overwrite").parquet(version(batch_id))
-
-    return (log_stream.writeStream.foreachBatch(step).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start())
+
+def recent_table(spark: SparkSession, root: str) -> DataFrame:
+    """Each user's distinct items among the newest events, as W2 gives them."""
+    table = Runs(root, _latest_lists).read(spark, _RECENT_SCHEMA)
+    return table.select("user_id", F.explode(F.array_distinct("items")).alias("item_id"))
 
 
 # ---- L3 -------------------------------------------------------------------
 
+def _versions(root: str):
+    return lambda batch_id: f"{root}/v{batch_id:08d}"
+
+
 def live_constraint(prop_stream: DataFrame, root: str, ckpt: str):
     version = _versions(root)
     latest = (prop_stream.filter((F.col("event") == "$set") & (F.col("entity_type") == CONSTRAINT_ENTITY_TYPE)
@@ -126,71 +187,106 @@ def live_constraint(prop_stream: DataFrame, root: str, ckpt: str):
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(version(batch_id))
+        if batch_id > 1:  # the last two versions stay
+            remove(batch.sparkSession, version(batch_id - 2))
 
     return (latest.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
 
 
+def _latest_version(spark: SparkSession, root: str) -> DataFrame:
+    names = sorted(n for n in list_dir(spark, root) if n.startswith("v"))
+    if not names:
+        raise RuntimeError(f"no state written under {root}")
+    return spark.read.parquet(_join(root, names[-1]))
+
+
 # ---- L4 -------------------------------------------------------------------
 
-def live_popularity(log_stream: DataFrame, users: DataFrame, items: DataFrame, root: str, ckpt: str,
-                    params: Params = Params()):
-    spark = log_stream.sparkSession
-    pairs_v = _versions(_join(root, "pairs"))
-    pop_v = _versions(_join(root, "popularity"))
+_POPULARITY_SCHEMA = f"item_id string, change {CHANGE}"
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        valid = ev.valid_events(ev.training_log(batch, params), users, items)
-        fresh = wt.pair_stats(valid, params)
-        old_pairs = _previous(spark, pairs_v(batch_id - 1), batch_id)
-        old_pop = _previous(spark, pop_v(batch_id - 1), batch_id)
-        if old_pairs is None:
-            merged, pairs = fresh, fresh
-        else:
-            keys = fresh.select("user_id", "item_id")
-            touched_old = old_pairs.join(keys, ["user_id", "item_id"], "left_semi")
-            merged = wt.merge_pair_stats(touched_old, fresh)
-            pairs = old_pairs.join(keys, ["user_id", "item_id"], "left_anti").unionByName(merged)
-        pairs.write.mode("overwrite").parquet(pairs_v(batch_id))
-        pairs = spark.read.parquet(pairs_v(batch_id))
-        touched_items = fresh.select("item_id").distinct()
-        recomputed = wt.popularity_from_stats(pairs.join(touched_items, "item_id", "left_semi"), params)
-        pop = recomputed if old_pop is None else \
-            old_pop.join(touched_items, "item_id", "left_anti").unionByName(recomputed)
-        pop.write.mode("overwrite").parquet(pop_v(batch_id))
-
-    return (log_stream.writeStream.foreachBatch(step).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start())
 
+def _sum_changes(df: DataFrame) -> DataFrame:
+    return df.groupBy("item_id").agg(F.sum("change").cast(CHANGE).alias("change"))
 
-def _latest_version(spark: SparkSession, root: str) -> DataFrame:
-    names = sorted(n for n in _list_dir(spark, root) if n.startswith("v"))
-    if not names:
-        raise RuntimeError(f"no state written under {root}")
-    return spark.read.parquet(_join(root, names[-1]))
+
+def _own_times_rating(center: float, own_weight: float):
+    """Keyed state of a pair: how much it owns, its latest rating and when; emits what to add and what to take back."""
+    def worth(own, rating):
+        rate = None if rating is None else rating - center
+        if own is None:
+            return rate or 0.0
+        return own if rate is None else own * rate
+
+    def update(key, frames, state):
+        held = state.exists
+        own, rating, at, event_id = state.get if held else (None, None, None, None)
+        before = worth(own, rating)
+        for frame in frames:
+            owned = int((frame["event"] == "own").sum())
+            if owned:
+                own = (own or 0.0) + owned * own_weight
+            rates = frame[frame["event"] == "rate"]
+            for a, i, r in zip(rates["at"].tolist(), rates["event_id"].tolist(), rates["rating"].tolist()):
+                if at is None or (a, i) > (at, event_id):
+                    rating, at, event_id = (None if r != r else r), a, i
+        state.update((own, rating, at, event_id))
+        after = worth(own, rating)
+        if not held or after != before:
+            yield pd.DataFrame({"item_id": [key[1]], "plus": [after], "minus": [before]})
+    return update
+
+
+def live_popularity(log_stream: DataFrame, users: DataFrame, items: DataFrame, root: str, ckpt: str,
+                    params: Params = Params()):
+    valid = ev.valid_events(ev.training_log(log_stream, params), users, items)
+    adds = {"view": params.pop_view_weight, "play": params.pop_play_weight, "scrap": params.pop_scrap_weight,
+            "cancel_scrap": params.pop_cancel_weight}
+    weight = F.coalesce(*(F.when(F.col("event") == e, F.lit(float(w))) for e, w in adds.items()))
+    linear = (valid.filter(F.col("event").isin(*adds))
+              .select("item_id", weight.alias("plus"), F.lit(0.0).alias("minus")))
+    pairs = (valid.filter(F.col("event").isin("own", "rate"))
+             .select("user_id", "item_id", "event", F.col("rating").cast("double").alias("rating"),
+                     wt.event_micros().alias("at"), F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id")))
+    replaced = pairs.groupBy("user_id", "item_id").applyInPandasWithState(
+        _own_times_rating(float(params.rating_center), float(params.own_weight)), "item_id string, plus double, minus double",
+        "own double, rating double, at long, event_id long", "update", GroupStateTimeout.NoTimeout)
+    exact = F.col("plus").cast("decimal(28,10)") - F.col("minus").cast("decimal(28,10)")
+    return _to_runs(linear.unionByName(replaced), "update", Runs(root, _sum_changes), ckpt,
+                    lambda df: _sum_changes(df.select("item_id", exact.alias("change"))))
+
+
+def popularity_table(spark: SparkSession, root: str) -> DataFrame:
+    """(item_id, popularity) of every item with a training event so far."""
+    table = Runs(root, _sum_changes).read(spark, _POPULARITY_SCHEMA)
+    return table.select("item_id", F.col("change").cast("double").alias("popularity"))
 
 
 # ---- registered queries: final streaming state vs. the batch oracle --------
 
-def _log_stream(spark, sf_dir, max_files=None):
+def _arriving(spark, sf_dir, work):
+    """The event table as a stream of about four micro-batches, in no order of time."""
     t = load(spark, sf_dir)
-    return t, events_to_log(event_stream(spark, sf_dir, max_files=max_files), t.part_names)
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    folder = _join(work, "incoming")
+    t.raw("events").repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    return t, events_to_log(event_stream(spark, folder, "*.parquet", -(-files // 4)), t.part_names)
 
 
 @register("live_seen")
 def q_live_seen(spark, sf_dir):
-    t, stream = _log_stream(spark, sf_dir)
     work = _workdir(spark, "seen")
-    _run(live_seen(stream, _join(work, "out"), _join(work, "ckpt")))
-    return spark.read.parquet(_join(work, "out"))
+    _, stream = _arriving(spark, sf_dir, work)
+    _run(live_seen(stream, _join(work, "state"), _join(work, "ckpt")))
+    return seen_table(spark, _join(work, "state"))
 
 
 @register("live_recent")
 def q_live_recent(spark, sf_dir):
-    t, stream = _log_stream(spark, sf_dir)
     work = _workdir(spark, "recent")
+    _, stream = _arriving(spark, sf_dir, work)
     _run(live_recent(stream, _join(work, "state"), _join(work, "ckpt")))
-    return _latest_version(spark, _join(work, "state")).select("user_id", "item_id").distinct()
+    return recent_table(spark, _join(work, "state"))
 
 
 @register("live_constraint")
@@ -208,7 +304,7 @@ def q_live_constraint(spark, sf_dir):
 
 @register("live_popularity")
 def q_live_popularity(spark, sf_dir):
-    t, stream = _log_stream(spark, sf_dir)
     work = _workdir(spark, "popularity")
-    _run(live_popularity(stream, t.users, t.items, work, _join(work, "ckpt")))
-    return _latest_version(spark, _join(work, "popularity"))
+    t, stream = _arriving(spark, sf_dir, work)
+    _run(live_popularity(stream, t.users, t.items, _join(work, "state"), _join(work, "ckpt")))
+    return popularity_table(spark, _join(work, "state"))
