@@ -6,15 +6,19 @@ exists when it has a ``$set`` after its last ``$delete``.
 
 The fold is two partial aggregations and one join of their (already
 reduced) outputs -- no per-entity window, so a hot entity is combined
-map-side instead of landing whole in one task.
+map-side instead of landing whole in one task. Both aggregations are mergeable
+(``FoldState``), so a stored snapshot plus the events since equals a full fold.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.config import CONTENT, COSMETIC
+from affinity.session import stage
 
 SET, UNSET, DELETE = "$set", "$unset", "$delete"
 
@@ -23,36 +27,71 @@ def _order(df_ts="ts", df_id="event_id"):
     return F.struct(F.col(df_ts).alias("ts"), F.col(df_id).alias("event_id"))
 
 
-def property_fold(prop_log: DataFrame, entity_type: str | None = None) -> DataFrame:
-    """Current properties per surviving entity: (entity_type, entity_id, properties map)."""
+_KEYS = ["entity_type", "entity_id"]
+
+
+@dataclass(frozen=True)
+class FoldState:
+    """What a fold needs of the events so far; states of disjoint event sets merge to the state of all.
+
+    ``entities``: (entity_type, entity_id, last_delete, last_set), one row per entity.
+    ``values``: (entity_type, entity_id, key, last, at), the latest $set or $unset of each key.
+    """
+
+    entities: DataFrame
+    values: DataFrame
+
+    def staged(self) -> FoldState:
+        """The state as written tables: the snapshot that the next events are merged into."""
+        return FoldState(stage(self.entities, "fold_entities"), stage(self.values, "fold_values"))
+
+
+def fold_state(prop_log: DataFrame, entity_type: str | None = None) -> FoldState:
     log = prop_log
     if entity_type is not None:
         log = log.filter(F.col("entity_type") == entity_type)
     log = log.filter(F.col("event").isin(SET, UNSET, DELETE))
-    keys = ["entity_type", "entity_id"]
 
     # per entity: last $delete and last $set (partial + final aggregation)
-    per_entity = log.groupBy(*keys).agg(
+    entities = log.groupBy(*_KEYS).agg(
         F.max(F.when(F.col("event") == DELETE, _order())).alias("last_delete"),
         F.max(F.when(F.col("event") == SET, _order())).alias("last_set"))
-    alive = per_entity.filter(F.col("last_set").isNotNull() & (
-        F.col("last_delete").isNull() | (F.col("last_set") > F.col("last_delete"))))
 
     # per (entity, key): the latest $set/$unset of that key
     touched = (log.filter(F.col("event").isin(SET, UNSET))
-               .select(*keys, "ts", "event_id", "event", F.explode("properties").alias("key", "value")))
-    latest = touched.groupBy(*keys, "key").agg(
+               .select(*_KEYS, "ts", "event_id", "event", F.explode("properties").alias("key", "value")))
+    values = touched.groupBy(*_KEYS, "key").agg(
         F.max_by(F.struct((F.col("event") == SET).alias("is_set"), F.col("value").alias("value")),
                  _order()).alias("last"),
         F.max(_order()).alias("at"))
+    return FoldState(entities, values)
+
+
+def merge_fold_states(a: FoldState, b: FoldState) -> FoldState:
+    """The state of both event sets, in whatever order they came: a snapshot and what arrived since."""
+    entities = a.entities.unionByName(b.entities).groupBy(*_KEYS).agg(
+        F.max("last_delete").alias("last_delete"), F.max("last_set").alias("last_set"))
+    values = a.values.unionByName(b.values).groupBy(*_KEYS, "key").agg(
+        F.max_by("last", "at").alias("last"), F.max("at").alias("at"))
+    return FoldState(entities, values)
 
-    kept = (latest.join(alive.select(*keys, "last_delete"), keys, "inner")
+
+def fold_properties(state: FoldState) -> DataFrame:
+    """Current properties per surviving entity: (entity_type, entity_id, properties map)."""
+    alive = state.entities.filter(F.col("last_set").isNotNull() & (
+        F.col("last_delete").isNull() | (F.col("last_set") > F.col("last_delete"))))
+    kept = (state.values.join(alive.select(*_KEYS, "last_delete"), _KEYS, "inner")
             .filter(F.col("last.is_set") & (F.col("last_delete").isNull() | (F.col("at") > F.col("last_delete"))))
-            .groupBy(*keys)
+            .groupBy(*_KEYS)
             .agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("last.value")))).alias("properties")))
     empty = F.create_map().cast("map<string,string>")
-    return (alive.select(*keys).join(kept, keys, "left")
-            .select(*keys, F.coalesce("properties", empty).alias("properties")))
+    return (alive.select(*_KEYS).join(kept, _KEYS, "left")
+            .select(*_KEYS, F.coalesce("properties", empty).alias("properties")))
+
+
+def property_fold(prop_log: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """Current properties per surviving entity: (entity_type, entity_id, properties map)."""
+    return fold_properties(fold_state(prop_log, entity_type))
 
 
 def users_view(folded_users: DataFrame) -> DataFrame:

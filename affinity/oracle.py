@@ -454,6 +454,7 @@ BODIES["similar_events_by_type"] = _top("""
 # sources: what is read back equals what was written
 BODIES["events_json_source"] = """
 SELECT event_id, event, user_id, target_type, item_id, rating, epoch_us(ts) AS ts_us FROM log"""
+BODIES["property_fold_incremental"] = BODIES["property_fold"]
 BODIES["property_events_json_source"] = BODIES["property_fold"]
 BODIES["events_json_mixed"] = """
 SELECT event, user_id, item_id, count(*) + count(*) FILTER (WHERE event_id % 2 = 0) AS n,

@@ -107,6 +107,18 @@ def q_property_fold(spark, sf_dir):
     return f.select("entity_id", F.col("properties")["a"].alias("prop_a"), F.col("properties")["b"].alias("prop_b"))
 
 
+@register("property_fold_incremental")
+def q_property_fold_incremental(spark, sf_dir):
+    """A1 from a snapshot of the earlier half of the time span and the events since."""
+    log = load(spark, sf_dir).property_log
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = log.agg(((F.min(at) + F.max(at)) / 2).cast("long")).first()[0] or 0
+    earlier = F.coalesce(at <= cut, F.lit(False))
+    snapshot = en.fold_state(log.filter(earlier), "user").staged()
+    f = en.fold_properties(en.merge_fold_states(snapshot, en.fold_state(log.filter(~earlier), "user")))
+    return f.select("entity_id", F.col("properties")["a"].alias("prop_a"), F.col("properties")["b"].alias("prop_b"))
+
+
 @register("valid_events")
 def q_valid_events(spark, sf_dir):
     t = load(spark, sf_dir)

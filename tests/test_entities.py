@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from affinity import schema
 from affinity.operators import entities as en
 from affinity.operators import events as ev
@@ -63,3 +65,26 @@ def test_duplicate_item_ids_are_rejected(spark):
     its = items(spark, [("x", "content", None, None, None), ("x", "cosmetic", None, None, None)])
     with pytest.raises(ValueError):
         en.require_unique_items(its)
+
+
+def test_merged_fold_states_equal_a_full_fold(spark):
+    """Random $set / $unset / $delete logs, dealt to three states in no order of time."""
+    import datetime as dt
+    import random
+    rng = random.Random(5)
+    schema = ("event string, entity_type string, entity_id string, ts timestamp, event_id long, "
+              "properties map<string,string>, part int")
+    rows = []
+    for n in range(400):
+        event = rng.choice(["$set", "$set", "$set", "$unset", "$delete", "view"])
+        props = {k: f"{k}{n}" for k in rng.sample("abc", rng.randint(0, 2))} if event != "$delete" else None
+        rows.append((event, rng.choice(["user", "item"]), f"e{rng.randint(0, 30)}",
+                     dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randint(0, 60)), n, props, rng.randint(0, 2)))
+    log = spark.createDataFrame(rows, schema)
+    full = en.property_fold(log, "user")
+    first, second, third = (en.fold_state(log.filter(F.col("part") == k), "user") for k in range(3))
+    empty = en.fold_state(log.limit(0), "user")
+    for merged in (en.merge_fold_states(en.merge_fold_states(first.staged(), third), second),
+                   en.merge_fold_states(empty, en.merge_fold_states(second, en.merge_fold_states(third, first)))):
+        got = {r.entity_id: r.properties for r in en.fold_properties(merged).collect()}
+        assert got == {r.entity_id: r.properties for r in full.collect()} and len(got) > 5

@@ -150,16 +150,16 @@ def test_scoring_from_live_state_equals_log_pass(spark):
     """Serving can read seen / recent items from the live state tables."""
     from affinity.plans import scoring as sc
     t = load(spark, SF_SMALL)
-    m = md.train(md.TrainingData(t.users, t.items, t.log), user_factors=t.user_vectors,
-                 item_factors=t.item_vectors)
+    m = md.materialize(md.train(md.TrainingData(t.users, t.items, t.log), user_factors=t.user_vectors,
+                                item_factors=t.item_vectors))
     stream = events_to_log(live.event_stream(spark, SF_SMALL), t.part_names)
     work = tempfile.mkdtemp(prefix="affinity-live-", dir="/tmp")
     live._run(live.live_seen(stream, f"{work}/seen", f"{work}/ck1"))
     live._run(live.live_recent(stream, f"{work}/recent", f"{work}/ck2"))
     seen = live.seen_table(spark, f"{work}/seen")
     recent = live.recent_table(spark, f"{work}/recent")
-    a = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, checkpoint=False)
-    b = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, checkpoint=False, seen=seen, recent=recent)
+    a = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log)
+    b = sc.factor_batch(t.requests, m.user_factors, m.item_model, t.log, seen=seen, recent=recent)
     cols = ["request_id", "item_id", "score", "rank"]
     ra = _rows(sc.recommend_batch(a, m.item_model).withColumn("score", F.round("score", 6)), cols)
     rb = _rows(sc.recommend_batch(b, m.item_model).withColumn("score", F.round("score", 6)), cols)
