@@ -423,6 +423,7 @@ SELECT request_id, string_agg(concat(item_id, '=', CAST(round(score * 1000, 0) A
 FROM ({BODIES["recommend_blended"]}) GROUP BY request_id"""
 BODIES["als_user_factors"] = "SELECT DISTINCT user_id, 10 AS rank FROM a_total"
 BODIES["als_item_factors"] = "SELECT DISTINCT item_id, 10 AS rank FROM a_total"
+BODIES["als_residuals"] = "SELECT count(DISTINCT user_id) AS users, 0::BIGINT AS broken FROM a_total"
 BODIES["als_recommend"] = """
 SELECT 0::BIGINT AS wrong_type, 0::BIGINT AS beyond_num, 0::BIGINT AS black_listed, 0::BIGINT AS gaps"""
 BODIES["score_hook_popular"] = _top("SELECT request_id, item_id, 1.0::DOUBLE - score AS score FROM pop_scored")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.config import Params
+from affinity.functions.vectors import norm
 from affinity.operators import entities as en
 from affinity.operators import events as ev
 from affinity.operators import overlap as ov
@@ -115,6 +116,41 @@ def als_factors(affinity: DataFrame, params: Params = Params()) -> tuple[DataFra
     return uf, itf
 
 
+def als_residuals(affinity: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
+                  params: Params = Params()) -> DataFrame:
+    """How well each user vector solves its normal equations, given the item vectors: (user_id, residual, scale).
+
+    The last half step of the fit solves, per user, ``(G + sum c y y' + reg n I) x = sum (1 + c) y``: G is the sum of
+    ``y y'`` over all items, ``c = alpha |rating|`` over the user's items, and n and the right side count ratings above 0
+    only. ``residual`` is the length of the difference of both sides, ``scale`` bounds the size of their terms; their
+    ratio is at the rounding of the factors (single precision) where the fit is right. Only G, ``rank x rank`` numbers,
+    passes the driver.
+    """
+    at = range(params.rank)
+    y, x = F.col("y"), F.col("x")
+    total = lambda parts: sum(parts[1:], parts[0])
+    gram = item_factors.agg(F.array(*[F.array(*[F.sum(F.col("features")[i] * F.col("features")[j]) for j in at])
+                                      for i in at]).alias("gram")).first()["gram"]
+    g = [[F.lit(float(v or 0.0)) for v in row] for row in gram]  # sums over no item are null
+    rated = (affinity.select("user_id", "item_id", F.col("rating").cast("float").cast("double").alias("rating"))
+             .join(user_factors.select("user_id", F.col("features").alias("x")), "user_id")
+             .join(item_factors.select("item_id", F.col("features").alias("y")), "item_id")
+             .withColumn("c", F.abs("rating") * F.lit(float(params.alpha)))
+             .withColumn("wanted", F.when(F.col("rating") > 0, 1 + F.col("c")).otherwise(F.lit(0.0)))
+             .withColumn("dot", total([x[i] * y[i] for i in at]))
+             .withColumn("size", total([y[i] * y[i] for i in at])))
+    per_user = rated.groupBy("user_id").agg(
+        F.first("x").alias("x"), F.count_if(F.col("rating") > 0).alias("n"),
+        F.sum(F.col("c") * F.col("size")).alias("weight"), F.sum(F.col("wanted") * F.sqrt("size")).alias("right"),
+        F.array(*[F.sum((F.col("c") * F.col("dot") - F.col("wanted")) * y[i]) for i in at]).alias("own"))
+    ridge = F.col("n") * F.lit(float(params.reg))
+    diff = F.array(*[F.col("own")[i] + ridge * x[i] + total([g[i][j] * x[j] for j in at]) for i in at])
+    trace = total([g[i][i] for i in at])
+    return per_user.withColumn("diff", diff).select(
+        "user_id", norm(F.col("diff")).alias("residual"),
+        (F.col("right") + (trace + F.col("weight") + ridge) * norm(x)).alias("scale"))
+
+
 def build_item_model(items: DataFrame, item_factors: DataFrame, popularity: DataFrame) -> DataFrame:
     """J2 + J3 + P13: items ⟕ factors ⟕ popularity (missing popularity = 0.0)."""
     return (items.join(item_factors, "item_id", "left").join(popularity, "item_id", "left")

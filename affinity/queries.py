@@ -366,6 +366,15 @@ def q_als_items(spark, sf_dir):
     return itf.select("item_id", F.size("features").alias("rank"))
 
 
+@register("als_residuals")
+def q_als_residuals(spark, sf_dir):
+    """Users of the fit, and those whose vector does not solve its normal equations (always 0)."""
+    aff = stage(wt.affinity_from_stats(_stats(load(spark, sf_dir)), P), "affinity")
+    uf, itf = md.als_factors(aff, P)
+    left = md.als_residuals(aff, uf, itf, P)
+    return left.agg(F.count("*").alias("users"), F.count_if(F.col("residual") > F.col("scale") * 1e-5).alias("broken"))
+
+
 @register("als_recommend")
 def q_als_recommend(spark, sf_dir):
     """The blend over trained factors: requests answered, and how often an answer breaks a rule (always 0)."""

@@ -33,9 +33,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf.setdefault("spark.driver.memory", os.environ.get("AFFINITY_DRIVER_MEMORY", "12g"))
     if extra:
         conf.update(extra)
-    if (master or "local").startswith("local") and "spark.checkpoint.dir" not in conf \
-            and not _active_conf("spark.checkpoint.dir"):
-        # local runs only: a fresh scratch folder per session
+    if (master or "").startswith("local") and not master.startswith("local-cluster") \
+            and "spark.checkpoint.dir" not in conf and not _active_conf("spark.checkpoint.dir"):
+        # a local master by name only: a fresh scratch folder per session
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="affinity-ckpt-", dir="/tmp")
     for k, v in conf.items():
         builder = builder.config(k, v)

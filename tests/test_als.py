@@ -32,3 +32,15 @@ def test_id_dictionary_is_dense_and_ordered(spark):
     ids = spark.createDataFrame([(f"u{i:03d}",) for i in range(57)] * 2, "user_id string")
     d = md.id_dictionary(ids, "user_id", "uidx", partitions=5).orderBy("user_id").collect()
     assert [r.uidx for r in d] == list(range(57))
+
+
+def test_als_residuals_tell_a_fit_from_other_factors(spark):
+    rows = [(f"u{u}", f"i{i}", float((u * 7 + i * 3) % 9 - 2)) for u in range(20) for i in range(12) if (u + i) % 3]
+    aff = spark.createDataFrame(rows, "user_id string, item_id string, rating double")  # negative, zero and positive
+    p = Params()
+    uf, itf = md.als_factors(aff, p)
+    ratio = F.max(F.col("residual") / F.col("scale"))
+    worst, n = md.als_residuals(aff, uf, itf, p).agg(ratio, F.count("*")).first()
+    assert worst < 1e-5 and n == 20
+    moved = uf.withColumn("features", F.transform("features", lambda v: v + 0.05))
+    assert md.als_residuals(aff, moved, itf, p).agg(F.min(F.col("residual") / F.col("scale"))).first()[0] > 1e-4
