@@ -17,6 +17,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,9 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+#: The marks around a key and what may stand between them.
+MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Where a candidate may begin: after a line end that is written as an escape, else not inside a word.
 _BEGIN = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_\\-])|(?<=\\)(?![nrt]))"
@@ -170,28 +173,62 @@ def _wrapped_lines(text: str):
             i = j
 
 
+def _key_blocks(text: str):
+    """(from, to, body) of each end mark and the begin mark right before it, if both name the same kind of key."""
+    begin = None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        else:
+            if begin and begin[2] == m[2] and BODY.fullmatch(text, begin.end(), m.start()):
+                yield begin.start(), m.end(), text[begin.end():m.start()]
+            begin = None
+
+
+class _Taken:
+    """Disjoint spans in order; whether a span is free of them is a search by bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Take a span that is free."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure proves them: keys, signed tokens, wrappers around secrets."""
     out = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = _plain_lines(m[2])
+        for a, b, inside in _key_blocks(text):
+            body = _plain_lines(inside)
             if "\n\n" in body and ":" in body:  # header lines of an encrypted block
                 body = body.split("\n\n", 1)[1]
             data = _from_base64(body)
-            if data and (is_private_key(data) or _is_tagged_container(data) or "DEK-Info" in m[2]):
-                out.append(("pem", *m.span()))
+            if data and (is_private_key(data) or _is_tagged_container(data) or "DEK-Info" in inside):
+                out.append(("pem", a, b))
     if "eyJ" in text:
         out += [("token", *m.span()) for m in TOKEN.finditer(text) if _is_signed_token(m[0])]
-    taken = [(a, b) for _, a, b in out]
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
+    taken = _Taken((a, b) for _, a, b in out)
     for a, b, joined in _wrapped_lines(text):
-        if free(a, b) and (kind := _kind_of(joined)):
+        if taken.free(a, b) and (kind := _kind_of(joined)):
             out.append((kind, a, b))
-            taken.append((a, b))
+            taken.add(a, b)
     for m in ENCODED.finditer(text):
         a, b = m.span()
-        if not free(a, b):
+        if not taken.free(a, b):
             continue
         # what follows an escape may also be meant with the escape's letter
         for start in (a, a - 1) if a > 1 and text[a - 2] == "\\" and text[a - 1] in "nrt" else (a,):

@@ -115,3 +115,26 @@ def test_written_forms_of_real_keys():
         deep = base64.b64encode(f"v {deep} w".encode()).decode()
         assert spans(deep) == [("wrapped", 0, len(deep))], n
     assert spans("a" * 64 + "\n" + "b" * 64 + "\n" + "c" * 10) == []
+
+
+def test_key_marks_are_paired_once():
+    """Open marks without an end neither hide the key after them nor cost a scan of the rest of the text each."""
+    import time
+
+    body = base64.encodebytes(RSA).decode()
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    text = begin * 20000 + body + end
+    start = time.process_time()
+    assert sec.confirmed_spans(text) == [("pem", len(begin) * 19999, len(text))]
+    assert time.process_time() - start < 5
+    assert sec.confirmed_spans(begin + body + "-----END EC PRIVATE KEY-----") == [("der", len(begin), len(begin) + len(body) - 1)]
+    assert sec.confirmed_spans(begin + body + "é" + end) and "pem" not in kinds(begin + "é" + body + end)
+    two = f"{begin}{body}{end}"
+    assert sec.confirmed_spans(two + "\n" + two) == [("pem", 0, len(two)), ("pem", len(two) + 1, 2 * len(two) + 1)]
+
+
+def test_taken_spans():
+    taken = sec._Taken([(10, 20), (15, 30), (40, 50)])
+    assert [taken.free(a, b) for a, b in ((0, 10), (0, 11), (30, 40), (25, 26), (50, 60), (5, 60))] == [True, False, True, False, True, False]
+    taken.add(30, 35)
+    assert not taken.free(34, 36) and taken.free(35, 40)
