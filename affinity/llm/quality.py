@@ -124,14 +124,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
     """Fit on at most ``max_rows`` labelled documents, chosen by a hash of their ids among the labels that are ``usable``.
 
     A row hands over at most 2**BITS feature numbers, so ``max_rows`` bounds what
-    reaches the driver. Null labels are ignored, of several labels of one id the
-    greatest counts. Without rows of both classes the model scores 0.5.
+    reaches the driver. Of an id on several rows one text is used, the one of least
+    digest. Null labels are ignored, of several labels of one id the greatest
+    counts. Without rows of both classes the model scores 0.5.
     """
     chosen = (labels.filter(usable & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
     sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-              .join(F.broadcast(chosen), "_id").select("_id", "_label", "_text"))
+              .join(F.broadcast(chosen), "_id")
+              # an id may stand on any number of rows
+              .groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.col("_text"))).alias("_text")))
 
     def extract(batches):
         for part in text_slices(batches, "_text"):

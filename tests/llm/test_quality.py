@@ -52,3 +52,41 @@ def test_odd_inputs(make, spark):
     none = qu.train_quality(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in qu.score_quality(docs, none).collect()} == {0.5}
     assert qu.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_ratios_and_dual_solution_match_plain_forms():
+    """Ratios recounted one indicator at a time; the dual solution against plain projected descent on the whole dual."""
+    rng = np.random.default_rng(3)
+    label = np.array([1] * 12 + [0] * 8)
+    rows = [np.unique(np.r_[rng.integers(0, 12, 4), 20 + (y if rng.random() < 0.8 else 1 - y)]) for y in label]
+    doc, feature = np.repeat(np.arange(20), [len(r) for r in rows]), np.concatenate(rows)
+    ratio = qu.log_count_ratio(doc, feature, label)
+    for f in range(25):
+        have = [sum(f in r for r, y in zip(rows, label) if y == c) for c in (0, 1)]
+        want = np.log((have[1] + 1) / (12 + 2)) - np.log((have[0] + 1) / (8 + 2))
+        assert abs(ratio[f] - want) < 1e-12
+    x = np.zeros((20, 26))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 25] = 1.0  # the bias
+    sign, box = np.where(label == 1, 1.0, -1.0), np.where(label == 1, 1 / 1.2, 1 / 0.8)
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    dual, step = np.zeros(20), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(50_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, box)
+    weights, bias = qu.fit(doc, feature, label, ratio, rounds=20_000)
+    primal = lambda w, b: (w @ w + b * b) / 2 + (box * np.maximum(0, 1 - sign * (x[:, :25] @ w + b))).sum()
+    best = (x * sign[:, None]).T @ dual
+    assert primal(weights[:25], bias) <= primal(best[:25], best[25]) * 1.01
+
+
+def test_one_text_per_labelled_id(make, monkeypatch):
+    """An id on many rows hands one of them to the driver."""
+    docs = make([(i, f"good text {i}") for i in range(10)] + [(10 + i, "BAD " * 3) for i in range(10)]
+                + [(0, f"good text {i}") for i in range(300)] + [(None, None)], "doc_id long, text string")
+    labels = make([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
+    sizes = []
+    fit = qu.fit
+    monkeypatch.setattr(qu, "fit", lambda doc, feature, label, *rest: (sizes.append(len(label)), fit(doc, feature, label, *rest))[1])
+    qu.train_quality(docs, labels, F.lit(True))
+    assert sizes == [20]
