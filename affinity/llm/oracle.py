@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from affinity.llm.licenses import GRAM, NOTICES, PHRASES, SHARE
+
 ORACLE: dict[str, str] = {}
 
 _MD5_UNIT = "(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0)"
@@ -73,3 +75,50 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op11_itemset_counting"] = rf"""
+WITH p AS (SELECT coalesce(lang::VARCHAR, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) z(s) WHERE len(w) >= s),
+f AS (SELECT lang, phrase, s, count(*) AS a FROM g GROUP BY lang, phrase, s HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE s > 1),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(v[1:k], ' ') AS lp, array_to_string(v[k + 1:s], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * cuts.a) // (x.a + y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, a, unnest(list_transform(range(1, s - m + 2), lambda i: array_to_string(v[i:i + m - 1], ' '))) AS phrase
+  FROM (SELECT *, unnest(range(2, s)) AS m FROM c)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}')" for i, t in enumerate(PHRASES + NOTICES))
+_LICENSE_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op12_diagonal_voting"] = rf"""
+WITH t AS (SELECT i, label, base, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(i, label, base, text)),
+tt AS (SELECT *, least(len(w), {GRAM}) AS k, greatest(len(w) - {GRAM}, 0) + 1 AS n_grams, CASE WHEN base THEN 0 ELSE len(w) // 8 END AS slack FROM t),
+tg AS (SELECT i, k, "at", array_to_string(w["at" + 1:"at" + k], ' ') AS g FROM (SELECT *, unnest(range(0, n_grams)) AS "at" FROM tt)),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_LICENSE_WORDS} AS w FROM documents),
+dg AS (SELECT row, k, unnest(range(0, len(w) - k + 1)) AS p,
+    unnest(list_transform(range(0, len(w) - k + 1), lambda p: array_to_string(w[p + 1:p + k], ' '))) AS g
+  FROM d, (SELECT DISTINCT k FROM tt) sizes WHERE len(w) >= k),
+hits AS (SELECT row, i, p, "at", p - "at" AS diagonal FROM dg JOIN tg USING (k, g)),
+steps AS (SELECT row, i, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, i ORDER BY diagonal) > slack, true) AS fresh
+  FROM (SELECT DISTINCT row, i, diagonal FROM hits) JOIN tt USING (i)),
+regions AS (SELECT row, i, diagonal, sum(fresh::INT) OVER (PARTITION BY row, i ORDER BY diagonal) AS region FROM steps),
+spans AS (SELECT row, i, count(DISTINCT "at") AS cover, min(p) AS first FROM hits JOIN regions USING (row, i, diagonal) GROUP BY row, i, region),
+kept AS (SELECT row, label, base, first, cover::DOUBLE / n_grams AS share FROM spans JOIN tt USING (i) WHERE cover::DOUBLE / n_grams >= {SHARE}),
+found AS (SELECT row, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    0.5::DOUBLE + 0.5::DOUBLE * coalesce(max(share) FILTER (NOT base), 0) AS score FROM kept GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN found USING (row)
+"""
