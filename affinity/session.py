@@ -22,6 +22,9 @@ LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Spark's setting that removes the shuffle files of a query when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "affinity", extra: dict | None = None) -> SparkSession:
@@ -77,13 +80,22 @@ def stage(df, name: str = "table"):
 
     Cuts lineage like ``checkpoint()`` but computes the frame once (a reliable
     RDD checkpoint recomputes it for the write) and the files survive
-    executor loss. Use for small-to-medium tables read many times.
+    executor loss. Use for small-to-medium tables read many times. The shuffle
+    files of the write go when it ends: nothing reads them any more.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)
 
 
