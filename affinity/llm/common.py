@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,18 @@ def release_memory() -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark, rows: int):
+    """Jobs started inside hand at most ``rows`` rows to a Python task at once; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into zero-copy slices of about ``limit`` bytes of ``column``."""
     for batch in batches:

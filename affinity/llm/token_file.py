@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.llm import id_coder
-from affinity.llm.common import text_slices
+from affinity.llm.common import release_memory, small_batches, text_slices
 from affinity.session import checkpoint_dir
 
 #: Ids per shard; a shard is longer only by its last document.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 END_ID = 2
 #: Words whose ids are remembered by a task.
 CACHE_WORDS = 150_000
+#: Rows that a task of the writer gets at once: a batch of whole texts is held by Spark and by Python.
+BATCH_ROWS = 256
 
 
 class TextEncoder:
@@ -156,8 +158,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
             owners.append(some.column(0).slice(first))
         if held:
             yield close()
+        del encoder
+        release_memory()
 
-    ordered.mapInArrow(shards, "part int, shard int, n_ids long, data binary").write.parquet(path)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        ordered.mapInArrow(shards, "part int, shard int, n_ids long, data binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", id_type: str = "long") -> DataFrame:
@@ -183,6 +188,7 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", id_type: st
                 yield pa.RecordBatch.from_arrays(
                     [table.column("id").combine_chunks(), pa.array(ends - n + batch.column(1)[i].as_py()), pa.array(n), pa.array(sums, pa.int64())],
                     names=[id_col, "start", "n_tokens", "ids_crc32"])
+        release_memory()
 
     placed = shards.join(F.broadcast(offset) if len(parts) <= 10_000 else offset, ["part", "shard"]).select("data", "offset")
     return placed.mapInArrow(documents, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
