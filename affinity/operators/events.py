@@ -144,3 +144,18 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
         u = u.unionByName(p)
     return u.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"),
                                        F.max("k").alias("last_key"))
+
+
+def sample_rows(tables: dict[str, DataFrame], n: int = 2) -> DataFrame:
+    """(table_name, sample) of the first ``n`` rows of each training table by their own key columns.
+
+    Each table is cut by a distributed top-n (no shuffle, no sort of the whole
+    table); equal rows are each a sample; an empty table has none.
+    """
+    out = None
+    for name, df in tables.items():
+        cols = [c for c in ("user_id", "item_id", "event_id") if c in df.columns]
+        few = (df.select(*cols).orderBy(*cols).limit(n)
+               .select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("sample")))
+        out = few if out is None else out.unionByName(few)
+    return out

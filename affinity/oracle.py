@@ -473,6 +473,30 @@ FROM requests
 UNION ALL SELECT concat('r_', user_id), user_id, 10, 'cosmetic', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM users"""
 BODIES["model_tables_roundtrip"] = BODIES["item_model"]
 
+BODIES["model_tables_compared"] = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*)::BIGINT AS n_rows, 0::BIGINT AS n_lost, 0::BIGINT AS n_added FROM {table}"
+    for name, table in (("user_factors", "user_vecs"), ("item_model", "item_model"), ("owned", "owned"), ("mentions", "mentions")))
+
+_EVENT_SAMPLE = "(SELECT '{0}' AS table_name, concat_ws('|', user_id, item_id, event_id) AS sample FROM tlog WHERE event IN ({1}) ORDER BY user_id, item_id, event_id LIMIT 2)"
+BODIES["profile_samples"] = "\nUNION ALL ".join(
+    ["(SELECT 'users' AS table_name, user_id AS sample FROM users ORDER BY user_id LIMIT 2)",
+     "(SELECT 'items', item_id FROM items ORDER BY item_id LIMIT 2)"]
+    + [_EVENT_SAMPLE.format(e, f"'{e}', 'cancel_scrap'" if e == "scrap" else f"'{e}'") for e in ("view", "own", "scrap", "rate", "play")])
+
+_GUARD = "SELECT '{0}' AS table_name, count(*) > 0 AS passes, CASE WHEN count(*) = 0 THEN '{0} cannot be empty' END AS message FROM {1}"
+BODIES["nonempty_guards"] = "\nUNION ALL ".join(
+    _GUARD.format(*x) for x in (("users", "users"), ("items", "items"), ("views", "tlog WHERE event = 'view'"),
+                                ("nothing", "items WHERE item_type = 'none'")))
+
+BODIES["null_cosmetic_names"] = """
+SELECT item_id,
+  len(list_filter(list_prepend(NULL, cosmetics), lambda c: c IS NOT NULL AND fits(c, list_min(cosmetics)))) > 0 AS own,
+  len(list_filter(list_prepend(NULL, cosmetics), lambda c: c IS NOT NULL AND c <> list_min(cosmetics) AND fits(c, list_min(cosmetics)))) > 0 AS others,
+  false AS none
+FROM items WHERE item_type = 'content' AND len(cosmetics) > 0""".replace(
+    "fits(c, list_min(cosmetics))",
+    "len(list_filter(string_split(list_min(cosmetics), ' '), lambda t: NOT contains(replace(c, ' ', ''), t))) = 0")
+
 # the streaming operators end in the same state as their batch twins
 BODIES["live_seen"] = BODIES["seen_items"]
 BODIES["live_recent"] = BODIES["recent_items"]

@@ -201,3 +201,20 @@ def materialize(model: Model, tables=TABLES) -> Model:
          for n in TABLES}
     items = t["item_model"].select("item_id", "item_type", "categories", "brand", "cosmetics", "upload_date")
     return Model(t["user_factors"], t["item_model"], t["owned"], t["mentions"], items)
+
+
+def differences(saved: Model, loaded: Model) -> DataFrame:
+    """Per model table its rows, those that the loaded copy lost and those that it added (as multisets)."""
+    out = None
+    for name in TABLES:
+        # one pass: each distinct row counts +1 where it was saved and -1 where it was loaded
+        both = (getattr(saved, name).withColumn("_side", F.lit(1))
+                .unionByName(getattr(loaded, name).withColumn("_side", F.lit(-1))))
+        cols = [c for c in both.columns if c != "_side"]
+        rows = (both.groupBy(*cols).agg(F.sum("_side").alias("_net"), F.count_if(F.col("_side") > 0).alias("_n"))
+                .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+                     F.coalesce(F.sum(F.greatest("_net", F.lit(0))), F.lit(0)).alias("n_lost"),
+                     F.coalesce(F.sum(F.greatest(-F.col("_net"), F.lit(0))), F.lit(0)).alias("n_added"))
+                .select(F.lit(name).alias("table_name"), "n_rows", "n_lost", "n_added"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

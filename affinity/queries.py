@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.config import Params
+from affinity.functions import text as tx
 from affinity.operators import candidates as cd
 from affinity.operators import entities as en
 from affinity.operators import events as ev
@@ -506,3 +507,53 @@ def q_model_roundtrip(spark, sf_dir):
     m = md.load(spark, path)
     return m.item_model.select("item_id", "item_type", F.col("features").isNotNull().alias("has_features"),
                                "popularity")
+
+
+@register("model_tables_compared")
+def q_model_compared(spark, sf_dir):
+    """Every model table as saved against the one loaded back, row by row."""
+    t = load(spark, sf_dir)
+    path = _scratch(spark, "model")
+    saved = md.train(_data(t), P, user_factors=t.user_vectors, item_factors=t.item_vectors)
+    md.save(saved, path)
+    return md.differences(saved, md.load(spark, path))
+
+
+@register("profile_samples")
+def q_profile_samples(spark, sf_dir):
+    """Two sample rows of each training table."""
+    t = load(spark, sf_dir)
+    return ev.sample_rows({"users": t.users, "items": t.items, **ev.typed_events(t.log, P)})
+
+
+@register("nonempty_guards")
+def q_nonempty_guards(spark, sf_dir):
+    """what the guards say of the training inputs, and of one without rows."""
+    t = load(spark, sf_dir)
+    inputs = {"users": t.users, "items": t.items, "views": ev.typed_events(t.log, P)["view"],
+              "nothing": t.items.filter(F.col("item_type") == "none")}
+
+    def guard(name, df):
+        try:
+            ev.require_nonempty(df, name)
+        except ValueError as e:
+            return name, False, str(e)
+        return name, True, None
+
+    return spark.createDataFrame([guard(*x) for x in inputs.items()], "table_name string, passes boolean, message string")
+
+
+@register("null_cosmetic_names")
+def q_null_names(spark, sf_dir):
+    """A null name among a content's cosmetics fails its own entry only.
+
+    Each content is searched by the words of its first cosmetic, in all its
+    names and in the others, each with a null before them.
+    """
+    content = load(spark, sf_dir).items.filter((F.col("item_type") == "content") & (F.size("cosmetics") > 0))
+    first = F.array_min("cosmetics")
+    null = F.array(F.lit(None).cast("string"))
+    terms = F.split(first, " ")
+    return content.select("item_id", tx.any_name_matches(F.concat(null, "cosmetics"), terms).alias("own"),
+                          tx.any_name_matches(F.concat(null, F.filter("cosmetics", lambda c: c != first)), terms).alias("others"),
+                          tx.any_name_matches(null, terms).alias("none"))

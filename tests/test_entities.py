@@ -88,3 +88,23 @@ def test_merged_fold_states_equal_a_full_fold(spark):
                    en.merge_fold_states(empty, en.merge_fold_states(second, en.merge_fold_states(third, first)))):
         got = {r.entity_id: r.properties for r in en.fold_properties(merged).collect()}
         assert got == {r.entity_id: r.properties for r in full.collect()} and len(got) > 5
+
+
+def test_sample_rows(spark):
+    """Two rows of each table by key; equal rows count each, an empty table has none."""
+    from affinity.operators import events as ev
+    a = spark.createDataFrame([("u3",), ("u1",), ("u1",), ("u2",)], "user_id string")
+    b = spark.createDataFrame([("u1", "i2", 9), ("u1", "i1", 7)], "user_id string, item_id string, event_id long").repartition(2)
+    got = sorted(tuple(r) for r in ev.sample_rows({"a": a, "b": b, "none": b.limit(0)}).collect())
+    assert got == [("a", "u1"), ("a", "u1"), ("b", "u1|i1|7"), ("b", "u1|i2|9")]
+
+
+def test_model_differences_are_counted_by_row(spark):
+    """A lost, an added and a doubled row are each found in the table they belong to."""
+    from affinity.plans import model as md
+    pairs = lambda rows: spark.createDataFrame(rows, "user_id string, cosmetic_id string")
+    vectors = spark.createDataFrame([("u", [1.0, 2.0]), ("v", None)], "user_id string, features array<double>")
+    one = md.Model(vectors, vectors, pairs([("a", "x"), ("a", "y")]), pairs([("a", "x"), ("a", "x")]), None)
+    two = md.Model(vectors, vectors, pairs([("a", "x"), ("a", "z"), (None, "z")]), pairs([("a", "x")]), None)
+    got = {r.table_name: (r.n_rows, r.n_lost, r.n_added) for r in md.differences(one, two).collect()}
+    assert got == {"user_factors": (2, 0, 0), "item_model": (2, 0, 0), "owned": (2, 1, 2), "mentions": (2, 1, 0)}
