@@ -28,7 +28,7 @@ ORDER = 3
 #: Factor per step back (fixed value of the method).
 BACKOFF = 0.4
 #: Text bytes of a block, and n-gram entries that one partition of the count table holds.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 PART_ENTRIES = 2_000_000
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -147,7 +147,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     blocks = stage(_blocks(read, id_type), "lm_blocks")
     corpus = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     bits = max(8, int(np.ceil(np.log2(max(1, order * corpus / PART_ENTRIES)))))
-    answers = (_totals(_cells(blocks, bits, order)).groupBy("block")
+    # written, so that the cells' shuffle files are gone when the answers meet the texts
+    totals = stage(_totals(_cells(blocks, bits, order)), "lm_totals")
+    answers = (totals.groupBy("block")
                .agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("answers")))
     joined = blocks.join(answers, "block", "left").select("body", "answers")
 
