@@ -101,3 +101,21 @@ def test_literal_target_types_give_empty_seen_and_recent(spark):
     p = Params(target_types=("item",))
     assert ev.seen_items(log, p).count() == 0 and ev.recent_items(log, p).count() == 0
     assert ev.seen_items(log).count() > 0
+
+
+def test_nested_text_rounds_the_shown_score(spark):
+    from affinity.queries import _results_text
+    df = spark.createDataFrame([([("a", 0.1034996), ("b", 0.1034994), ("c", 5.0)],)], "s array<struct<item:string,score:double>>")
+    assert df.select(_results_text("s")).first()[0] == "a=104|b=103|c=5000"
+
+
+def test_a_compact_file_of_many_rows_is_not_broadcast_unasked(spark):
+    """1.2 million rows in a file below the broadcast threshold: their table would be built in the driver's memory."""
+    folder = tempfile.mkdtemp(prefix="affinity-compact-", dir="/tmp")
+    key = F.col("id")
+    (spark.range(0, 1_200_000, 1, 1).select(
+        key.alias("p_partkey"), F.lit("red ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"),
+        F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{folder}/part.parquet"))
+    names = load(spark, folder).part_names
+    plan = spark.range(10_000_000).join(names, F.col("id") == names.p_partkey)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
