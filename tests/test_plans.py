@@ -119,3 +119,13 @@ def test_a_compact_file_of_many_rows_is_not_broadcast_unasked(spark):
     names = load(spark, folder).part_names
     plan = spark.range(10_000_000).join(names, F.col("id") == names.p_partkey)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_overlap_tasks_grow_with_the_pairs(spark, monkeypatch):
+    owned = spark.range(40).selectExpr("concat('u', id) AS user_id", "concat('p', id % 2) AS cosmetic_id")
+    mentions = spark.range(30).selectExpr("concat('c', id) AS content_id", "concat('p', id % 3) AS cosmetic_id")
+    want = sorted(tuple(r) for r in ov.overlap_of(owned, mentions).collect())
+    monkeypatch.setattr(ov, "TASK_PAIRS", 20)
+    got = ov.overlap_of(owned, mentions)
+    assert got.rdd.getNumPartitions() == 20  # 400 pairs: 40 owned x 10 mentions each
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 400
