@@ -164,3 +164,23 @@ def test_scoring_from_live_state_equals_log_pass(spark):
     ra = _rows(sc.recommend_batch(a, m.item_model).withColumn("score", F.round("score", 6)), cols)
     rb = _rows(sc.recommend_batch(b, m.item_model).withColumn("score", F.round("score", 6)), cols)
     assert ra == rb and len(ra) > 0
+
+
+def test_runs_as_they_were_before_a_replayed_batch(spark):
+    from affinity.streaming.runs import Runs
+    root = tempfile.mkdtemp(prefix="affinity-runs-", dir="/tmp")
+    runs = Runs(root, lambda df: df.groupBy("k").agg(F.sum("n").cast("long").alias("n")), fan=2)
+    for b in range(4):
+        runs.add(spark.createDataFrame([("all", 1 << b)], "k string, n long"), b)
+    seen = [_rows(runs.read(spark, "k string, n long", before=b), ["k", "n"]) for b in (0, 2, 3, 4)]
+    assert seen == [[], [("all", 3)], [("all", 7)], [("all", 15)]]
+
+
+def test_popularity_keeps_no_python_state(spark):
+    users = spark.createDataFrame([("u",)], "user_id string")
+    items = spark.createDataFrame([("a",)], "item_id string")
+    work = tempfile.mkdtemp(prefix="affinity-live-", dir="/tmp")
+    batches = [[("own", "u", "a", 1, 1, None)], [("rate", "u", "a", 2, 2, 4.75)]]
+    live._run(live.live_popularity(_batches(spark, batches), users, items, f"{work}/pop", f"{work}/ck"))
+    assert _rounded(live.popularity_table(spark, f"{work}/pop")) == [("a", 6.0)]
+    assert not os.path.exists(f"{work}/ck/state")
