@@ -129,3 +129,25 @@ def test_overlap_tasks_grow_with_the_pairs(spark, monkeypatch):
     got = ov.overlap_of(owned, mentions)
     assert got.rdd.getNumPartitions() == 20  # 400 pairs: 40 owned x 10 mentions each
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 400
+
+
+def test_a_recent_vector_travels_once(spark):
+    t = load(spark, SF_SMALL)
+    text = plan(sc._query_vectors(ev.recent_items(t.log), t.item_vectors))
+    assert "Generate posexplode" not in text
+
+
+def test_compared_model_rows_travel_as_digests(spark):
+    rows = [("a", "content", None, None, ["x", None], None, [1.5, -2.25], 0.5), ("b", "cosmetic", [], "y", None, None, None, 0.0)]
+    schema = ("item_id string, item_type string, categories array<string>, brand string, cosmetics array<string>, upload_date string, "
+              "features array<double>, popularity double")
+    pairs = "user_id string, cosmetic_id string"
+    few = lambda rows, schema: spark.createDataFrame(rows, schema)
+    model = lambda rows: md.Model(few([("u", [1.0])], "user_id string, features array<double>"), few(rows, schema),
+                                  few([("u", "a")] * 2, pairs), few([], "content_id string, cosmetic_id string"), None)
+    other = [rows[0], rows[0], ("b", "cosmetic", None, "y", None, None, None, 0.0)]   # one twice; an empty list is not a null one
+    got = md.differences(model(rows), model(other))
+    exchanges = [line for line in plan(got).splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("features" in line for line in exchanges)
+    assert sorted(tuple(r) for r in got.collect()) == \
+        [("item_model", 2, 1, 2), ("mentions", 0, 0, 0), ("owned", 2, 0, 0), ("user_factors", 1, 0, 0)]
