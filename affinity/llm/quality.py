@@ -58,15 +58,31 @@ def log_count_ratio(doc: np.ndarray, feature: np.ndarray, label: np.ndarray, smo
     return np.log(counts[0] / size[0]) - np.log(counts[1] / size[1])
 
 
+def rows_log_count_ratio(rows: list[np.ndarray], label: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """``log_count_ratio`` of rows of distinct features, without a table of all of them."""
+    counts = np.full((2, 1 << BITS), smooth)
+    for features, c in zip(rows, label.tolist()):
+        if c in (0, 1):
+            counts[c][features] += 1
+    size = [max(int((label == c).sum()), 1) + 2 * smooth for c in (0, 1)]
+    return np.log(counts[1] / size[1]) - np.log(counts[0] / size[0])
+
+
 def fit(doc, feature, label, ratio, penalty: float = 1.0, balance: float = 1.0,
         rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
+    """``fit_rows`` of (document index, feature) pairs."""
+    bounds = np.searchsorted(doc, np.arange(len(label) + 1))
+    return fit_rows([feature[a:b] for a, b in zip(bounds, bounds[1:])], label, ratio, penalty, balance, rounds, seed)
+
+
+def fit_rows(rows: list[np.ndarray], label, ratio, penalty: float = 1.0, balance: float = 1.0,
+             rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss; returns weights over indicators and the bias.
 
-    Each class's box is widened by its rarity, so both classes weigh the same.
+    Each class's box is widened by its rarity, so both classes weigh the same. Beside the rows it holds one
+    single-precision value per feature of a row.
     """
     n = len(label)
-    bounds = np.searchsorted(doc, np.arange(n + 1))
-    rows = [feature[bounds[i]:bounds[i + 1]] for i in range(n)]
     values = []
     for r in rows:
         v = ratio[r]
@@ -147,15 +163,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
     id_type = dict(labels.dtypes)[id_col]
     rows = sample.mapInArrow(extract, f"_id {id_type}, _label int, _features binary").orderBy("_id").toArrow()
     label = rows.column("_label").to_numpy()
-    packed = [np.frombuffer(b, np.int32) for b in rows.column("_features").to_pylist()]
+    packed = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("_features")]  # views: nothing is copied
     if len(set(label.tolist())) < 2:
         zero = np.zeros(1 << BITS)
         return Model(zero, zero, 0.0)
-    doc = np.repeat(np.arange(len(packed), dtype=np.int32), [len(p) for p in packed])
-    feature = np.concatenate(packed)
-    del rows, packed
-    ratio = log_count_ratio(doc, feature, label)
-    return Model(ratio, *fit(doc, feature, label, ratio, penalty))
+    del rows
+    ratio = rows_log_count_ratio(packed, label)
+    model = Model(ratio, *fit_rows(packed, label, ratio, penalty))
+    del packed
+    release_memory()   # the driver keeps the weights alone
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

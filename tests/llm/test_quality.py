@@ -90,3 +90,23 @@ def test_one_text_per_labelled_id(make, monkeypatch):
     monkeypatch.setattr(qu, "fit", lambda doc, feature, label, *rest: (sizes.append(len(label)), fit(doc, feature, label, *rest))[1])
     qu.train_quality(docs, labels, F.lit(True))
     assert sizes == [20]
+
+
+def test_the_fit_holds_little_beside_the_rows():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << qu.BITS, 20_000)).astype(np.int32) for _ in range(200)]
+    label = rng.integers(0, 2, 200)
+    doc, feature = np.repeat(np.arange(200), [len(r) for r in rows]), np.concatenate(rows)
+    ratio = qu.log_count_ratio(doc, feature, label)
+    wanted = qu.fit(doc, feature, label, ratio, rounds=2)
+    del doc, feature
+    tracemalloc.start()
+    try:
+        own = qu.rows_log_count_ratio(rows, label)
+        got = qu.fit_rows(rows, label, own, rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(own, ratio) and np.array_equal(got[0], wanted[0]) and got[1] == wanted[1]
+    assert peak < 1.5 * sum(r.nbytes for r in rows) + 16 * 8 * (1 << qu.BITS)
