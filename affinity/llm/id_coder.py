@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids.
+"""Adaptive context-mixing coder for token ids.
 
 A shard of ids is cut into blocks that are coded independently: each starts from
 the same reset state, has its own checksum and can be read alone. All blocks of
@@ -9,9 +9,13 @@ Per id: the order-2 context (two ids back) and the order-1 context (one back)
 each predict the id that followed last time. Whether a prediction holds is coded
 with a probability mixed, in the logistic domain with learned weights, from
 adaptive estimates over the confidence of the contexts, the previous id and the
-recent outcomes. An id that nothing predicted is coded by order 0: an adaptive
-distribution over frequency classes, then the shard's own id frequencies inside
-the class. All arithmetic is on integers, so every machine decodes alike.
+recent outcomes; where the two differ, which of them holds is coded alike. The
+ids that nothing predicted are a second stream of the block, coded by order 0: an
+adaptive distribution over frequency classes, then the shard's frequencies of
+such ids inside the class. So the first stream alone depends on the ids before,
+and a step of the second has the blocks with ids left only. Both streams are
+coded by an asymmetric numeral system, last id first. All arithmetic is on
+integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -27,14 +31,22 @@ BLOCK = 2048
 #: Order-0 frequency classes, more only where a class would hold over CLASS_SYMBOLS ids.
 CLASSES = 16
 CLASS_SYMBOLS = 1 << 15
-_TABLE_BITS = 11
-_ONE = 1 << 16
-#: Bound of a mixing weight: three products of a weight's upper part and a 12-bit value stay within 31 bits.
-_MOST = 1 << 19
-_LOW32 = np.uint64(0xFFFFFFFF)
+_TABLE_BITS = 9
+#: Shares of a class, of the classes and of a decision add up to these powers of two.
+_SHARE_BITS, _CLASS_BITS, _FLAG_BITS = 16, 15, 12
+_ONE = 1 << _SHARE_BITS
+#: Least confidence of a guess that is asked for.
+_ASKED = 2
+#: Speed of the estimates (a shift). The classes count _START ids to begin with, are settled anew every _LOOK ids and halve
+#: their counts every _HALVE.
+_RATE, _START, _LOOK, _HALVE = 4, 128, 32, 256
+#: Bound of a mixing weight: three products of a weight and a 12-bit value stay within 31 bits.
+_MOST = 1 << 18
 _WORD = np.uint64(32)
 _EDGE = np.uint64(1 << 32)
-MAGIC = b"IDMIX01\n"
+#: Table ids up to this one are counted by place.
+_DENSE = 1 << 22
+MAGIC = b"IDMIX02\n"
 
 
 class DamagedBlock(ValueError):
@@ -50,66 +62,113 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
     return np.array(stretch, np.int32), np.clip(np.array(squash, np.int32), 1, 4095)
 
 
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+class _Writer:
+    """One stream per lane, filled from its end: what is put last is read first."""
 
-    def _narrow(self, start, size) -> np.ndarray:
-        unit = self.range >> np.uint64(16)
-        self.low += unit * start
-        self.range = unit * size
-        full = np.flatnonzero(self.range < _EDGE)
+    def __init__(self, lanes: int, most: int):
+        self.x = np.full(lanes, _EDGE)
+        self.end = (np.arange(lanes) + 1) * (most + 2)
+        self.at = self.end.copy()
+        self.words = np.zeros(lanes * (most + 2), np.uint32)
+
+    def _settle(self, lanes, x, full):
+        """Write the lower words of the states at ``full`` of ``x``, the states of ``lanes`` (None: the leading ones)."""
         if len(full):
-            low = self.low[full]
-            # an interval that crosses a word boundary is cut there, so its upper word is settled
-            size = np.minimum(self.range[full], _EDGE - (low & _LOW32))
-            self._word(full, low >> _WORD)
-            self.low[full] = low << _WORD
-            self.range[full] = size << _WORD
-        return full
-
-    def _word(self, lanes, words):
-        self.out.append((lanes, words.astype(np.uint32)))
-
-    def put(self, start, size):
-        self._narrow(start.astype(np.uint64), size.astype(np.uint64))
-
-    def bit(self, p, bit):
-        self.put(np.where(bit, 0, p), np.where(bit, p, _ONE - p))
+            who = full if lanes is None else lanes[full]
+            at = self.at[who] - 1
+            self.at[who] = at
+            self.words[at] = x[full].astype(np.uint32)
+            x[full] >>= _WORD
+
+    def flag(self, lanes, p, bit):
+        p = p.astype(np.uint64)
+        size = np.where(bit, p, np.uint64(1 << _FLAG_BITS) - p)
+        x = self.x.take(lanes)
+        self._settle(lanes, x, np.flatnonzero((x >> np.uint64(64 - _FLAG_BITS)) >= size))
+        whole = x // size
+        x += whole * (np.uint64(1 << _FLAG_BITS) - size) + p * ~bit
+        self.x[lanes] = x
+
+    def pair(self, first, size1, start1, size2, start2):
+        """Two nested shares at once of the leading lanes: of the class ``1`` is read first."""
+        x = self.x[:first]
+        size1, size2 = size1.astype(np.uint64), size2.astype(np.uint64)
+        self._settle(None, x, np.flatnonzero((x >> np.uint64(64 - _CLASS_BITS - _SHARE_BITS)) >= size1 * size2))
+        whole = x // size2
+        x += whole * (np.uint64(1 << _SHARE_BITS) - size2) + start2.astype(np.uint64)
+        whole = x // size1
+        x += whole * (np.uint64(1 << _CLASS_BITS) - size1) + start1.astype(np.uint64)
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each lane, all words behind one another)."""
+        self.words[self.at - 1] = self.x.astype(np.uint32)
+        self.words[self.at - 2] = (self.x >> _WORD).astype(np.uint32)
+        size = self.end - self.at + 2
+        ends = np.cumsum(size)
+        out = np.empty(ends[-1], np.uint32)
+        for start, n, end in zip((self.at - 2).tolist(), size.tolist(), ends.tolist()):
+            out[end - n:end] = self.words[start:start + n]
+        return size, out
+
+
+class _Reader:
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        self.words = np.append(words, np.zeros(2, np.uint32)).astype(np.uint64)
+        self.next = starts + 2
+        self.x = self.words[starts] << _WORD | self.words[starts + 1]
+
+    def _fill(self, lanes, x):
+        low = np.flatnonzero(x < _EDGE)
+        if len(low):
+            who = low if lanes is None else lanes[low]
+            at = self.next[who]
+            self.next[who] = at + 1
+            x[low] = x[low] << _WORD | self.words.take(at, mode="clip")
+
+    def flag(self, lanes, p):
+        x = self.x.take(lanes)
+        p = p.astype(np.uint64)
+        slot = x & np.uint64((1 << _FLAG_BITS) - 1)
+        bit = slot < p
+        x = (x >> np.uint64(_FLAG_BITS)) * np.where(bit, p, np.uint64(1 << _FLAG_BITS) - p) + slot - p * ~bit
+        self._fill(lanes, x)
+        self.x[lanes] = x
         return bit
 
-    def done(self) -> list[np.ndarray]:
-        every = np.arange(len(self.low))
-        self._word(every, self.low >> _WORD)
-        self._word(every, self.low & _LOW32)
-        lane = np.concatenate([a for a, _ in self.out])
-        word = np.concatenate([w for _, w in self.out])
-        word = word[np.argsort(lane, kind="stable")]
-        return np.split(word, np.cumsum(np.bincount(lane, minlength=len(every)))[:-1])
+    def slot(self, first: int, bits: int) -> np.ndarray:
+        return self.x[:first] & np.uint64((1 << bits) - 1)
+
+    def take(self, first: int, bits: int, slot, size, start):
+        x = self.x[:first]
+        x >>= np.uint64(bits)
+        x *= size.astype(np.uint64)
+        x += slot - start.astype(np.uint64)
+
+    def fill(self, first: int):
+        self._fill(None, self.x[:first])
+
 
+class _Known:
+    """Gives the decisions that are known and keeps them with their probabilities, for a writer to put in reverse."""
+
+    def __init__(self):
+        self.kept: list[tuple] = []
+
+    def decide(self, lanes, p, bit):
+        self.kept.append((lanes, p.astype(np.uint16), bit))
+        return bit
 
-class _Decoder(_Encoder):
-    def __init__(self, streams: list[np.ndarray]):
-        super().__init__(len(streams))
-        size = np.array([len(s) for s in streams])
-        self.words = np.concatenate([*streams, np.zeros(4, np.uint32)]).astype(np.uint64)
-        self.next = np.cumsum(size) - size + 2
-        self.code = self.words[self.next - 2] << _WORD | self.words[self.next - 1]
+    def write(self, writer: _Writer):
+        while self.kept:
+            writer.flag(*self.kept.pop())
 
-    def _word(self, lanes, words):
-        at = np.minimum(self.next[lanes], len(self.words) - 1)
-        self.code[lanes] = self.code[lanes] << _WORD | self.words[at]
-        self.next[lanes] += 1
 
-    def target(self):
-        return np.minimum((self.code - self.low) // (self.range >> np.uint64(16)), np.uint64(_ONE - 1)).astype(np.int32)
+class _Read:
+    def __init__(self, reader: _Reader):
+        self.reader = reader
 
-    def bit(self, p, bit):
-        got = self.target() < p
-        super().bit(p, got)
-        return got
+    def decide(self, lanes, p, bit):
+        return self.reader.flag(lanes, p)
 
 
 class _Flag:
@@ -117,146 +176,279 @@ class _Flag:
 
     def __init__(self, lanes: int, contexts: tuple[int, ...]):
         ahead = np.cumsum((0, *contexts))
-        self.p = np.full(lanes * ahead[-1], 1 << 14, np.int32)
-        self.base = np.arange(lanes) * ahead[-1] + ahead[:-1, None]
-        self.weight = np.full((len(contexts), lanes), 26000, np.int32)
-
-    def code(self, coder, contexts, bit, live=None):
-        """``contexts``: one row per estimate. A lane that is not ``live`` codes the sure event and learns nothing."""
+        self.lanes = lanes
+        self.p = np.full(lanes * ahead[-1], 1 << 13, np.uint16)
+        self.ahead = ahead[:-1, None] * lanes
+        self.row = np.arange(len(contexts))[:, None] * lanes
+        self.weight = np.full(len(contexts) * lanes, 26000, np.int32)
+
+    def code(self, coder, lanes, contexts, bit):
+        """``contexts``: one row per estimate, of the chosen ``lanes``."""
         stretch, squash = _logistic()
-        at = self.base + contexts
-        p = self.p.take(at)
+        at = contexts * self.lanes
+        at += self.ahead
+        at += lanes
+        row = self.row + lanes
+        weight = self.weight.take(row)
+        p = self.p.take(at).astype(np.int32)
         s = stretch.take(p >> 4)
-        # 12-bit values times 16-bit weights: 32 bits are enough
-        dot = np.einsum("ij,ij->j", s, self.weight >> 4) >> 12
-        mixed = squash.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        chance = mixed << 4
-        if live is not None:
-            chance = np.where(live, chance, _ONE)
-            bit = None if bit is None else bit | ~live
-        bit = coder.bit(chance, bit)
-        error = ((bit.astype(np.int32) << 12) - mixed) * 7
-        step = (np.where(bit, 65535 - 32, 32).astype(np.int32) - p) >> 4
-        if live is not None:
-            error *= live
-            step *= live
-            bit = bit & live
-        self.p[at] = p + step
-        self.weight += (s * error + 0x8000) >> 16
-        np.minimum(np.maximum(self.weight, -_MOST, out=self.weight), _MOST, out=self.weight)
+        dot = np.add.reduce(s * weight, axis=0, dtype=np.int32)
+        dot >>= 16
+        dot += 2047
+        mixed = squash.take(dot, mode="clip")
+        bit = coder.decide(lanes, mixed, bit)
+        one = bit.astype(np.int32)
+        p += (one * 65471 + 32 - p) >> _RATE
+        self.p[at] = p
+        one <<= 12
+        one -= mixed
+        one *= 6
+        s *= one
+        s += 0x8000
+        s >>= 16
+        s += weight
+        np.minimum(s, _MOST, out=s)
+        np.maximum(s, -_MOST, out=s)
+        self.weight[row] = s
         return bit
 
 
 class _Symbols:
-    """The shard's ids by falling frequency, in classes of about equal weight."""
+    """The ids that nothing predicted, in the order of the shard's table, in classes of about equal weight."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
-        self.ids, self.counts = ids, counts
-        total = int(counts.sum())
+    def __init__(self, counts: np.ndarray):
+        total = max(int(counts.sum()), 1)
         before = np.cumsum(counts) - counts
-        kind = (before * CLASSES // max(total, 1)).astype(np.int64)
-        place = np.arange(len(ids)) - np.searchsorted(kind, kind)
-        _, self.kind = np.unique(kind * (1 << 32) + place // CLASS_SYMBOLS, return_inverse=True)
-        self.classes = int(self.kind.max(initial=0)) + 1
-        self.first = np.searchsorted(self.kind, np.arange(self.classes + 1))
-        self.size = np.zeros(len(ids), np.int64)
-        self.start = np.zeros(len(ids), np.int64)
-        for a, z in zip(self.first, self.first[1:]):
-            share = 1 + counts[a:z] * (_ONE - (z - a)) // counts[a:z].sum()
+        kind = before * CLASSES // total
+        place = np.arange(len(counts)) - np.searchsorted(kind, kind)
+        _, kind = np.unique(kind * (1 << 32) + place // CLASS_SYMBOLS, return_inverse=True)
+        self.kind = kind.astype(np.int64)
+        self.classes = n = int(self.kind.max(initial=0)) + 1
+        self.first = np.searchsorted(self.kind, np.arange(n + 1))
+        self.size = np.zeros(len(counts), np.int64)
+        self.start = np.zeros(len(counts), np.int64)
+        self.weight = np.add.reduceat(counts, self.first[:-1]) if len(counts) else np.zeros(1, np.int64)
+        for a, z, weight in zip(self.first, self.first[1:], self.weight.tolist()):
+            share = 1 + counts[a:z] * (_ONE - (z - a)) // max(weight, 1)
             share[0] += _ONE - share.sum()
             self.size[a:z] = share
             self.start[a:z] = np.cumsum(share) - share
 
     def inverse(self) -> np.ndarray:
-        return np.concatenate([np.repeat(np.arange(a, z), self.size[a:z]) for a, z in zip(self.first, self.first[1:])])
-
-
-#: Confidence after a wrong (row 0) or right (row 1) guess.
-_NEXT_TRUST = np.array([[v >> 1 for v in range(8)], [min(v + 1, 7) for v in range(8)]], np.uint8)
-
-
-def _hash(a, b):
-    return ((a * 0x9E3779B1 + b * 0x85EBCA77 + 0x165667B1) >> 9) & ((1 << _TABLE_BITS) - 1)
-
-
-def _run(coder, symbols: _Symbols, lanes: int, steps: int, ranks: np.ndarray | None) -> np.ndarray:
-    """Code (ranks given, shape steps x lanes) or decode the ranks of all blocks in lockstep."""
-    out = np.zeros((steps, lanes), np.int32)
-    n = symbols.classes
-    inverse = symbols.inverse() if ranks is None else None
+        return np.concatenate([np.repeat(np.arange(a, z, dtype=np.int32), self.size[a:z]) for a, z in zip(self.first, self.first[1:])])
+
+
+class _Classes:
+    """Adaptive bounds of the classes, one column per lane, from counts that are looked at every few steps.
+
+    A class always keeps a least share."""
+
+    def __init__(self, symbols: _Symbols, lanes: int):
+        n, one = symbols.classes, 1 << _CLASS_BITS
+        self.least = max(1, min(16, one // (4 * n)))
+        self.rest = one - n * self.least
+        self.lanes, self.every, self.steps = lanes, np.arange(lanes), 0
+        self.counts = np.repeat(np.maximum(symbols.weight * _START // max(int(symbols.weight.sum()), 1), 1).astype(np.int32)[:, None], lanes, axis=1)
+        self.flat_counts = self.counts.reshape(-1)
+        self.bounds = np.zeros((n + 1, lanes), np.uint16)
+        self.flat = self.bounds.reshape(-1)
+        self._settle(lanes)
+
+    def _settle(self, first: int) -> None:
+        whole = np.cumsum(self.counts[:, :first], axis=0, dtype=np.int32)
+        total = whole[-1].copy()
+        whole *= self.rest
+        whole //= total
+        whole += np.arange(1, len(whole) + 1, dtype=np.int32)[:, None] * self.least
+        self.bounds[1:, :first] = whole
+
+    def find(self, slot: np.ndarray) -> np.ndarray:
+        """The class of each of the leading lanes."""
+        inner = self.bounds[1:-1, :len(slot)]
+        return np.add.reduce((inner <= slot.astype(np.uint16)).view(np.uint8), axis=0, dtype=np.uint8 if len(inner) < 256 else np.int64)
+
+    def share(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Size and start of the classes, which count from now on."""
+        at = kind * self.lanes
+        at += self.every[:len(kind)]
+        self.flat_counts[at] += 1
+        start = self.flat.take(at)
+        at += self.lanes
+        size = self.flat.take(at) - start
+        self.steps += 1
+        if self.steps % _LOOK == 0:
+            if self.steps % _HALVE == 0:
+                inner = self.counts[:, :len(kind)]
+                inner -= inner >> 1
+            self._settle(len(kind))
+        return size, start
+
+
+#: A table entry's lower bits, the confidence (0: empty), after a wrong (0-7) or right (8-15) guess.
+_TRUST = np.array([max(1, v >> 1) for v in range(8)] + [min(v + 1, 7) for v in range(8)], np.int32)
+
+
+def _flags(coder, steps: int, lanes: int, ranks: np.ndarray | None, fresh: np.ndarray | None) -> np.ndarray:
+    """Code the decisions of all blocks in lockstep, id by id.
+
+    Writing: ``ranks`` (steps x lanes) are known; returns where no guess held. Reading: ``fresh`` (a row per lane) are
+    the unpredicted ids in order; returns the ranks.
+    """
+    out = np.ones((steps, lanes), bool) if fresh is None else np.empty((steps, lanes), np.int32)
     every = np.arange(lanes)
-    base = every << _TABLE_BITS
-    seen = [np.full(lanes << _TABLE_BITS, -1, np.int32) for _ in range(2)]
-    sure = [np.zeros(lanes << _TABLE_BITS, np.uint8) for _ in range(2)]
-    flags = [_Flag(lanes, (128, 256, 16)) for _ in range(2)]
-    count = np.full((n, lanes), 24, np.int64)
-    bound = np.zeros((n + 1, lanes), np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    #: guess and three bits of confidence by (order, slot, lane): lanes mostly share the busy slots
+    table = np.full(2 * lanes << _TABLE_BITS, -8, np.int32)
+    base = every + np.array([[0], [lanes << _TABLE_BITS]])
+    hits = _Flag(lanes, (64, 256, 16))
+    slot, where = np.empty((2, lanes), np.uint32), np.empty((2, lanes), np.int64)
     past = np.zeros(lanes, np.int64)
+    pair = np.array([[0], [lanes]])
+    mixed = before = np.zeros(lanes, np.uint32)
+    x = np.zeros(lanes, np.int32)
+    if fresh is not None:
+        flat, at = fresh.reshape(-1), every * fresh.shape[1]
     for t in range(steps):
-        place = [base + _hash(one, 1), base + _hash(one, two * 3 + 2)]
-        guess = [s.take(p) for s, p in zip(seen, place)]
-        trust = [c.take(p) for c, p in zip(sure, place)]
-        equal = guess[0] == guess[1]
-        context = (trust[1] << 4) | (trust[0] << 1) | equal
-        estimates = np.stack([context.astype(np.int64), one & 255, past])
-        x = None if ranks is None else ranks[t]
-        hit2 = flags[1].code(coder, estimates, None if x is None else x == guess[1])
-        hit1 = flags[0].code(coder, estimates, None if x is None else x == guess[0], ~hit2)
-        fresh = ~(hit2 | hit1)
-        # order 0: adaptive class, then the id's share in its class
-        for i in range(n):
-            np.add(bound[i], count[i], out=bound[i + 1])
-        whole = bound[-1]
-        if x is None:
-            inside = ((coder.target().astype(np.int64) + 1) * whole - 1) >> 16
-            kind = (bound[1:] <= inside).sum(axis=0)
-            kind = np.minimum(kind, n - 1)
-        else:
-            kind = symbols.kind.take(x)
-        start = (bound[kind, every] << 16) // whole
-        end = (bound[kind + 1, every] << 16) // whole
-        coder.put(np.where(fresh, start, 0), np.where(fresh, end - start, _ONE))
-        if x is None:
-            x = inverse.take((kind << 16) + coder.target())
-            coder.put(np.where(fresh, symbols.start.take(x), 0), np.where(fresh, symbols.size.take(x), _ONE))
-            x = np.where(hit2, guess[1], np.where(hit1, guess[0], x))
+        slot[0] = mixed
+        np.multiply(before, np.uint32(0x85EBCA77), out=slot[1])
+        slot[1] += mixed
+        np.right_shift(slot, np.uint32(32 - _TABLE_BITS), out=slot)
+        np.multiply(slot, lanes, out=where)
+        where += base
+        entry = table.take(where)
+        trust = entry & 7
+        live = np.flatnonzero((trust[0] | trust[1]) >= _ASKED)
+        last = x
+        if ranks is not None:
+            x = ranks[t]
         else:
-            coder.put(np.where(fresh, symbols.start.take(x), 0), np.where(fresh, symbols.size.take(x), _ONE))
-        out[t] = x
-        count[kind, every] += fresh * 24
-        if t % 64 == 63:
-            count = np.where(whole > 6000, (count >> 1) | 1, count)
-        for s, c, p, g, v in zip(seen, sure, place, guess, trust):
-            right = g == x
-            s[p] = np.where(right | (v > 1), g, x)
-            c[p] = _NEXT_TRUST[right.view(np.uint8), v]
-        past = ((past << 2) | (hit2.astype(np.int64) << 1) | hit1) & 15
-        two, one = one, x.astype(np.int64)
+            x = flat.take(at, mode="clip")
+        if len(live):
+            both = live + pair
+            one, two = trust.take(both)
+            guess = entry.take(both)
+            guess >>= 3
+            guess = np.where(two >= _ASKED, guess[1], guess[0])  # order 2 before order 1
+            estimates = np.empty((3, len(live)), np.int64)
+            np.left_shift(two, 3, out=estimates[0])
+            estimates[0] += one
+            np.bitwise_and(last.take(live), 255, out=estimates[1])
+            recent = past.take(live, out=estimates[2], mode="clip")
+            hit = hits.code(coder, live, estimates, None if ranks is None else guess == x.take(live))
+            recent <<= 1
+            recent += hit
+            recent &= 15
+            past[live] = recent
+            held = np.flatnonzero(hit)
+            lane = live.take(held)
+            if ranks is None:
+                x[lane] = np.maximum(guess.take(held), 0)
+            else:
+                out[t, lane] = False
+        if ranks is None:
+            out[t] = x
+            at += 1
+            if len(live):
+                at[lane] -= 1
+        right = (entry >> 3) == x
+        trust += right.view(np.int8) << 3
+        table[where] = (x << 3) + _TRUST.take(trust)
+        before, mixed = mixed, x.view(np.uint32) * np.uint32(0x9E3779B1)
     return out
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A shard: header, id table, block table (words, checksum of the block's ids) and the coded blocks."""
-    ids = np.ascontiguousarray(ids, np.uint32)
+def _write_fresh(symbols: _Symbols, ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Streams of the unpredicted ids: ``ranks`` holds those of a lane behind those of the lanes before it."""
+    lanes = len(counts)
+    order = np.argsort(-counts, kind="stable")
+    starts = (np.cumsum(counts) - counts)[order]
+    live = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")  # lanes with an id at each step
+    classes = _Classes(symbols, lanes)
+    kept = []
+    for t, n in enumerate(live.tolist()):
+        x = ranks.take(starts[:n] + t)
+        kind = symbols.kind.take(x)
+        kept.append((n, x, *classes.share(kind)))
+    writer = _Writer(lanes, len(live))
+    while kept:
+        n, x, size, start = kept.pop()
+        writer.pair(n, size, start, symbols.size.take(x), symbols.start.take(x))
+    back = np.empty(lanes, np.int64)
+    back[order] = np.arange(lanes)
+    writer.at, writer.end, writer.x = writer.at[back], writer.end[back], writer.x[back]
+    return writer.done()
+
+
+def _read_fresh(symbols: _Symbols, words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The unpredicted ids, one row per lane."""
+    order = np.argsort(-counts, kind="stable")
+    live = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")
+    reader, classes, inverse = _Reader(words, starts[order]), _Classes(symbols, len(counts)), symbols.inverse()
+    out = np.zeros((max(len(live), 1), len(counts)), np.int32)
+    for t, n in enumerate(live.tolist()):
+        slot = reader.slot(n, _CLASS_BITS)
+        kind = classes.find(slot).astype(np.int64)
+        reader.take(n, _CLASS_BITS, slot, *classes.share(kind))
+        slot = reader.slot(n, _SHARE_BITS)
+        kind <<= _SHARE_BITS
+        kind += slot.view(np.int64)
+        x = inverse.take(kind)
+        reader.take(n, _SHARE_BITS, slot, symbols.size.take(x), symbols.start.take(x))
+        reader.fill(n)
+        out[t, :n] = x
+    rows = np.empty(out.shape[::-1], np.int32)
+    rows[order] = out.T
+    return rows
+
+
+def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids by falling frequency, the rank of each id)."""
+    most = int(ids.max(initial=0))
+    if most <= _DENSE:
+        counts = np.bincount(ids, minlength=1)
+        values = np.flatnonzero(counts)
+        values = values[np.argsort(-counts[values], kind="stable")]
+        rank = np.zeros(most + 1, np.int32)
+        rank[values] = np.arange(len(values))
+        return values, rank.take(ids)
     values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(values), np.int32)
     rank[order] = np.arange(len(values))
+    return values[order], rank[inverse]
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A shard: header, id table, block table and the coded blocks.
+
+    The id table has the ids by falling frequency and how often each was not predicted; the block table has, per block, the
+    words of both streams, its unpredicted ids and the checksum of its ids.
+    """
+    ids = np.ascontiguousarray(ids, np.uint32)
     steps = min(block, len(ids))
     lanes = -(-len(ids) // steps) if steps else 0
-    table = np.concatenate([values[order].astype("<u4"), counts[order].astype("<u4")]).tobytes()
-    streams, sums = [], []
+    values, rank = _table(ids)
+    counts, index, body = np.zeros(len(values), np.int64), np.zeros((4, 0), "<u4"), []
     if lanes:
         padded = np.zeros(lanes * steps, np.int32)
-        padded[:len(ids)] = rank[inverse]
-        coder = _Encoder(lanes)
-        _run(coder, _Symbols(values[order], counts[order].astype(np.int64)), lanes, steps, np.ascontiguousarray(padded.reshape(lanes, steps).T))
-        streams = coder.done()
-        sums = [zlib.crc32(ids[i:i + steps].astype("<u4").tobytes()) for i in range(0, len(ids), steps)]
+        padded[:len(ids)] = rank
+        del rank
+        coder = _Known()
+        fresh = _flags(coder, steps, lanes, np.ascontiguousarray(padded.reshape(lanes, steps).T), None)
+        writer = _Writer(lanes, steps)
+        coder.write(writer)
+        flag_words, words = writer.done()
+        body.append(words)
+        left = padded[fresh.T.reshape(-1)]
+        counts = np.bincount(left, minlength=len(values))
+        n_fresh = np.count_nonzero(fresh, axis=0)
+        del writer, coder, fresh, padded
+        fresh_words, words = _write_fresh(_Symbols(counts), left, n_fresh)
+        body.append(words)
+        sums = [zlib.crc32(ids[i:i + steps].astype("<u4", copy=False)) for i in range(0, len(ids), steps)]
+        index = np.array([flag_words, fresh_words, n_fresh, sums], "<u4")
     head = struct.pack("<QIII", len(ids), steps, lanes, len(values))
-    index = np.array([[len(s) for s in streams], sums], "<u4").tobytes()
-    return MAGIC + head + struct.pack("<I", zlib.crc32(head + table + index)) + table + index + b"".join(s.astype("<u4").tobytes() for s in streams)
+    table = np.concatenate([values.astype("<u4"), counts.astype("<u4")]).tobytes() + index.tobytes()
+    return b"".join([MAGIC, head, struct.pack("<I", zlib.crc32(head + table)), table, *(w.astype("<u4", copy=False).tobytes() for w in body)])
 
 
 def decode(data: bytes, blocks: slice = slice(None)) -> np.ndarray:
@@ -269,24 +461,31 @@ def decode(data: bytes, blocks: slice = slice(None)) -> np.ndarray:
     total, steps, lanes, n = struct.unpack("<QIII", head)
     (check,) = struct.unpack_from("<I", data, at + size)
     at += size + 4
-    table, index = data[at:at + 8 * n], data[at + 8 * n:at + 8 * (n + lanes)]
-    if zlib.crc32(head + table + index) != check:
+    table = data[at:at + 8 * n + 16 * lanes]
+    if zlib.crc32(head + table) != check:
         raise DamagedBlock("header")
     if not lanes:
         return np.zeros(0, np.uint32)
-    values, counts = np.frombuffer(table, "<u4").reshape(2, n)
-    words, sums = np.frombuffer(index, "<u4").reshape(2, lanes)
-    flat = np.frombuffer(data, "<u4", offset=at + 8 * (n + lanes), count=int(words.sum())) if (at + 8 * (n + lanes)) % 4 == 0 else \
-        np.frombuffer(data[at + 8 * (n + lanes):], "<u4", count=int(words.sum()))
-    ends = np.cumsum(words.astype(np.int64))
-    chosen = range(lanes)[blocks]
-    streams = [flat[ends[i] - words[i]:ends[i]] for i in chosen]
-    ranks = _run(_Decoder(streams), _Symbols(values, counts.astype(np.int64)), len(chosen), steps, None)
-    out = values[ranks.T]
+    values, counts = np.frombuffer(table, "<u4", 2 * n).reshape(2, n)
+    flag_words, fresh_words, n_fresh, sums = np.frombuffer(table, "<u4", offset=8 * n).reshape(4, lanes).astype(np.int64)
+    at += len(table)
+    cut = at + 4 * int(flag_words.sum())
+    end = cut + 4 * int(fresh_words.sum())
+    if len(data) < end:
+        raise DamagedBlock("cut short")
+    chosen = np.arange(lanes)[blocks]
+    if not len(chosen):
+        return np.zeros(0, np.uint32)
+    fresh = _read_fresh(_Symbols(counts.astype(np.int64)), np.frombuffer(data[cut:end], "<u4"),
+                        (np.cumsum(fresh_words) - fresh_words)[chosen], n_fresh[chosen])
+    reader = _Reader(np.frombuffer(data[at:cut], "<u4"), (np.cumsum(flag_words) - flag_words)[chosen])
+    ranks = _flags(_Read(reader), steps, len(chosen), None, fresh)
+    del fresh
+    out = values.astype(np.uint32).take(ranks.T, mode="clip")
     parts = []
-    for row, i in zip(out, chosen):
+    for row, i in zip(out, chosen.tolist()):
         ids = row[:min(steps, total - i * steps)]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != sums[i]:
+        if zlib.crc32(ids.astype("<u4", copy=False)) != sums[i]:
             raise DamagedBlock(f"block {i}")
         parts.append(ids)
-    return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+    return np.concatenate(parts)

@@ -9,11 +9,15 @@ that Spark can write works. Reading decodes shards in parallel.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,82 +26,197 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.llm import id_coder
-from affinity.llm.common import release_memory, small_batches, text_slices
+from affinity.llm.common import concat_texts, release_memory, small_batches, text_slices
 from affinity.session import checkpoint_dir
 
 #: Ids per shard; a shard is longer only by its last document.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 4_000_000
 END_ID = 2
-#: Words whose ids are remembered by a task.
-CACHE_WORDS = 150_000
+#: Cuts of texts whose ids a Python worker remembers, to be forgotten between two slices.
+CACHE_WORDS = 400_000
+CACHE_BYTES = 32 << 20
+#: Cuts of more bytes are forgotten first.
+LONG_CUT = 64
+#: Text that is cut and looked up at once: the more, the fewer times a word is looked up.
+ENCODED_BYTES = 8 << 20
 #: Rows that a task of the writer gets at once: a batch of whole texts is held by Spark and by Python.
 BATCH_ROWS = 256
 
 
+#: Characters that are letters in every version of Unicode that has them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ\u0400-\u0481\u048a-\u04ff\u05d0-\u05ea\u0621-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: Texts that the pre-tokeniser of byte-level vocabularies takes as one piece.
+_PIECE = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+|[\x00-\x08\x0e-\x1b!-&(-/:-@\[-`{{-\x7f]+)|[ \n]+")
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _BREAK = range(7)
+
+
+def _byte_kinds() -> bytes:
+    kinds = []
+    for b in range(256):
+        c = chr(b)
+        kinds.append(_OTHER if b >= 0x80 else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SPACE if c == " " else
+                     _BREAK if c == "\n" else _APOSTROPHE if c == "'" else _MARK)
+    return bytes(kinds)
+
+
+def _between_kinds() -> bytes:
+    """Whether a piece surely ends between two bytes, by 8 * kind of the first + kind of the second."""
+    ends = bytearray(256)
+    for a in range(7):
+        for b in range(7):
+            if b in (_SPACE, _BREAK):
+                ends[8 * a + b] = a not in (_SPACE, _BREAK)
+            elif a == _BREAK:
+                ends[8 * a + b] = True
+            elif _OTHER not in (a, b) and a != _SPACE:  # an apostrophe may be one piece with the letters behind it
+                alike = {a, b} <= {_MARK, _APOSTROPHE} or a == b
+                ends[8 * a + b] = not alike and (a, b) != (_APOSTROPHE, _LETTER)
+    return bytes(ends)
+
+
+_KIND, _ENDS = _byte_kinds(), _between_kinds()
+
+
 class TextEncoder:
-    """Ids of whole texts with a tokenizers file; equal words are encoded once.
-
-    The pre-tokeniser of byte-level vocabularies never joins a character with
-    the white space behind it. So where all white space is spaces and line
-    breaks, a text may be cut before each run of white space, and the ids of a
-    text are those of its cuts. Other texts are encoded whole. Where the
-    vocabulary never merges the zero byte with another one, the new words of a
-    slice are encoded as one text with zero bytes between them.
+    """Ids of whole texts with a tokenizers file; equal pieces of texts are encoded once.
+
+    The pre-tokeniser of byte-level vocabularies splits a text into pieces: a run of letters, digits or marks with at most
+    one space before it, a contraction, white space. Where all white space is spaces and line breaks, a text may be cut
+    where two ASCII characters show that a piece ends, and before and in white space; the ids of a text are those of its
+    cuts. Other texts, those with a special token, and all texts where the file asks for anything else, are encoded whole.
+    A cut that is one piece for sure goes to the vocabulary's model without a search for pieces.
     """
 
-    _WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     _OTHER_SPACE = [chr(c) for c in range(0x110000) if (chr(c).isspace() or c == 0x85) and chr(c) not in " \n"]
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        zero = self._one("\0")
-        self.zero = zero[0] if len(zero) == 1 else None
-        if self.zero is not None:  # the zero byte must be a token that no other token contains
-            mark = self.tokenizer.id_to_token(int(self.zero))
-            if any(mark in token and token != mark for token in self.tokenizer.get_vocab()):
-                self.zero = None
-        # words of the present and of the past generation; a word that is used moves to the present one
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        about = json.loads(self.tokenizer.to_str())
+        model, pieces = about["model"], about["pre_tokenizer"] or {}
+        letters = _byte_letters()
+        self.cuts = (pieces.get("type") == "ByteLevel" and not pieces.get("add_prefix_space") and pieces.get("use_regex", True)
+                     and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+                     and not model.get("end_of_word_suffix") and all(c in model["vocab"] for c in letters)
+                     and not any(about.get(k) for k in ("normalizer", "truncation", "padding")))
+        self.whole_if = [t["content"] for t in about["added_tokens"]] + self._OTHER_SPACE
+        if self.cuts:
+            about["pre_tokenizer"], about["added_tokens"] = None, []
+            self.model = Tokenizer.from_str(json.dumps(about))
+            self.letters = np.array([ord(c) for c in letters], "<u4")
+            self.n_bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            for token, i in model["vocab"].items():
+                self.n_bytes[i] = len(token)
+        self.end_id = end_id
+        #: the entry of each known cut, in rising order; its ids are size[entry] from first[entry] on in the pool; entry 0 is the end of a text
+        self.known: dict[bytes, int] = {}
+        self.held = 0
+        self.pool, self.first, self.size = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.used = np.zeros(1, np.int32)
+
+    def _forget(self) -> None:
+        """Keep short cuts that were met in several slices, those met most."""
+        length = np.fromiter(map(len, self.known), np.int64, len(self.known))
+        often = np.flatnonzero((length <= LONG_CUT) & (self.used[1:] > 1))
+        often = np.sort(often[np.argsort(-self.used[often + 1], kind="stable")][:CACHE_WORDS // 2])
+        words = list(self.known)
+        self.known = {words[i]: entry for entry, i in enumerate(often.tolist(), 1)}
+        self.held = int(length[often].sum())
+        kept = np.append(0, often + 1)
+        self.pool, self.size, self.used = self._ids_of(kept), self.size[kept], np.zeros(len(kept), np.int32)
+        self.first = np.cumsum(self.size) - self.size
+
+    def _ids_of(self, entries: np.ndarray) -> np.ndarray:
+        size = self.size.take(entries)
+        place = np.repeat((self.first.take(entries) - (np.cumsum(size) - size)).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool.take(place)
 
     def _one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        joined, alone = [], []
-        for w in words:
-            # after a zero byte a leading apostrophe would be one piece with it, so no contraction
-            plain = w[-1] not in " \n" and (w[0] in " \n" or w[0].isalnum()) and "\0" not in w
-            (joined if self.zero is not None and plain else alone).append(w)
-        for w in alone:
-            self.known[w] = self._one(w).tobytes()
-        for first in range(0, len(joined), 4096):
-            some = joined[first:first + 4096]
-            ids = self._one("\0".join(some))
-            ends = [*(np.flatnonzero(ids == self.zero) * 4).tolist(), 4 * len(ids)]
-            if len(ends) != len(some):  # a special token swallowed a mark
-                self.known.update((w, self._one(w).tobytes()) for w in some)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends):
-                self.known[w] = raw[start:end]
-                start = end + 4
+    def _learn(self, words: list[bytes]) -> None:
+        """Append the ids of new cuts, in the order given."""
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.held += sum(map(len, words))
+        texts = [w.decode() for w in words]
+        one = [bool(self.cuts and _PIECE.fullmatch(t)) for t in texts]
+        pieces = [w for w, o in zip(words, one) if o]
+        sizes, ids = np.zeros(len(words), np.int64), []
+        if pieces:
+            # the byte 255 is in no text
+            joined = self.letters.take(np.frombuffer(b"\xff".join(pieces), np.uint8)).tobytes().decode("utf-32-le").split("\xff")
+            got = np.array(self.model.encode_batch_fast([joined], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(p) for p in joined])
+            after = np.searchsorted(np.cumsum(self.n_bytes[got]), ends) + 1
+            sizes[np.flatnonzero(one)] = np.diff(after, prepend=0)
+            ids.append(got)
+        for i in np.flatnonzero(~np.array(one, bool)).tolist():
+            ids.append(self._one(texts[i]))
+            sizes[i] = len(ids[-1])
+        order = np.argsort(~np.array(one, bool), kind="stable")  # as in ids
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.pool)
+        self.pool = np.concatenate([self.pool, *ids])
+        self.first = np.concatenate([self.first, first])
+        self.size = np.concatenate([self.size, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts behind one another, each with the end id; ids of each text with the end id)."""
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self._forget()
+        data, offsets = concat_texts(texts)
+        whole = np.array([not self.cuts or any(c in t for c in self.whole_if) if t else False for t in texts.to_pylist()], bool)
+        cut = np.zeros(len(data) + 1, bool)
+        if self.cuts and len(data):
+            kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+            cut[1:-1] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_ENDS), bool)
+            space = kind >= _SPACE
+            inner = offsets[1:-1]
+            last = space[1:-1] & space[:-2] & ~space[2:]  # the last of several, with a piece behind it in the same text
+            ends = inner[(inner >= 2) & (inner < len(data))] - 2
+            last[ends[ends < len(last)]] = False
+            cut[1:-2] |= last
+        for i in np.flatnonzero(whole).tolist():
+            cut[offsets[i] + 1:offsets[i + 1]] = False
+        cut[offsets] = True
+        cut[-1] = False
+        starts = np.flatnonzero(cut)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)),
+                                                                 pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        entries = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        new = np.flatnonzero(entries == 0)
+        if len(new):
+            entries[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        self.used[entries] += 1
+        # cuts of all texts, with the end behind those of each
+        ahead = np.searchsorted(starts, offsets)
+        every = np.insert(entries.take(coded.indices.to_numpy()), ahead[1:], 0)
+        ends = np.cumsum(self.size.take(every))
+        return self._ids_of(every), np.diff(ends[ahead[1:] + np.arange(len(offsets) - 1)], prepend=0)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.before = {}, self.known
-        cuts = [[t] if t and any(c in t for c in self._OTHER_SPACE) else self._WORD.findall(t) for t in texts]
-        known, before, new = self.known, self.before, []
-        for w in set().union(*cuts).difference(known):
-            ids = before.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known[w] = ids
-        self._learn(new)
-        return [np.frombuffer(b"".join([known[w] for w in c]), np.uint32) for c in cuts]
+        """The ids of each text, without the end id."""
+        ids, sizes = self.encode(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[e - n:e - 1] for e, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def _byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+@lru_cache(1)
+def _encoder(tokenizer: str, end_id: int) -> TextEncoder:
+    """One of a Python worker, for all its tasks: the cuts that it knows serve the next task."""
+    return TextEncoder(tokenizer, end_id)
 
 
 def _document_table(ids: pa.Array, sizes: list[int]) -> bytes:
@@ -108,10 +227,10 @@ def _document_table(ids: pa.Array, sizes: list[int]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def write_shard(ids: pa.Array, parts: list[np.ndarray]) -> bytes:
+def write_shard(ids: pa.Array, sizes: list[int], values: np.ndarray) -> bytes:
     """The documents' ids as one shard: length and checksum of the document table, the table, the coded ids."""
-    table = _document_table(ids, [len(p) for p in parts])
-    return struct.pack("<QI", len(table), zlib.crc32(table)) + table + id_coder.encode(np.concatenate(parts))
+    table = _document_table(ids, sizes)
+    return struct.pack("<QI", len(table), zlib.crc32(table)) + table + id_coder.encode(values)
 
 
 def read_shard(data: bytes) -> tuple[pa.Table, np.ndarray]:
@@ -123,6 +242,19 @@ def read_shard(data: bytes) -> tuple[pa.Table, np.ndarray]:
     return pa.ipc.open_stream(table).read_all().combine_chunks(), id_coder.decode(data[12 + size:])
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about ENCODED_BYTES of text, of several batches where these are small."""
+    held, size = [], 0
+    for some in text_slices(batches, column, ENCODED_BYTES):
+        held.append(some)
+        size += some.column(column).nbytes
+        if size >= ENCODED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_col: str = "doc_id", text_col: str = "text",
               end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of all documents, in ascending id order, as shards under ``path``.
@@ -137,28 +269,31 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
 
     def shards(batches):
         part = TaskContext.get().partitionId()
-        encoder = TextEncoder(tokenizer)
-        owners, held, size, number = [], [], 0, 0
+        encoder = _encoder(tokenizer, end_id)
+        owners, sizes, held, size, number = [], [], [], 0, 0
 
         def close():
-            ids = pa.concat_arrays(owners)
+            shard = write_shard(pa.concat_arrays(owners), sizes, np.concatenate(held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()),
-                 pa.array([write_shard(ids, held)], pa.binary())], names=["part", "shard", "n_ids", "data"])
-
-        for some in text_slices(batches, "_text", 1 << 18):
-            first = 0
-            for i, ids in enumerate(encoder.ids(some.column(1).to_pylist())):
-                held.append(np.append(ids, np.uint32(end_id)))
-                size += len(held[-1])
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([shard], pa.binary())],
+                names=["part", "shard", "n_ids", "data"])
+
+        for some in _gathered(batches, "_text"):
+            ids, counts = encoder.encode(some.column(1))
+            first = done = at = 0
+            for i, n in enumerate(counts.tolist()):
+                at += n
+                sizes.append(n)
+                size += n
                 if size >= shard_ids:
                     owners.append(some.column(0).slice(first, i + 1 - first))
+                    held.append(ids[done:at])
                     yield close()
-                    first, owners, held, size, number = i + 1, [], [], 0, number + 1
+                    first, done, owners, sizes, held, size, number = i + 1, at, [], [], [], 0, number + 1
             owners.append(some.column(0).slice(first))
-        if held:
+            held.append(ids[done:])
+        if sizes:
             yield close()
-        del encoder
         release_memory()
 
     with small_batches(docs.sparkSession, BATCH_ROWS):
@@ -183,8 +318,8 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", id_type: st
                 table, ids = read_shard(batch.column(0)[i].as_py())
                 n = table.column("n").to_numpy()
                 ends = np.cumsum(n)
-                raw = ids.astype("<u4")
-                sums = [zlib.crc32(raw[e - k:e].tobytes()) for e, k in zip(ends, n)]
+                raw = ids.astype("<u4", copy=False)
+                sums = [zlib.crc32(raw[e - k:e]) for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [table.column("id").combine_chunks(), pa.array(ends - n + batch.column(1)[i].as_py()), pa.array(n), pa.array(sums, pa.int64())],
                     names=[id_col, "start", "n_tokens", "ids_crc32"])

@@ -92,3 +92,49 @@ def test_small_shards_and_null_ids(make, spark, tmp_path):
 def test_empty_table(make):
     got = token_file.encode_documents(make([], "doc_id long, text string"), tokenizer_path(), partitions=2)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
+def test_random_texts_cut_anywhere():
+    """Spaces, breaks, apostrophes, digits, marks, letters of one and more bytes and control characters in any order."""
+    rng = np.random.default_rng(7)
+    alphabet = np.array([*" \n'asl19.!_\0\x7féß日Ж", "  ", "\n\n", "'s", "'ll", " '", "́", "²", "<|endoftext|>", "\t", "　"])
+    share = np.array([1.0] * (len(alphabet) - 3) + [0.02] * 3)
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 30), p=share / share.sum())) for _ in range(3000)]
+    whole, encoder = plain(), token_file.TextEncoder(tokenizer_path())
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [g.tolist() for g in encoder.ids(texts)] == want
+
+
+def test_marks_do_not_make_new_words():
+    """A word is encoded once whatever mark is behind it, by all encoders of a worker, and forgotten cuts are encoded again."""
+    encoder = token_file.TextEncoder(tokenizer_path())
+    encoder.ids(["one two. two, two! two? two"])
+    assert set(encoder.known) == {b"one", b" two", b".", b",", b"!", b"?"}
+    assert token_file._encoder(tokenizer_path(), 2) is token_file._encoder(tokenizer_path(), 2)
+    texts = ["a b c", "b c\td", "", "x " * 50]
+    want = [g.tolist() for g in encoder.ids(texts)]
+    for _ in range(3):
+        encoder._forget()
+        assert [g.tolist() for g in encoder.ids(texts)] == want
+    assert b" b" in encoder.known
+
+
+def test_slices_of_several_batches():
+    import pyarrow as pa
+    texts = [f"text {i}" for i in range(40)]
+    batches = [pa.record_batch([pa.array(range(i, i + 4)), pa.array(texts[i:i + 4])], names=["_id", "_text"]) for i in range(0, 40, 4)]
+    got = list(token_file._gathered(iter(batches), "_text"))
+    assert len(got) == 1 and got[0].column(1).to_pylist() == texts
+
+
+def test_blocks_of_unlike_length_of_unpredicted_ids():
+    """One block repeats itself, one never does, the last is short: the streams of unpredicted ids differ in length."""
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([np.tile([3, 4, 5], 200)[:500], rng.permutation(500), np.full(500, 9), rng.integers(0, 50, 77)]).astype(np.uint32)
+    data = id_coder.encode(ids, 500)
+    assert np.array_equal(id_coder.decode(data), ids)
+    assert np.array_equal(id_coder.decode(data, slice(2, None)), ids[1000:])
+    assert len(id_coder.decode(data, slice(2, 2))) == 0
+    with pytest.raises(id_coder.DamagedBlock):
+        id_coder.decode(data[:-3])
