@@ -46,6 +46,7 @@ _WORD = np.uint64(32)
 _EDGE = np.uint64(1 << 32)
 #: Table ids up to this one are counted by place.
 _DENSE = 1 << 22
+_PART = 1 << 20
 MAGIC = b"IDMIX02\n"
 
 
@@ -400,16 +401,23 @@ def _read_fresh(symbols: _Symbols, words: np.ndarray, starts: np.ndarray, counts
     return rows
 
 
+def _counts(values: np.ndarray, n: int) -> np.ndarray:
+    return sum((np.bincount(values[a:a + _PART], minlength=n) for a in range(0, len(values), _PART)), np.zeros(n, np.int64))
+
+
 def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids by falling frequency, the rank of each id)."""
     most = int(ids.max(initial=0))
     if most <= _DENSE:
-        counts = np.bincount(ids, minlength=1)
+        counts = _counts(ids, most + 1)
         values = np.flatnonzero(counts)
         values = values[np.argsort(-counts[values], kind="stable")]
         rank = np.zeros(most + 1, np.int32)
         rank[values] = np.arange(len(values))
-        return values, rank.take(ids)
+        out = np.empty(len(ids), np.int32)
+        for a in range(0, len(ids), _PART):  # a part at a time, as an index takes eight bytes
+            rank.take(ids[a:a + _PART], out=out[a:a + _PART], mode="clip")
+        return values, out
     values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(values), np.int32)
@@ -431,17 +439,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if lanes:
         padded = np.zeros(lanes * steps, np.int32)
         padded[:len(ids)] = rank
-        del rank
+        rank = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+        del padded
         coder = _Known()
-        fresh = _flags(coder, steps, lanes, np.ascontiguousarray(padded.reshape(lanes, steps).T), None)
+        fresh = _flags(coder, steps, lanes, rank, None)
         writer = _Writer(lanes, steps)
         coder.write(writer)
         flag_words, words = writer.done()
         body.append(words)
-        left = padded[fresh.T.reshape(-1)]
-        counts = np.bincount(left, minlength=len(values))
+        left = rank.T[fresh.T]
+        counts = _counts(left, len(values))
         n_fresh = np.count_nonzero(fresh, axis=0)
-        del writer, coder, fresh, padded
+        del writer, coder, fresh, rank
         fresh_words, words = _write_fresh(_Symbols(counts), left, n_fresh)
         body.append(words)
         sums = [zlib.crc32(ids[i:i + steps].astype("<u4", copy=False)) for i in range(0, len(ids), steps)]

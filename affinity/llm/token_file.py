@@ -38,7 +38,9 @@ CACHE_BYTES = 32 << 20
 #: Cuts of more bytes are forgotten first.
 LONG_CUT = 64
 #: Text that is cut and looked up at once: the more, the fewer times a word is looked up.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 4 << 20
+#: New words that the tokenizers library gets at once: it keeps each token as a text of its own.
+ENCODED_PIECES = 1 << 13
 #: Rows that a task of the writer gets at once: a batch of whole texts is held by Spark and by Python.
 BATCH_ROWS = 256
 
@@ -146,12 +148,12 @@ class TextEncoder:
         sizes, ids = np.zeros(len(words), np.int64), []
         if pieces:
             # the byte 255 is in no text
-            joined = self.letters.take(np.frombuffer(b"\xff".join(pieces), np.uint8)).tobytes().decode("utf-32-le").split("\xff")
-            got = np.array(self.model.encode_batch_fast([joined], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(p) for p in joined])
-            after = np.searchsorted(np.cumsum(self.n_bytes[got]), ends) + 1
+            for a in range(0, len(pieces), ENCODED_PIECES):
+                joined = self.letters.take(np.frombuffer(b"\xff".join(pieces[a:a + ENCODED_PIECES]), np.uint8)).tobytes().decode("utf-32-le")
+                got = self.model.encode_batch_fast([joined.split("\xff")], is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(got[0].ids, np.uint32))
+            after = np.searchsorted(np.cumsum(self.n_bytes[np.concatenate(ids)]), np.cumsum([len(p) for p in pieces])) + 1
             sizes[np.flatnonzero(one)] = np.diff(after, prepend=0)
-            ids.append(got)
         for i in np.flatnonzero(~np.array(one, bool)).tolist():
             ids.append(self._one(texts[i]))
             sizes[i] = len(ids[-1])
@@ -273,7 +275,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
         owners, sizes, held, size, number = [], [], [], 0, 0
 
         def close():
-            shard = write_shard(pa.concat_arrays(owners), sizes, np.concatenate(held))
+            values = np.concatenate(held)
+            held.clear()
+            shard = write_shard(pa.concat_arrays(owners), sizes, values)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), pa.array([shard], pa.binary())],
                 names=["part", "shard", "n_ids", "data"])
