@@ -31,7 +31,7 @@ BLOCK = 2048
 #: Order-0 frequency classes, more only where a class would hold over CLASS_SYMBOLS ids.
 CLASSES = 16
 CLASS_SYMBOLS = 1 << 15
-_TABLE_BITS = 9
+_TABLE_BITS = 10
 #: Shares of a class, of the classes and of a decision add up to these powers of two.
 _SHARE_BITS, _CLASS_BITS, _FLAG_BITS = 16, 15, 12
 _ONE = 1 << _SHARE_BITS

@@ -16,7 +16,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -30,15 +29,15 @@ from affinity.llm.common import concat_texts, release_memory, small_batches, tex
 from affinity.session import checkpoint_dir
 
 #: Ids per shard; a shard is longer only by its last document.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 END_ID = 2
-#: Cuts of texts whose ids a Python worker remembers, to be forgotten between two slices.
-CACHE_WORDS = 400_000
+#: Cuts of texts whose ids a task remembers, to be forgotten between two slices.
+CACHE_WORDS = 200_000
 CACHE_BYTES = 32 << 20
 #: Cuts of more bytes are forgotten first.
 LONG_CUT = 64
 #: Text that is cut and looked up at once: the more, the fewer times a word is looked up.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: New words that the tokenizers library gets at once: it keeps each token as a text of its own.
 ENCODED_PIECES = 1 << 13
 #: Rows that a task of the writer gets at once: a batch of whole texts is held by Spark and by Python.
@@ -215,12 +214,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-@lru_cache(1)
-def _encoder(tokenizer: str, end_id: int) -> TextEncoder:
-    """One of a Python worker, for all its tasks: the cuts that it knows serve the next task."""
-    return TextEncoder(tokenizer, end_id)
-
-
 def _document_table(ids: pa.Array, sizes: list[int]) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.record_batch([ids, pa.array(sizes, pa.int64())], names=["id", "n"])
@@ -271,7 +264,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
 
     def shards(batches):
         part = TaskContext.get().partitionId()
-        encoder = _encoder(tokenizer, end_id)
+        encoder = TextEncoder(tokenizer, end_id)
         owners, sizes, held, size, number = [], [], [], 0, 0
 
         def close():
@@ -298,6 +291,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, partitions: int, id_co
             held.append(ids[done:])
         if sizes:
             yield close()
+        del encoder
         release_memory()
 
     with small_batches(docs.sparkSession, BATCH_ROWS):
