@@ -48,3 +48,12 @@ def test_odd_rows(make):
     check(make, [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [.5, 0.0]), (50, [2.0, 0.0]), (1, [1.0, 0.0])] * 3, shard_rows=2, query_rows=2)
     check(make, [(0, v)])
     check(make, [])
+
+
+def test_copies_of_queries_are_not_built_in_the_driver(make):
+    """The planner's estimate misses that a query travels once a shard."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) * 300).tolist()) for i in range(200)]  # beyond 16 bits
+    found = topk.top_k(make(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, shard_rows=10, query_rows=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    check(make, rows, shard_rows=10, query_rows=8, most_rows=3)
