@@ -70,7 +70,9 @@ def rows_log_count_ratio(rows: list[np.ndarray], label: np.ndarray, smooth: floa
 
 def fit(doc, feature, label, ratio, penalty: float = 1.0, balance: float = 1.0,
         rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
-    """``fit_rows`` of (document index, feature) pairs."""
+    """``fit_rows`` of (document index, feature) pairs, or of one array of features a document where ``doc`` is None."""
+    if doc is None:
+        return fit_rows(feature, label, ratio, penalty, balance, rounds, seed)
     bounds = np.searchsorted(doc, np.arange(len(label) + 1))
     return fit_rows([feature[a:b] for a, b in zip(bounds, bounds[1:])], label, ratio, penalty, balance, rounds, seed)
 
@@ -169,7 +171,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
         return Model(zero, zero, 0.0)
     del rows
     ratio = rows_log_count_ratio(packed, label)
-    model = Model(ratio, *fit_rows(packed, label, ratio, penalty))
+    model = Model(ratio, *fit(None, packed, label, ratio, penalty))
     del packed
     release_memory()   # the driver keeps the weights alone
     return model
